@@ -102,11 +102,15 @@ _GRID = ", ".join(f"({t!r}::DOUBLE)" for t in evaluate.calibration_grid())
 
 
 def _curve(source="tx", key=""):
-    k, g = (f"{key}, ", f"(SELECT DISTINCT {key} FROM {source}) CROSS JOIN thr") if key else ("", "thr")
+    k = f"{key}, " if key else ""
     on = f"s.{key} = g.{key} AND " if key else ""
     gk = f"g.{key}, " if key else ""
-    total = f"(SELECT count(*) FROM {source} z WHERE z.{key} = g.{key})" if key else f"(SELECT count(*) FROM {source})"
-    return f"""thr(threshold) AS (VALUES {_GRID}), g AS (SELECT {k}threshold FROM {g}),
+    total = "any_value(g.total)"
+    if key:
+        g = f"(SELECT {key}, count(*) AS total FROM {source} GROUP BY 1) CROSS JOIN thr"
+    else:
+        g = f"(SELECT count(*) AS total FROM {source}) CROSS JOIN thr"
+    return f"""thr(threshold) AS (VALUES {_GRID}), g AS (SELECT {k}threshold, total FROM {g}),
 curve AS (SELECT {gk}g.threshold, count(s.p) / {total} AS accept_rate, coalesce(avg(CAST(s.label_pass < 0.5 AS DOUBLE)), 0) AS violation,
   coalesce(avg(s.tbs * s.label_pass), 0) AS obs_throughput, coalesce(avg(s.tbs * s.p), 0) AS exp_throughput
   FROM g LEFT JOIN {source} s ON {on}s.p >= g.threshold GROUP BY ALL)"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 DIGITS = 6
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("logs", "features", "metrics", "luts", "policies", "evaluation")
+_MODULES = ("logs", "features", "metrics", "luts", "policies", "evaluation", "models", "streams")
 
 
 def query(key: str, sql: str | None = None, rounded: str = "", digits: int = DIGITS):

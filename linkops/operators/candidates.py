@@ -47,6 +47,6 @@ def score_contexts(df: DataFrame, context, scorer: Callable[[DataFrame], DataFra
     """Candidates from a row scorer (adds ``p``): distinct contexts are scored once and joined back."""
     keys = list(context)
     distinct = df.select(*keys).distinct()
-    packed = pack(scorer(expand(distinct, mcs_min, mcs_max)), keys)
-    on = [df[k].eqNullSafe(packed[k]) for k in keys]
-    return df.join(packed, on).select(*[df[c] for c in df.columns], packed["cand"])
+    packed = pack(scorer(expand(distinct, mcs_min, mcs_max)), keys).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return df.join(packed, match).drop(*[f"_k_{k}" for k in keys])

@@ -134,9 +134,8 @@ def train_pass_model(df: DataFrame, features, key, label: str = "label_pass", ki
     if kind == "gbt":
         model = GBTClassifier(
             featuresCol="_features", labelCol="_label", maxDepth=depth, maxIter=rounds, stepSize=rate,
-            subsamplingRate=subsample, maxBins=bins, validationIndicatorCol="_valid", seed=seed,
-            rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",
-        )
+            subsamplingRate=subsample, maxBins=bins, validationIndicatorCol="_valid", seed=seed, predictionCol="_prediction",
+        ).setRawPredictionCol("_raw").setProbabilityCol("_probability")
     else:
         model = LogisticRegression(featuresCol="_features", labelCol="_label", rawPredictionCol="_raw",
                                    probabilityCol="_probability", predictionCol="_prediction")

@@ -99,7 +99,7 @@ def main():
                 count = fn(spark, sf_dir).count()
                 problem = None if count else "no rows"
         except Exception as e:  # report every failing query, then go on
-            problem = "".join(traceback.format_exception_only(e))[:1500]
+            problem = "".join(traceback.format_exception_only(e))[-1200:]
         bad += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {time.time() - start:6.1f}s {key}{'' if key in sqls else ' (rows only)'}"
               + (f"\n   {problem}" if problem else ""), flush=True)
