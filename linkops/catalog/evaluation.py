@@ -119,22 +119,22 @@ curve AS (SELECT {gk}g.threshold, count(s.p) / {total} AS accept_rate, coalesce(
 _CURVE_ROUND = "accept_rate violation obs_throughput exp_throughput"
 
 
-@query("E7_tradeoff", f"WITH {TX}, {_curve()} SELECT * FROM curve", _CURVE_ROUND, digits=4)
+@query("E7_tradeoff", f"WITH {TX}, {_curve()} SELECT * FROM curve", _CURVE_ROUND, digits=5)
 def tradeoff(spark, sf_dir):
     return evaluate.tradeoff(transmissions(spark, sf_dir), evaluate.calibration_grid())
 
 
-@query("E8_tradeoff_by_slice", f"WITH {TX}, {PRIORITY}, {_curve('ep', 'slice')} SELECT * FROM curve", _CURVE_ROUND, digits=4)
+@query("E8_tradeoff_by_slice", f"WITH {TX}, {PRIORITY}, {_curve('ep', 'slice')} SELECT * FROM curve", _CURVE_ROUND, digits=5)
 def tradeoff_by_slice(spark, sf_dir):
     return evaluate.slice_tradeoff(_sliced(spark, sf_dir), "slice", evaluate.calibration_grid())
 
 
-@query("E9_row_at_threshold", f"WITH {TX}, {_curve()} SELECT * FROM curve ORDER BY abs(threshold - 0.65::DOUBLE), threshold DESC LIMIT 1", _CURVE_ROUND, digits=4)
+@query("E9_row_at_threshold", f"WITH {TX}, {_curve()} SELECT * FROM curve ORDER BY abs(threshold - 0.65::DOUBLE), threshold DESC LIMIT 1", _CURVE_ROUND, digits=5)
 def row_at_threshold(spark, sf_dir):
     return evaluate.row_at(evaluate.tradeoff(transmissions(spark, sf_dir), evaluate.calibration_grid()), 0.65)
 
 
-@query("E9_worst_slice", f"WITH {TX}, {PRIORITY}, {_curve('ep', 'slice')} SELECT slice, violation, accept_rate FROM curve WHERE threshold = 0.65::DOUBLE ORDER BY violation DESC, slice LIMIT 1", "violation accept_rate", digits=4)
+@query("E9_worst_slice", f"WITH {TX}, {PRIORITY}, {_curve('ep', 'slice')} SELECT slice, violation, accept_rate FROM curve WHERE threshold = 0.65::DOUBLE ORDER BY violation DESC, slice LIMIT 1", "violation accept_rate", digits=5)
 def worst_slice(spark, sf_dir):
     curve = evaluate.slice_tradeoff(_sliced(spark, sf_dir), "slice", evaluate.calibration_grid())
     return evaluate.worst_slice(curve, "slice", 0.65)

@@ -11,7 +11,7 @@ from ..operators.candidates import candidates
 from ..session import scratch_path
 from ..sources import luts, sinks
 from .registry import query
-from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, pass_probability, scored, table, transmissions
+from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, p_sql, pass_probability, scored, table, transmissions
 
 SNR_BIN = 0.1
 MIN_CELL = 1
@@ -75,7 +75,7 @@ def _varied(spark, sf_dir):
 
 _VARIED_CAND = f"""{TX}, {MCS},
 vc AS (SELECT {_code('t.snr')} AS snr_code, {_code('t.cqi', '1.0')} AS cqi_code, m.mcs, m.eff,
-  round(1 / (1 + exp(-(0.6 * (t.snr + t.ele_angle / 45 - (m.mcs * 0.9::DOUBLE - 9.0::DOUBLE))))), 9) AS cp FROM tx t CROSS JOIN mcs_table m)
+  {p_sql('(t.snr + t.ele_angle / 45)', 'm.mcs')} AS cp FROM tx t CROSS JOIN mcs_table m)
 """
 
 
@@ -84,7 +84,7 @@ def cell_probability_mean(spark, sf_dir):
     return lut.cell_probability(_varied(spark, sf_dir), SNR_BIN, 1.0, 5)
 
 
-@query("A23_cell_probability_quantile", f"""WITH {_VARIED_CAND} SELECT snr_code, cqi_code, mcs, count(*) AS n, quantile_cont(cp, 0.1) AS p_stat FROM vc GROUP BY ALL HAVING count(*) >= 5""", "p_stat")
+@query("A23_cell_probability_quantile", f"""WITH {_VARIED_CAND} SELECT snr_code, cqi_code, mcs, count(*) AS n, quantile_cont(cp, 0.1) AS p_stat FROM vc GROUP BY ALL HAVING count(*) >= 5""", "p_stat", digits=8)
 def cell_probability_quantile(spark, sf_dir):
     return lut.cell_probability(_varied(spark, sf_dir), SNR_BIN, 1.0, 5, 0.1)
 

@@ -9,7 +9,7 @@ from ..operators import candidates, lut, policy, replay
 from ..plans import decision_flow
 from .luts import NEAREST_2D, _coarse
 from .registry import query
-from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, scored, transmissions
+from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, p_sql, pass_probability, scored, transmissions
 
 TAU = 0.9
 C_KEY = ", ".join(f"c.{k}" for k in ROW_KEY)
@@ -46,16 +46,12 @@ _ROUND = "rec_prob rec_expected"
 @query("J12_candidate_expansion", f"WITH {TX}, {CAND} SELECT m AS mcs, count(*) AS rows, avg(cp) AS p, any_value(ceff) AS eff FROM cand GROUP BY 1", "p")
 def candidate_expansion(spark, sf_dir):
     long = candidates.expand(transmissions(spark, sf_dir).select(*ROW_KEY, "snr"))
-    from .tables import pass_probability
-
     scored_rows = long.withColumn("p", pass_probability(F.col("snr"), F.col("mcs")))
     return scored_rows.groupBy("mcs").agg(F.count(F.lit(1)).alias("rows"), F.avg("p").alias("p"), F.first("eff").alias("eff"))
 
 
 @query("J12_scored_contexts", f"WITH {TX}, {CAND} SELECT {KEY_SQL}, {TPUT} AS mcs FROM cand GROUP BY {KEY_SQL}")
 def scored_contexts(spark, sf_dir):
-    from .tables import pass_probability
-
     df = transmissions(spark, sf_dir).select(*ROW_KEY, "snr")
     packed = candidates.score_contexts(df, ["snr"], lambda d: d.withColumn("p", pass_probability(F.col("snr"), F.col("mcs"))))
     return packed.select(*ROW_KEY, policy.throughput_choice()["mcs"].alias("mcs"))
@@ -146,7 +142,7 @@ _SERIES = f"""ser AS (
 
 
 def p_of(m):
-    return f"round(1 / (1 + exp(-(0.6 * (s.snr - ({m} * 0.9::DOUBLE - 9.0::DOUBLE))))), 9)"
+    return p_sql("s.snr", m)
 
 
 _OLLA_MCS = "CAST(least(greatest(round_even(s.cqi + ({up} * (s.i - 1) - 0.25::DOUBLE * {k}), 0), 0), 27) AS INTEGER)"
@@ -211,9 +207,9 @@ def elevation_series(spark, sf_dir):
 @query("R11_policy_comparison_with_olla")
 def policy_comparison(spark, sf_dir):
     """Whole comparison plan with the offset loop and the table baseline."""
-    summary, _ = decision_flow.compare_policies(
-        scored(spark, sf_dir), TAU, ["ue_id"], ORDER, _coarse(spark, sf_dir)
-    )
+    rows = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "snr", "cqi", "ele_angle")
+    score = lambda df: candidates.candidates(df, lambda m: pass_probability(F.col("snr"), m))
+    summary, _ = decision_flow.compare_policies(rows, score, TAU, ["ue_id"], ORDER, _coarse(spark, sf_dir))
     return summary
 
 
@@ -254,16 +250,17 @@ def own_target_by_elevation(spark, sf_dir):
     return policy.guardrail_by_elevation(scored(spark, sf_dir).select("ele_angle", "target_bler", "cand"), own_target="target_bler")
 
 
-@query("R16_what_if", f"""WITH {TX}, {CAND} SELECT {KEY_SQL}, m AS mcs, cp AS p, ceff AS eff, cp >= {TAU}::DOUBLE AS passes FROM cand WHERE m IN (5, 10, 15, 20, 25)""")
+@query("R16_what_if", f"""WITH {TX}, {CAND} SELECT m AS mcs, cp >= {TAU}::DOUBLE AS passes, avg(cp) AS p, any_value(ceff) AS eff, count(*) AS rows FROM cand WHERE m IN (5, 10, 15, 20, 25) GROUP BY ALL""", "p")
 def what_if(spark, sf_dir):
-    return policy.what_if(scored(spark, sf_dir).select(*ROW_KEY, "cand"), [5, 10, 15, 20, 25], TAU)
+    rows = policy.what_if(scored(spark, sf_dir).select(*ROW_KEY, "cand"), [5, 10, 15, 20, 25], TAU)
+    return rows.groupBy("mcs", "passes").agg(F.avg("p").alias("p"), F.first("eff").alias("eff"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("M4_monotone_probability", f"""WITH {TX}, {MCS}, w AS (SELECT {KEY_SQL}, m.mcs, round(1 / (1 + exp(-(0.6 * (snr - (((m.mcs * 5) % 28) * 0.9::DOUBLE - 9.0::DOUBLE))))), 9) AS p FROM tx CROSS JOIN mcs_table m)
-SELECT {KEY_SQL}, mcs, min(p) OVER (PARTITION BY {KEY_SQL} ORDER BY mcs) AS p FROM w""")
+@query("M4_monotone_probability", f"""WITH {TX}, {MCS}, w AS (SELECT {KEY_SQL}, m.mcs, {p_sql('snr', '((m.mcs * 5) % 28)')} AS p FROM tx CROSS JOIN mcs_table m),
+low AS (SELECT mcs, min(p) OVER (PARTITION BY {KEY_SQL} ORDER BY mcs) AS p FROM w)
+SELECT mcs, avg(p) AS p, count(DISTINCT p) AS distinct_p FROM low GROUP BY 1""", "p")
 def monotone_probability(spark, sf_dir):
     from ..operators.modelling import monotone_probability as lower
-    from .tables import pass_probability
-
     df = candidates.candidates(transmissions(spark, sf_dir), lambda m: pass_probability(F.col("snr"), F.pmod(m * 5, F.lit(28))))
-    return candidates.unpack(df.select(*ROW_KEY, lower("cand").alias("cand"))).select(*ROW_KEY, "mcs", "p")
+    rows = candidates.unpack(df.select(lower("cand").alias("cand")))
+    return rows.groupBy("mcs").agg(F.avg("p").alias("p"), F.count_distinct("p").alias("distinct_p"))

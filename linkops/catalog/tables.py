@@ -45,8 +45,8 @@ def transmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pass_probability(snr: Column, mcs: Column) -> Column:
-    """Closed-form stand-in for a fitted model, rounded to 9 digits."""
-    return F.round(1 / (1 + F.exp(-(0.6 * (snr - (mcs * 0.9 - 9.0))))), 9)
+    """Closed-form stand-in for a fitted model, cut to 9 digits."""
+    return F.floor(1e9 / (1 + F.exp(-(0.6 * (snr - (mcs * 0.9 - 9.0))))) + 0.5) / 1e9
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p_sql(snr: str, mcs: str) -> str:
-    return f"round(1 / (1 + exp(-(0.6 * ({snr} - ({mcs} * 0.9::DOUBLE - 9.0::DOUBLE))))), 9)"
+    return f"floor(1e9 / (1 + exp(-(0.6 * ({snr} - ({mcs} * 0.9::DOUBLE - 9.0::DOUBLE))))) + 0.5) / 1e9"
 
 
 TX = f"""

@@ -163,8 +163,7 @@ def consuming_matches(tx: DataFrame, fb: DataFrame, window_ms: float = 50, keys=
     end reaches the start of the link.
     """
     keys = list(keys)
-    cols = ["ts", *keys, *order]
-    events = tx.select(*cols, F.lit(True).alias("_tx")).unionByName(fb.select(*cols, F.lit(False).alias("_tx")))
+    events = tx.withColumn("_tx", F.lit(True)).unionByName(fb.withColumn("_tx", F.lit(False)), allowMissingColumns=True)
     events = events.withColumn("_us", micros("ts"))
     numbered = materialize(
         row_numbers(chunked(events, keys, ["_us", *order, "_tx"])).drop("_chunk", "_idx"), "events"
@@ -199,14 +198,10 @@ def consuming_feedback(tx: DataFrame, fb: DataFrame, window_ms: float = 50, keys
     ``compat_duplicate_unmatched`` emits unmatched transmissions twice.
     """
     numbered, matches = consuming_matches(tx, fb, window_ms, keys, order, **blocks)
-    ids = numbered.where("_tx").select(F.col("_row").alias("tx_row"), *keys, *order)
-    fb_ids = numbered.where(~F.col("_tx")).select(
-        F.col("_row").alias("fb_row"), *keys, *order
+    sent = numbered.where("_tx").select(F.col("_row").alias("tx_row"), *tx.columns)
+    answers = numbered.where(~F.col("_tx")).select(
+        F.col("_row").alias("fb_row"), F.col("ts").alias("harq_timestamp"), "ack"
     )
-    answers = fb_ids.join(
-        fb.select(*keys, *order, F.col("ts").alias("harq_timestamp"), "ack"), [*keys, *order]
-    ).select("fb_row", "harq_timestamp", "ack")
-    sent = ids.join(tx, [*keys, *order])
     matched = sent.join(matches.select("tx_row", "fb_row"), "tx_row").join(answers, "fb_row").drop("fb_row")
     free = sent.join(matches.where("retired").select("tx_row"), "tx_row", "left_anti").withColumns({
         "harq_timestamp": F.lit(None).cast("timestamp"), "ack": F.lit(None).cast("int"),

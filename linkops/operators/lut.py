@@ -172,13 +172,13 @@ def cell_probability(df: DataFrame, snr_bin: float = 0.1, cqi_bin: float = 1.0,
     keyed = df.select(code("snr", snr_bin).alias("snr_code"), code("cqi", cqi_bin).alias("cqi_code"), cand)
     if quantile is None or quantile < 0:
         # One mean per candidate position: rows are never multiplied by the candidate count.
-        first = F.first(F.transform(cand, lambda x: x["mcs"])).alias("_mcs")
-        means = [F.avg(F.try_element_at(cand, F.lit(i + 1))["p"]).alias(f"_p{i}") for i in range(28)]
+        first = F.min(F.element_at(cand, 1)["mcs"]).alias("_mcs")
+        means = [F.avg(F.get(cand, F.lit(i))["p"]).alias(f"_p{i}") for i in range(28)]
         cells = keyed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), first, *means).where(F.col("n") >= min_count)
-        entries = F.arrays_zip(F.col("_mcs").alias("mcs"), F.array(*[F.col(f"_p{i}") for i in range(28)]).alias("p"))
-        long = cells.select(*CELL, "n", F.explode(entries).alias("e")).select(
-            *CELL, "n", F.col("e.mcs").alias("mcs"), F.col("e.p").alias("p_stat")
-        ).where(F.col("mcs").isNotNull())
+        entries = F.array(*[F.struct((F.col("_mcs") + i).alias("mcs"), F.col(f"_p{i}").alias("p_stat")) for i in range(28)])
+        long = cells.select(*CELL, "n", F.explode(entries).alias("e")).select(*CELL, "n", "e.*").where(
+            F.col("p_stat").isNotNull()
+        )
     else:
         sizes = keyed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
         rows = keyed.select(*CELL, F.explode(cand).alias("e")).select(*CELL, "e.mcs", F.col("e.p").alias("p_stat"))

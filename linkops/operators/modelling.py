@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_fraction
+from ..functions.radio import MCS_MAX
 from .lut import polynomial
 
 
@@ -160,15 +161,17 @@ def scorer(model: PipelineModel, features):
     return lambda df: score(model, df, features)
 
 
-def monotone_probability(cand: str = "cand") -> Column:
-    """Candidates whose probability never rises with MCS: running minimum along the array."""
-    def lower(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        p = F.coalesce(F.least(last["p"], x["p"]), x["p"])
-        return F.concat(acc, F.array(F.struct(x["mcs"].alias("mcs"), p.alias("p"), x["eff"].alias("eff"))))
+def monotone_probability(cand: str = "cand", size: int = MCS_MAX + 1) -> Column:
+    """Candidates whose probability never rises with MCS: each keeps the least probability up to it."""
+    def lowest(i):
+        values = [F.get(cand, F.lit(j))["p"] for j in range(i + 1)]
+        return F.least(*values) if len(values) > 1 else values[0]
 
-    empty = F.filter(cand, lambda x: F.lit(False))
-    return F.aggregate(cand, empty, lower)
+    entries = F.array(*[
+        F.struct(F.get(cand, F.lit(i))["mcs"].alias("mcs"), lowest(i).alias("p"), F.get(cand, F.lit(i))["eff"].alias("eff"))
+        for i in range(size)
+    ])
+    return F.filter(entries, lambda x: x["mcs"].isNotNull())
 
 
 # --- classifiers -----------------------------------------------------------------------------------

@@ -6,59 +6,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, floor_bin, linspace
-from ..functions.radio import cqi_to_mcs
+from ..functions.radio import MCS_MAX, cqi_to_mcs
+from .evaluate import thresholds_met
 
 FALLBACKS = ("min_zero", "argmax_p", "min_p", "first")
 
 
-def _argmax(cand, score) -> Column:
-    """Candidate with the largest score; equal scores go to the lowest MCS."""
-    ranked = F.transform(col(cand), lambda x: F.struct(
-        score(x).alias("score"), (-x["mcs"]).alias("order"), x["mcs"].alias("mcs"), x["p"].alias("p"), x["eff"].alias("eff")
-    ))
-    best = F.array_max(ranked)
-    return _choice(best["mcs"], best["p"], best["eff"])
+def _argmax(cand, score, keep=None) -> Column:
+    """Candidate with the largest score, first (lowest MCS) among equals; null when none is kept.
 
+    One fold over the array that returns the candidate itself, so nothing is evaluated twice.
+    """
+    none = F.try_element_at(cand, F.lit(0x7FFFFFFF))
+
+    def better(best, x):
+        wins = best["mcs"].isNull() | (score(x) > score(best))
+        return F.when(wins if keep is None else (keep(x) & wins), x).otherwise(best)
+
+    return F.aggregate(cand, none, better)
 
-def _choice(mcs, p, eff) -> Column:
-    return F.struct(mcs.alias("mcs"), p.alias("p"), eff.alias("eff"))
 
+def _array(cand) -> Column:
+    return F.col(cand) if isinstance(cand, str) else cand
 
-def _feasible(cand, tau) -> Column:
-    return F.filter(col(cand), lambda x: x["p"] >= tau)
+
+def _highest(cand, tau) -> Column:
+    """Highest candidate with p >= tau, or null."""
+    return F.aggregate(cand, F.try_element_at(cand, F.lit(0x7FFFFFFF)), lambda best, x: F.when(x["p"] >= tau, x).otherwise(best))
 
 
 def _first(cand, zero_p: bool = False) -> Column:
-    head = F.element_at(col(cand), 1)
-    return _choice(head["mcs"], F.lit(0.0) if zero_p else head["p"], head["eff"])
+    head = F.element_at(cand, 1)
+    if not zero_p:
+        return head
+    return F.struct(head["mcs"].alias("mcs"), F.lit(0.0).alias("p"), head["eff"].alias("eff"))
+
+
+def _fallback(cand, fallback: str) -> Column:
+    return best_probability(cand) if fallback == "argmax_p" else _first(cand, fallback == "min_zero")
+
+
+def _score(x) -> Column:
+    return x["p"] * x["eff"]
 
 
 def best_probability(cand="cand") -> Column:
-    return _argmax(cand, lambda x: x["p"])
+    return _argmax(_array(cand), lambda x: x["p"])
 
 
 def threshold_choice(tau, cand="cand", fallback: str = "argmax_p") -> Column:
     """Highest MCS with p >= tau. Without one: ``argmax_p``, ``min_p``/``first``, or ``min_zero`` (p reported 0)."""
     if fallback not in FALLBACKS:
         raise ValueError(f"unknown fallback {fallback!r}")
-    tau = F.lit(tau) if not isinstance(tau, Column) else tau
-    top = F.try_element_at(_feasible(cand, tau), F.lit(-1))
-    found = F.when(top.isNotNull(), _choice(top["mcs"], top["p"], top["eff"]))
-    if fallback == "argmax_p":
-        return F.coalesce(found, best_probability(cand))
-    return F.coalesce(found, _first(cand, fallback == "min_zero"))
+    tau = tau if isinstance(tau, Column) else F.lit(tau)
+    return F.coalesce(_highest(_array(cand), tau), _fallback(_array(cand), fallback))
 
 
 def throughput_choice(cand="cand") -> Column:
     """Largest p x efficiency; ties and an all-zero row give the lowest MCS."""
-    return _argmax(cand, lambda x: x["p"] * x["eff"])
+    return _argmax(_array(cand), _score)
 
 
 def constrained_choice(tau, cand="cand", fallback: str = "argmax_p") -> Column:
     """Largest p x efficiency among p >= tau; otherwise the fallback."""
-    feasible = _feasible(cand, F.lit(tau))
-    best = F.when(F.size(feasible) > 0, _argmax(feasible, lambda x: x["p"] * x["eff"]))
-    return F.coalesce(best, best_probability(cand) if fallback == "argmax_p" else _first(cand, fallback == "min_zero"))
+    best = _argmax(_array(cand), _score, lambda x: x["p"] >= F.lit(tau))
+    return F.coalesce(best, _fallback(_array(cand), fallback))
 
 
 def guardrailed_choice(guardrail=None, cand="cand") -> Column:
@@ -67,28 +79,34 @@ def guardrailed_choice(guardrail=None, cand="cand") -> Column:
 
 
 def fixed_choice(mcs, cand="cand") -> Column:
-    """The candidate with the given MCS; null when it is not a candidate."""
-    picked = F.try_element_at(F.filter(col(cand), lambda x: x["mcs"] == mcs), F.lit(1))
-    return F.when(picked.isNotNull(), _choice(picked["mcs"], picked["p"], picked["eff"]))
+    """The candidate with the given MCS; null when it is not a candidate. Candidates are consecutive."""
+    array = _array(cand)
+    at = mcs - F.element_at(array, 1)["mcs"] + 1
+    return F.when((at >= 1) & (at <= F.size(array)), F.try_element_at(array, at))
 
 
 def guarded_mcs(baseline, guardrail=None, cand="cand") -> Column:
     """Baseline MCS, replaced by the highest MCS with p >= guardrail whenever one exists (up or down)."""
     if guardrail is None or guardrail < 0:
         return col(baseline)
-    return F.coalesce(F.try_element_at(_feasible(cand, F.lit(guardrail)), F.lit(-1))["mcs"], col(baseline))
+    return F.coalesce(_highest(_array(cand), F.lit(guardrail))["mcs"], col(baseline))
 
 
 def cqi_choice(cqi="cqi", guardrail=None, cand="cand", offset: int = 0, **mapping) -> Column:
     """CQI baseline with its probability; ``mapping`` goes to :func:`linkops.functions.radio.cqi_to_mcs`."""
     low, high = mapping.get("mcs_min", 0), mapping.get("mcs_max", 27)
     mapped = F.least(F.greatest(cqi_to_mcs(cqi, **mapping) + F.lit(offset), F.lit(low)), F.lit(high))
-    return fixed_choice(guarded_mcs(mapped, guardrail, cand), cand)
+    return _lookup(guarded_mcs(mapped, guardrail, cand), cand)
+
+
+def _lookup(mcs, cand) -> Column:
+    """:func:`fixed_choice` with the index bound once."""
+    return F.element_at(F.transform(F.array(mcs), lambda m: fixed_choice(m, cand)), 1)
 
 
 def lut_choice(mcs, guardrail=None, cand="cand", mcs_min: int = 0, mcs_max: int = 27) -> Column:
     clamped = F.least(F.greatest(col(mcs).cast("int"), F.lit(mcs_min)), F.lit(mcs_max))
-    return fixed_choice(guarded_mcs(clamped, guardrail, cand), cand)
+    return _lookup(guarded_mcs(clamped, guardrail, cand), cand)
 
 
 def recommend(df: DataFrame, objective: str = "threshold", tau: float = 0.5, guardrail: float | None = None,
@@ -141,28 +159,29 @@ def sweep_taus(grid: int = 25) -> list[float]:
     return linspace(0.1, 0.95, max(5, grid))
 
 
-def acceptance_sweep(df: DataFrame, taus, cand: str = "cand") -> DataFrame:
+def acceptance_sweep(df: DataFrame, taus, cand: str = "cand", size: int = MCS_MAX + 1) -> DataFrame:
     """Accept rate, reliability and throughput of the threshold policy for every tau, from one pass.
 
-    A candidate is the choice exactly for tau between the largest p above it and its own p. Each row thus emits
-    one row per accepted tau, which the map side already sums.
+    A candidate is the choice exactly for the taus above every later probability and up to its own. Rows are
+    summed per such span of taus (a few hundred spans at most); spans are spread over the taus afterwards.
+    ``taus`` ascend evenly; ``size`` is the number of candidates per row.
     """
-    taus = [float(t) for t in taus]
-    literal = F.array(*[F.lit(t) for t in taus])
-    # Sized by the tau grid: index of each tau with its choice, lowest p kept above it.
-    picks = F.transform(
-        F.sequence(F.lit(0), F.lit(len(taus) - 1)),
-        lambda i: F.struct(i.alias("i"), F.try_element_at(
-            F.filter(F.col(cand), lambda x: x["p"] >= F.element_at(literal, i + 1)), F.lit(-1)
-        ).alias("pick")),
+    taus = sorted(float(t) for t in taus)
+    met = df.select(cand, F.array(*[thresholds_met(F.get(cand, F.lit(i))["p"], taus) for i in range(size)]).alias("_k"))
+    later = [F.greatest(F.lit(0), F.lit(0), *[F.get("_k", F.lit(j)) for j in range(i + 1, size)]) for i in range(size)]
+    spans = F.array(*[
+        F.struct(later[i].alias("above"), F.get("_k", F.lit(i)).alias("upto"), F.get(cand, F.lit(i)).alias("c"))
+        for i in range(size)
+    ])
+    rows = met.select(F.explode(spans).alias("s")).where(F.col("s.upto") > F.col("s.above"))
+    by_span = rows.groupBy(F.col("s.above").alias("above"), F.col("s.upto").alias("upto")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s.c.p").alias("p"), F.sum(F.col("s.c.p") * F.col("s.c.eff")).alias("score")
     )
-    rows = df.select(F.explode(F.filter(picks, lambda x: x["pick"].isNotNull())).alias("e"))
-    sums = rows.groupBy(F.col("e.i").alias("i")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("e.pick.p").alias("p"),
-        F.sum(F.col("e.pick.p") * F.col("e.pick.eff")).alias("score"),
+    sums = by_span.withColumn("i", F.explode(F.sequence(F.col("above") + 1, F.col("upto")))).groupBy("i").agg(
+        F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("score").alias("score")
     )
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    grid = df.sparkSession.createDataFrame(list(enumerate(taus)), "i int, tau double")
+    grid = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(taus, start=1)], "i int, tau double")
     out = F.broadcast(grid).join(F.broadcast(total)).join(sums, "i", "left").na.fill(0, ["n"])
     accept = F.col("n") / F.col("total")
     mean_score = F.coalesce(F.try_divide(F.col("score"), F.col("n")), F.lit(0.0))

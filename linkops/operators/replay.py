@@ -82,7 +82,7 @@ def _compose(machine: Machine, key_columns):
 def replay(df: DataFrame, series, order, machine: Machine, out: str, block_rows: int = 20_000) -> DataFrame:
     """Add the machine's output column ``out`` (int) to every row, per series in order."""
     series = list(series)
-    rows = materialize(with_halo(df, series, order, 0, block_rows).drop("_halo"), "blocks")
+    rows = with_halo(df, series, order, 0, block_rows).drop("_halo")
     per_block = rows.groupBy("_block", *series).agg(F.count(F.lit(1)).alias("_n"))
     along = Window.partitionBy(*series).orderBy("_block")
     groups = per_block.select(
@@ -117,19 +117,16 @@ def replay(df: DataFrame, series, order, machine: Machine, out: str, block_rows:
     states = materialize(chained.mapInPandas(_compose(machine, series), state_schema), "states")
     begin = borders.select(*on, "_n0").join(states, on)
 
-    out_schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField(out, T.IntegerType())])
+    kept = [c for c in rows.columns if c not in ("_row", "_block")]
+    out_schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(out, T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_row")
-        n0, state = pdf["_n0"].iat[0], pdf["_state"].iat[0]
-        values = machine.replay([pdf[c].to_numpy() for c in machine.inputs], int(n0), int(state))
-        return pd.DataFrame({"_row": pdf["_row"].to_numpy(), out: values})
+        n0, state = int(pdf["_n0"].iat[0]), int(pdf["_state"].iat[0])
+        return pdf[kept].assign(**{out: machine.replay([pdf[c].to_numpy() for c in machine.inputs], n0, state)})
 
-    started = rows.select("_row", *on, *machine.inputs).join(small_side(begin), on, "left").na.fill(
-        {"_n0": 0, "_state": machine.initial}
-    )
-    replayed = started.groupBy(*on).applyInPandas(run, out_schema)
-    return rows.join(replayed, "_row").drop("_row", "_block")
+    started = rows.join(small_side(begin), on, "left").na.fill({"_n0": 0, "_state": machine.initial})
+    return started.groupBy(*on).applyInPandas(run, out_schema)
 
 
 # --- offset loop (OLLA) ----------------------------------------------------------------------------
@@ -197,9 +194,12 @@ def offset_loop(step: float = 0.25, target: float = 0.1, initial: float = 0.0) -
 
 def olla(df: DataFrame, series, order, step: float = 0.25, target: float = 0.1, initial: float = 0.0,
          draw: Column | None = None, cand: str = "cand", out: str = "olla_mcs", block_rows: int = 20_000) -> DataFrame:
-    """MCS chosen by the offset loop. Success means p >= 1 - target, or ``draw`` < p when a uniform column is given."""
+    """MCS chosen by the offset loop. Success means p >= 1 - target, or ``draw`` < p when a uniform column is given.
+
+    The candidates of a row shrink to one bit per MCS before anything is shuffled; the array itself is dropped.
+    """
     limit = F.lit(1.0 - target) if draw is None else draw
-    rows = df.withColumn("_mask", success_mask(limit, cand))
+    rows = df.withColumn("_mask", success_mask(limit, cand)).drop(cand)
     return replay(rows, series, order, offset_loop(step, target, initial), out, block_rows).drop("_mask")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,14 @@ def policy_choices(tau: float, guardrail: float | None = None, lut_mcs: str | No
     return choices
 
 
-def compare_policies(df: DataFrame, tau: float, series, order, table: DataFrame | None = None, step: float = 0.25,
-                     target: float = 0.1, guardrail: float | None = None, width: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Policy summary and elevation series from one stacked frame. ``df`` carries candidates."""
-    rows = replay.olla(df, series, order, step, target)
+def compare_policies(df: DataFrame, score: Callable[[DataFrame], DataFrame], tau: float, series, order,
+                     table: DataFrame | None = None, step: float = 0.25, target: float = 0.1,
+                     guardrail: float | None = None, width: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Policy summary and elevation series from one stacked frame. ``score`` adds the candidates to ``df``.
+
+    The offset loop runs on rows without the candidate arrays, which are added again for the comparison.
+    """
+    rows = score(replay.olla(score(df), series, order, step, target))
     if table is not None:
         rows = lut.lookup_snr_cqi(rows, table)
     choices = policy_choices(tau, guardrail, "lut_mcs" if table is not None else None, "olla_mcs")

@@ -24,7 +24,7 @@ class _RollingError(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getValueState("recent", "bits array<int>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq")
         bits = [int(b) for b in self.recent.get()[0]] if self.recent.exists() else []
         out = []
@@ -47,7 +47,7 @@ class _OffsetLoop(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counts = handle.getValueState("counts", "rows long, failures long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq")
         n, failures = self.counts.get() if self.counts.exists() else (0, 0)
         out, up = [], self.step * self.target
@@ -71,7 +71,7 @@ class _Allocator(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.index = handle.getValueState("index", "value int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq")
         state = self.index.get()[0] if self.index.exists() else self.initial
         values = self.machine.replay([frame["cqi"].to_numpy(), frame["bler"].to_numpy()], 0, int(state))
@@ -96,7 +96,7 @@ class _Consume(StatefulProcessor):
         out = [(key[0], seq, None) for us, seq in kept if us < before_us]
         return out, [(us, seq) for us, seq in kept if us >= before_us]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["us", "seq"])
         kept, out, width = [tuple(r) for r in self.pending.get()], [], self.window * 1000
         for us, seq, is_tx in zip(frame["us"], frame["seq"], frame["is_tx"]):
@@ -115,8 +115,8 @@ class _Consume(StatefulProcessor):
             self.pending.clear()
         yield pd.DataFrame(out, columns=["series", "tx_seq", "fb_seq"]).astype({"tx_seq": "Int64", "fb_seq": "Int64"})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        limit = expired.getExpiryTimeInMs() * 1000 - self.window * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.window * 1000
         out, kept = self._release(key, [tuple(r) for r in self.pending.get()], limit)
         self.pending.put(kept) if kept else self.pending.clear()
         yield pd.DataFrame(out, columns=["series", "tx_seq", "fb_seq"]).astype({"tx_seq": "Int64", "fb_seq": "Int64"})
