@@ -84,7 +84,7 @@ def cell_probability_mean(spark, sf_dir):
     return lut.cell_probability(_varied(spark, sf_dir), SNR_BIN, 1.0, 5)
 
 
-@query("A23_cell_probability_quantile", f"""WITH {_VARIED_CAND} SELECT snr_code, cqi_code, mcs, count(*) AS n, quantile_cont(cp, 0.1) AS p_stat FROM vc GROUP BY ALL HAVING count(*) >= 5""", "p_stat", digits=8)
+@query("A23_cell_probability_quantile", f"""WITH {_VARIED_CAND} SELECT snr_code, cqi_code, mcs, count(*) AS n, quantile_cont(cp, 0.1) AS p_stat FROM vc GROUP BY ALL HAVING count(*) >= 5""", "p_stat", digits=7)
 def cell_probability_quantile(spark, sf_dir):
     return lut.cell_probability(_varied(spark, sf_dir), SNR_BIN, 1.0, 5, 0.1)
 

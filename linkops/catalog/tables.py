@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.radio import MCS_TABLE, efficiency
 from ..operators.candidates import candidates
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +52,7 @@ def pass_probability(snr: Column, mcs: Column) -> Column:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transmissions with the candidate array."""
-    return candidates(transmissions(spark, sf_dir), lambda m: pass_probability(F.col("snr"), m))
+    return candidates(spread(transmissions(spark, sf_dir)), lambda m: pass_probability(F.col("snr"), m))
 
 
 def p_sql(snr: str, mcs: str) -> str:

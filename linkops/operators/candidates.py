@@ -17,13 +17,16 @@ from ..functions.radio import MCS_MAX, MCS_MIN, efficiency, efficiency_column
 
 def candidates(df: DataFrame, probability: Callable[[Column], Column], mcs_min: int = MCS_MIN,
                mcs_max: int = MCS_MAX, out: str = "cand") -> DataFrame:
-    """Array of candidates from a closed-form pass probability of (row, MCS)."""
-    return df.withColumn(out, F.array(*[
-        F.struct(
-            F.lit(m).alias("mcs"), probability(F.lit(m)).cast("double").alias("p"), F.lit(efficiency(m)).alias("eff")
-        )
-        for m in range(mcs_min, mcs_max + 1)
-    ]))
+    """Array of candidates from a closed-form pass probability of (row, MCS).
+
+    One lambda over a constant array: unrolled, 28 structs would outgrow what the JVM compiles.
+    """
+    table = F.array(*[
+        F.struct(F.lit(m).alias("mcs"), F.lit(efficiency(m)).alias("eff")) for m in range(mcs_min, mcs_max + 1)
+    ])
+    return df.withColumn(out, F.transform(table, lambda x: F.struct(
+        x["mcs"].alias("mcs"), probability(x["mcs"]).cast("double").alias("p"), x["eff"].alias("eff")
+    )))
 
 
 def expand(df: DataFrame, mcs_min: int = MCS_MIN, mcs_max: int = MCS_MAX) -> DataFrame:

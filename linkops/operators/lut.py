@@ -170,18 +170,13 @@ def cell_probability(df: DataFrame, snr_bin: float = 0.1, cqi_bin: float = 1.0,
                      quantile: float | None = None, cand: str = "cand") -> DataFrame:
     """Mean, or exact quantile, of the pass probability per (SNR, CQI, MCS); cells need ``min_count`` rows."""
     keyed = df.select(code("snr", snr_bin).alias("snr_code"), code("cqi", cqi_bin).alias("cqi_code"), cand)
+    # Candidates are expanded in place and summed on the map side: one partial row per cell and MCS is shuffled.
+    rows = keyed.select(*CELL, F.inline(cand)).withColumnRenamed("p", "p_stat")
     if quantile is None or quantile < 0:
-        # One mean per candidate position: rows are never multiplied by the candidate count.
-        first = F.min(F.element_at(cand, 1)["mcs"]).alias("_mcs")
-        means = [F.avg(F.get(cand, F.lit(i))["p"]).alias(f"_p{i}") for i in range(28)]
-        cells = keyed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), first, *means).where(F.col("n") >= min_count)
-        entries = F.array(*[F.struct((F.col("_mcs") + i).alias("mcs"), F.col(f"_p{i}").alias("p_stat")) for i in range(28)])
-        long = cells.select(*CELL, "n", F.explode(entries).alias("e")).select(*CELL, "n", "e.*").where(
-            F.col("p_stat").isNotNull()
-        )
+        means = rows.groupBy(*CELL, "mcs").agg(F.count(F.lit(1)).alias("n"), F.avg("p_stat").alias("p_stat"))
+        long = means.where(F.col("n") >= min_count).select(*CELL, "n", "mcs", "p_stat")
     else:
         sizes = keyed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-        rows = keyed.select(*CELL, F.explode(cand).alias("e")).select(*CELL, "e.mcs", F.col("e.p").alias("p_stat"))
         ranked = grouped_quantiles(rows, [*CELL, "mcs"], "p_stat", [quantile], "linear").drop("q")
         long = ranked.join(sizes, CELL).select(*CELL, "n", "mcs", "p_stat")
     return long

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -14,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_fraction
-from ..functions.radio import MCS_MAX
 from .lut import polynomial
 
 
@@ -78,12 +78,17 @@ def fit_polynomial(df: DataFrame, features, target: str, degree: int) -> dict[tu
     names = [f"z{i}" for i in range(len(features))]
     # A product of two terms depends only on the summed exponents, so each moment is taken once.
     needed = sorted({tuple(a + b for a, b in zip(s, t)) for s in terms for t in terms})
-    moments = [F.sum(polynomial({e: 1.0}, names)).alias(f"m{i}") for i, e in enumerate(needed)]
-    cross = [F.sum(polynomial({e: 1.0}, names) * F.col("_y")).alias(f"c{i}") for i, e in enumerate(terms)]
-    sums = scaled.agg(*moments, *cross).first()
-    at = {e: sums[f"m{i}"] for i, e in enumerate(needed)}
+    # Each row yields its powers as an array; sums per position are combined on the map side.
+    table = F.array(*[F.array(*[F.lit(float(p)) for p in e]) for e in needed])
+    power = F.transform(table, lambda e: reduce(
+        lambda acc, i: acc * F.pow(F.col(names[i]), F.element_at(e, i + 1)), range(len(names)), F.lit(1.0)
+    ))
+    long = scaled.select("_y", F.posexplode(power).alias("pos", "x"))
+    sums = {r["pos"]: r for r in long.groupBy("pos").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("_y")).alias("xy")).collect()}
+    at = {e: sums[i]["x"] for i, e in enumerate(needed)}
+    with_y = {e: sums[i]["xy"] for i, e in enumerate(needed)}
     gram = np.array([[at[tuple(a + b for a, b in zip(s, t))] for t in terms] for s in terms])
-    right = np.array([sums[f"c{i}"] for i in range(len(terms))])
+    right = np.array([with_y[t] for t in terms])
     solution = np.linalg.lstsq(gram, right, rcond=None)[0]
     return _unscale(dict(zip(terms, solution)), centers, widths)
 
@@ -161,17 +166,18 @@ def scorer(model: PipelineModel, features):
     return lambda df: score(model, df, features)
 
 
-def monotone_probability(cand: str = "cand", size: int = MCS_MAX + 1) -> Column:
+def monotone_probability(cand: str = "cand") -> Column:
     """Candidates whose probability never rises with MCS: each keeps the least probability up to it."""
-    def lowest(i):
-        values = [F.get(cand, F.lit(j))["p"] for j in range(i + 1)]
-        return F.least(*values) if len(values) > 1 else values[0]
+    start = F.struct(
+        F.lit(float("inf")).alias("low"), F.array().cast("array<struct<mcs:int,p:double,eff:double>>").alias("kept")
+    )
 
-    entries = F.array(*[
-        F.struct(F.get(cand, F.lit(i))["mcs"].alias("mcs"), lowest(i).alias("p"), F.get(cand, F.lit(i))["eff"].alias("eff"))
-        for i in range(size)
-    ])
-    return F.filter(entries, lambda x: x["mcs"].isNotNull())
+    def step(acc, x):
+        low = F.least(acc["low"], x["p"])
+        entry = F.struct(x["mcs"].alias("mcs"), low.alias("p"), x["eff"].alias("eff"))
+        return F.struct(low.alias("low"), F.concat(acc["kept"], F.array(entry)).alias("kept"))
+
+    return F.aggregate(cand, start, step, lambda acc: acc["kept"])
 
 
 # --- classifiers -----------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, floor_bin, linspace
-from ..functions.radio import MCS_MAX, cqi_to_mcs
+from ..functions.radio import cqi_to_mcs
 from .evaluate import thresholds_met
 
 FALLBACKS = ("min_zero", "argmax_p", "min_p", "first")
@@ -159,23 +159,29 @@ def sweep_taus(grid: int = 25) -> list[float]:
     return linspace(0.1, 0.95, max(5, grid))
 
 
-def acceptance_sweep(df: DataFrame, taus, cand: str = "cand", size: int = MCS_MAX + 1) -> DataFrame:
+def acceptance_sweep(df: DataFrame, taus, cand: str = "cand") -> DataFrame:
     """Accept rate, reliability and throughput of the threshold policy for every tau, from one pass.
 
     A candidate is the choice exactly for the taus above every later probability and up to its own. Rows are
     summed per such span of taus (a few hundred spans at most); spans are spread over the taus afterwards.
-    ``taus`` ascend evenly; ``size`` is the number of candidates per row.
+    ``taus`` are evenly spaced.
     """
     taus = sorted(float(t) for t in taus)
-    met = df.select(cand, F.array(*[thresholds_met(F.get(cand, F.lit(i))["p"], taus) for i in range(size)]).alias("_k"))
-    later = [F.greatest(F.lit(0), F.lit(0), *[F.get("_k", F.lit(j)) for j in range(i + 1, size)]) for i in range(size)]
-    spans = F.array(*[
-        F.struct(later[i].alias("above"), F.get("_k", F.lit(i)).alias("upto"), F.get(cand, F.lit(i)).alias("c"))
-        for i in range(size)
-    ])
-    rows = met.select(F.explode(spans).alias("s")).where(F.col("s.upto") > F.col("s.above"))
+    empty = F.array().cast("array<struct<above:int,upto:int,p:double,score:double>>")
+
+    def step(acc, x):
+        # From the highest MCS down: a candidate adds the taus that no later one met.
+        met = thresholds_met(x["p"], taus)
+        span = F.struct(acc["top"].alias("above"), met.alias("upto"), x["p"].alias("p"), _score(x).alias("score"))
+        return F.when(
+            met > acc["top"], F.struct(met.alias("top"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        ).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("top"), empty.alias("spans"))
+    spans = F.aggregate(F.reverse(cand), start, step, lambda acc: acc["spans"])
+    rows = df.select(F.explode(spans).alias("s"))
     by_span = rows.groupBy(F.col("s.above").alias("above"), F.col("s.upto").alias("upto")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("s.c.p").alias("p"), F.sum(F.col("s.c.p") * F.col("s.c.eff")).alias("score")
+        F.count(F.lit(1)).alias("n"), F.sum("s.p").alias("p"), F.sum("s.score").alias("score")
     )
     sums = by_span.withColumn("i", F.explode(F.sequence(F.col("above") + 1, F.col("upto")))).groupBy("i").agg(
         F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("score").alias("score")
