@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import radio
 from ..functions.expr import micros, seconds_between
 from ..session import materialize
-from .ordered import chunked, halo_blocks, row_numbers
+from .ordered import chunked, halo_blocks, row_numbers, segments
 
 LINK_KEYS = ("file", "ue_id", "rnti", "harq_id")
 LOG_ORDER = ("block", "pos")
@@ -96,25 +96,21 @@ class _Matcher:
 _MATCHES = "_block bigint, tx_row bigint, fb_row bigint, retired boolean, resolved boolean"
 
 
-def _match_block(window_us: int, lag: int, size: int):
-    """Matcher of one (block, link) group; the halo before the block only establishes the pending set.
+def _match_block(window_us: int, lag: int, size: int, keys):
+    """Matcher of the links in one block; the halo before the block only establishes the pending set.
 
     Pending sets are ordered: a run that starts with more pending transmissions always keeps a superset. So a
     run from nothing and a run from everything enclose the true one; once they agree at the block start, the
-    state is known exactly. Otherwise the group is reported unresolved.
+    state is known exactly. Otherwise the block is reported unresolved.
     """
 
     columns = ["_block", "tx_row", "fb_row", "retired", "resolved"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row")
-        block = int(pdf["_block"].iloc[0])
-        rows = list(zip(pdf["_row"].tolist(), pdf["_us"].tolist(), pdf["_tx"].tolist(), pdf["_halo"].tolist()))
-        unresolved = pd.DataFrame([(block, None, None, False, False)], columns=columns)
-        halo_start = max(0, block * size - lag)
+    def link(rows, block, halo_start):
+        """Matches of one link, or None when its state at the block start is not known."""
         body = next((i for i, r in enumerate(rows) if not r[3]), len(rows))
         if body == len(rows):
-            return pd.DataFrame([], columns=columns)
+            return []
         low, high = _Matcher(window_us), _Matcher(window_us)
         known = rows[0][0] > halo_start or halo_start == 0
         start = 0
@@ -125,7 +121,7 @@ def _match_block(window_us: int, lag: int, size: int):
                 if is_tx:
                     high.send(us, row)
         if start > body:
-            return unresolved
+            return None
         for row, us, is_tx, _ in rows[start:body]:
             for side in (low, high):
                 if is_tx:
@@ -134,13 +130,13 @@ def _match_block(window_us: int, lag: int, size: int):
                     side.feedback(us)
         now = rows[body][1]
         if not known and low.state(now) != high.state(now):
-            return unresolved
+            return None
         same_time = [(us, row) for row, us, is_tx, _ in rows[:body] if not is_tx and us == now]
         out = []
         for row, us, is_tx, _ in rows[body:]:
+            same_time = [f for f in same_time if f[0] == us]
             if is_tx:
                 # Feedback logged earlier at the same instant also answers, without retiring the transmission.
-                same_time = [f for f in same_time if f[0] == us]
                 if same_time:
                     out.append((block, row, same_time[0][1], False, True))
                 low.send(us, row)
@@ -148,7 +144,20 @@ def _match_block(window_us: int, lag: int, size: int):
                 taken = low.feedback(us)
                 if taken:
                     out.append((block, taken[1], row, True, True))
-                same_time = [f for f in same_time if f[0] == us] + [(us, row)]
+                same_time.append((us, row))
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_row")
+        block = int(pdf["_block"].iloc[0])
+        halo_start = max(0, block * size - lag)
+        rows = list(zip(pdf["_row"].tolist(), pdf["_us"].tolist(), pdf["_tx"].tolist(), pdf["_halo"].tolist()))
+        out = []
+        for begin, end in segments(pdf, keys):
+            matches = link(rows[begin:end], block, halo_start)
+            if matches is None:
+                return pd.DataFrame([(block, None, None, False, False)], columns=columns)
+            out += matches
         return pd.DataFrame(out, columns=columns)
 
     return run
@@ -175,10 +184,9 @@ def consuming_matches(tx: DataFrame, fb: DataFrame, window_ms: float = 50, keys=
         if todo is not None:
             blocks = blocks.join(F.broadcast(todo), "_block", "left_semi")
         found = materialize(
-            blocks.groupBy("_block", *keys).applyInPandas(_match_block(width, lag, block_rows), _MATCHES), "matches"
+            blocks.groupBy("_block").applyInPandas(_match_block(width, lag, block_rows, keys), _MATCHES), "matches"
         )
         parts.append(found.where("resolved"))
-        # At most one link per block can have an unknown start.
         open_blocks = found.where(~F.col("resolved")).select("_block").distinct()
         if open_blocks.isEmpty():
             break
@@ -310,9 +318,15 @@ def bucket_measurement(tx: DataFrame, meas: DataFrame, values, bucket_s: int = 3
 
 
 def zip_tables(left: DataFrame, right: DataFrame, left_order: str, right_order: str, lv: str, rv: str) -> DataFrame:
-    """Pair two small tables by position, up to the shorter one, with the difference left minus right."""
-    a = left.select(F.row_number().over(Window.orderBy(left_order)).alias("position"), F.col(lv).alias("left_value"))
-    b = right.select(F.row_number().over(Window.orderBy(right_order)).alias("position"), F.col(rv).alias("right_value"))
+    """Pair two tables by position, up to the shorter one, with the difference left minus right.
+
+    Positions come from chunk counts, so neither table is numbered in one task.
+    """
+    def numbered(df, order, value, name):
+        rows = row_numbers(chunked(df.select(F.col(order).alias("_o"), F.col(value).alias(name)), [], ["_o"]))
+        return rows.select((F.col("_row") + 1).alias("position"), name)
+
+    a, b = numbered(left, left_order, lv, "left_value"), numbered(right, right_order, rv, "right_value")
     return a.join(b, "position").withColumn("difference", F.col("left_value") - F.col("right_value"))
 
 

@@ -7,6 +7,7 @@ border is at most one row per chunk (running totals) or ``lag - 1`` rows per blo
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,18 @@ def halo_blocks(numbered: DataFrame, lag: int, size: int) -> DataFrame:
     )
 
 
+def segments(pdf, keys) -> list[tuple[int, int]]:
+    """Start and end of each run of equal keys in a pandas block that is sorted by series."""
+    if not len(pdf):
+        return []
+    change = np.zeros(len(pdf), dtype=bool)
+    for key in keys:
+        values = pdf[key].to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    starts = np.concatenate(([0], np.nonzero(change)[0]))
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)]))
+
+
 def trailing(df: DataFrame, series, order, lags: dict[str, tuple[str, int]], start: int = 0,
              block_rows: int | None = None) -> DataFrame:
     """Trailing means: output name to (column, lag). The frame is the ``lag`` rows ending ``start`` rows ago.

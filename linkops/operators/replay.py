@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.radio import MCS_MAX
 from ..session import materialize, small_side
-from .ordered import with_halo
+from .ordered import segments, with_halo
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,8 @@ def replay(df: DataFrame, series, order, machine: Machine, out: str, block_rows:
     continuing = rows.select("_row", *on, *machine.inputs).join(
         small_side(borders.where("_continues").drop("_continues")), on
     )
-    maps = continuing.groupBy(*on).applyInPandas(summarize, map_schema)
+    # At most one series per block continues, so the block alone is the group.
+    maps = continuing.groupBy("_block").applyInPandas(summarize, map_schema)
     chained = borders.join(maps, on, "left").select(*on, "starts", "outs", "slopes")
     chained = (chained.repartition(*series) if series else chained.coalesce(1)).sortWithinPartitions(*series, "_block")
     state_schema = T.StructType([T.StructField("_block", T.LongType()), *key_fields, T.StructField("_state", T.LongType())])
@@ -121,12 +122,18 @@ def replay(df: DataFrame, series, order, machine: Machine, out: str, block_rows:
     out_schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(out, T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # One group per block: series lie one after the other in it, which keeps many short series cheap.
         pdf = pdf.sort_values("_row")
-        n0, state = int(pdf["_n0"].iat[0]), int(pdf["_state"].iat[0])
-        return pdf[kept].assign(**{out: machine.replay([pdf[c].to_numpy() for c in machine.inputs], n0, state)})
+        inputs = [pdf[c].to_numpy() for c in machine.inputs]
+        n0, state = pdf["_n0"].to_numpy(), pdf["_state"].to_numpy()
+        values = np.empty(len(pdf), dtype=np.int32)
+        for begin_at, end_at in segments(pdf, series):
+            part = [c[begin_at:end_at] for c in inputs]
+            values[begin_at:end_at] = machine.replay(part, int(n0[begin_at]), int(state[begin_at]))
+        return pdf[kept].assign(**{out: values})
 
     started = rows.join(small_side(begin), on, "left").na.fill({"_n0": 0, "_state": machine.initial})
-    return started.groupBy(*on).applyInPandas(run, out_schema)
+    return started.groupBy("_block").applyInPandas(run, out_schema)
 
 
 # --- offset loop (OLLA) ----------------------------------------------------------------------------
