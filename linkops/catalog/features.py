@@ -71,7 +71,7 @@ def file_name_metadata(spark, sf_dir):
     digit = F.pmod("l_orderkey", F.lit(10))
     # A target of 0 is written "0." in such names.
     tail = F.when(digit == 0, F.lit("0.csv")).otherwise(F.concat(F.lit("0."), digit.cast("string"), F.lit("_240603.csv")))
-    name = F.concat(F.lit("Case9_Blerw"), (F.col("l_linenumber") * 100).cast("string"), F.lit("Tbler"), tail)
+    name = F.concat(F.lit("run_Blerw"), (F.col("l_linenumber") * 100).cast("string"), F.lit("Tbler"), tail)
     return slots.file_name_metadata(
         li.select("l_orderkey", "l_linenumber", name.alias("source_file")), window="window_rows"
     ).drop("source_file")

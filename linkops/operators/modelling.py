@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_fraction
-from .lut import polynomial
 
 
 # --- closed-form fits ------------------------------------------------------------------------------
