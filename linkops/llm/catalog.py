@@ -47,3 +47,10 @@ def token_counts(spark, sf_dir):
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens",
         (F.col("n_tokens") > 512).alias("over_limit"),
     )
+
+
+@_query("op10_token_files")
+def token_files(spark, sf_dir):
+    from .token_files import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
