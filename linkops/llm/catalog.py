@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licences
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,32 @@ def token_files(spark, sf_dir):
     from .token_files import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@_query("op2_chat_format")
+def chat_format(spark, sf_dir):
+    from .chat import format_windows, read_windows
+    from .common import materialize
+
+    marks = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    windows = materialize(format_windows(turns, tokenizer_path("byte_bpe_50k.json")), "chat-windows")
+    return read_windows(windows)
+
+
+@_query("op4_licence_scan", licences.sql())
+def licence_scan(spark, sf_dir):
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_sentences", F.size("sentence_ids").cast("long").alias("n_known"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"),
+    )
+
+
+@_query("op6_mix_sources")
+def mix_sources(spark, sf_dir):
+    from .mixing import plan_mix
+
+    plan = plan_mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
