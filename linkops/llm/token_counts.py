@@ -19,20 +19,22 @@ SHARED_PIECES = 65_536
 
 def shared_lengths(docs: DataFrame, tokenizer: str, text: str = "text", sample_docs: int = SAMPLE_DOCS,
                    size: int = SHARED_PIECES) -> dict[str, int]:
-    """Token counts of the most frequent pieces of at most ``sample_docs`` texts; at most ``size`` entries."""
+    """Token counts of frequent pieces, at most ``size``. Partitions are read one after the other, each for at most
+    ``sample_docs`` texts, until there are enough pieces: one short task on all but small tables, and no shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, seen = splitter(tokenizer), Counter()
+        cut, seen, n = splitter(tokenizer), Counter(), 0
         for batch in batches:
             for value in batch["t"]:
                 seen.update(cut.cut(value) or ())
-            if len(seen) > 8 * size:
-                seen = Counter(dict(seen.most_common(4 * size)))
+            n += len(batch)
+            if n >= sample_docs:
+                break
         top = [(p, len(cut.ids(p))) for p, _ in seen.most_common(size)]
         yield pd.DataFrame(top, columns=["piece", "n"])
 
-    some = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).limit(sample_docs)
-    return dict(some.coalesce(1).mapInPandas(count, "piece string, n long").toPandas().itertuples(index=False))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
+    return dict(map(tuple, texts.mapInPandas(count, "piece string, n long").take(size)))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens",
