@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pretokens import Pieces, splitter
+from .pretokens import splitter, worker_pieces
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 # Control strings of common chat templates; none of them survives inside a turn.
@@ -137,7 +137,7 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, histo
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = splitter(tokenizer)
-        length = Pieces(lambda piece: len(cut.ids(piece))).__getitem__
+        length = worker_pieces((tokenizer, "length"), lambda piece: len(cut.ids(piece))).__getitem__
         held: _Conversation | None = None
         for batch in batches:
             out = []

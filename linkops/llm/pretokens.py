@@ -20,7 +20,7 @@ BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
 
 # Pieces a worker remembers besides the shared ones; it starts anew when they are full.
-WORKER_PIECES = 400_000
+WORKER_PIECES = 1_000_000
 
 
 class Pieces(dict):
@@ -74,3 +74,13 @@ def splitter(path: str) -> Splitter:
     if path not in _SPLITTERS:
         _SPLITTERS[path] = Splitter(path)
     return _SPLITTERS[path]
+
+
+_PIECES: dict[tuple, Pieces] = {}
+
+
+def worker_pieces(key: tuple, encode: Callable, shared: dict | None = None) -> Pieces:
+    """The cache of this worker under ``key``; it lives as long as the worker and serves all its tasks."""
+    if key not in _PIECES:
+        _PIECES[key] = Pieces(encode, shared)
+    return _PIECES[key]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, small_batches
-from .pretokens import Pieces, splitter
+from .pretokens import splitter, worker_pieces
 
 # The shared table is a cache: these bounds change the speed, never a count.
 SAMPLE_DOCS = 2_000
@@ -52,7 +52,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", out: str =
     @F.pandas_udf("long")
     def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cut = splitter(tokenizer)
-        length = Pieces(lambda piece: len(cut.ids(piece)), shared.value).__getitem__
+        length = worker_pieces((tokenizer, "length"), lambda piece: len(cut.ids(piece)), shared.value).__getitem__
         for batch in texts:
             counts = []
             for value in batch:

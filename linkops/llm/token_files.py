@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_path, small_batches
-from .pretokens import Pieces, splitter
+from .pretokens import splitter, worker_pieces
 
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 64
@@ -97,7 +97,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         cut, shard = splitter(tokenizer), TaskContext.get().partitionId()
         dtype = np.dtype("<u2" if max(cut.size, end_id + 1) <= 1 << 16 else "<u4")
         end = np.array([end_id], dtype).tobytes()
-        piece_ids = Pieces(lambda piece: np.array(cut.ids(piece), dtype).tobytes()).__getitem__
+        piece_ids = worker_pieces((tokenizer, "ids"), lambda piece: np.array(cut.ids(piece), dtype).tobytes()).__getitem__
         name, out, n = f"{path.rstrip('/')}/shard-{shard:06d}-{uuid4().hex}", None, 0
         for batch in batches:
             if not batch.num_rows:
