@@ -93,3 +93,11 @@ def decontamination(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@_query("op9_nearest_neighbours")
+def nearest_neighbours(spark, sf_dir):
+    from .neighbours import nearest
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
