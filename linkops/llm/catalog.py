@@ -101,3 +101,12 @@ def nearest_neighbours(spark, sf_dir):
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+@_query("op8_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    from .quality import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    scored = quality(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "lang", F.char_length("text").cast("long").alias("n_chars"), "perplexity", "threshold", "kept")
