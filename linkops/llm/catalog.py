@@ -110,3 +110,10 @@ def quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     scored = quality(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "lang", F.char_length("text").cast("long").alias("n_chars"), "perplexity", "threshold", "kept")
+
+
+@_query("op7_jaccard_join")
+def jaccard_join(spark, sf_dir):
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
