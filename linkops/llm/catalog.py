@@ -117,3 +117,10 @@ def jaccard_join(spark, sf_dir):
     from .jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op3_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    from .suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest_only=True)
