@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,10 +58,51 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     ``monotonically_increasing_id`` that must not be computed twice.
     """
     path = scratch_path(df.sparkSession, label)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Folders staged inside each open ``staging`` block, innermost last.
+_OPEN: list[list[str]] = []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Tables materialized inside the block are deleted when it ends; frames over them are of no use afterwards."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete_path(spark, path)
+
+
+def staged(fn):
+    """Store the frame that ``fn`` returns and delete whatever else it staged. The first argument of ``fn`` is a frame
+    or the session."""
+
+    @functools.wraps(fn)
+    def run(first, *args, **kwargs) -> DataFrame:
+        spark = first.sparkSession if isinstance(first, DataFrame) else first
+        with staging(spark):
+            out = fn(first, *args, **kwargs)
+            path = scratch_path(spark, fn.__name__)
+            out.write.parquet(path)
+        if _OPEN:
+            _OPEN[-1].append(path)
+        return spark.read.schema(out.schema).parquet(path)
+
+    return run
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for ``df`` only after a bounded count shows it is small; else leave it to Catalyst."""
     if df.limit(max_rows + 1).count() <= max_rows:
