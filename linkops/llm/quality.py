@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import small_side, staged
 from .common import fresh, materialize, small_batches
 
 ORDER = 5
@@ -25,7 +25,7 @@ BROADCAST_ENTRIES = 2_000_000
 # Characters at the mean of the language that every document is taken to have besides its own.
 PRIOR_CHARS = 100
 # A document is rejected above q50 + SPREAD * (q90 - q50) of held-out trusted documents of its language.
-SPREAD = 12.0
+SPREAD = 16.0
 HELD_OUT = 5
 LEAST_HELD_OUT = 5
 
@@ -138,16 +138,10 @@ def train(counts: DataFrame, alphabet: Alphabet, order: int = ORDER) -> tuple[Da
 class _Model:
     """Sorted arrays of one language and the probabilities of any n-grams by backing off."""
 
-    def __init__(self, probabilities: pd.DataFrame, weights: pd.DataFrame, order: int, vocabulary: float):
+    def __init__(self, order: int, vocabulary: float):
         self.order, self.floor = order, 1.0 / vocabulary
-        take = lambda frame, key, value, k: self._sorted(frame[frame["k"] == k], key, value)
-        self.p = {k: take(probabilities, "gram", "p", k) for k in range(1, order + 1)}
-        self.w = {k: take(weights, "context", "w", k) for k in range(1, order + 1)}
-
-    @staticmethod
-    def _sorted(frame: pd.DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-        frame = frame.sort_values(key)
-        return frame[key].to_numpy(), frame[value].to_numpy()
+        self.p: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.w: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @staticmethod
     def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +165,22 @@ class _Model:
         return out
 
 
-def _score_broadcast(docs: DataFrame, p: pd.DataFrame, w: pd.DataFrame, alphabet: Alphabet, order: int, out: str) -> DataFrame:
-    vocabulary = float(len(alphabet.points) + 1)
-    models = {x: _Model(p[p["lang"] == x], w[w["lang"] == x], order, vocabulary) for x in p["lang"].unique()}
+def _models(probabilities: DataFrame, weights: DataFrame, alphabet: Alphabet, order: int) -> dict[str, _Model]:
+    """The model on the driver; it has at most ``BROADCAST_ENTRIES`` entries."""
+    vocabulary, models = float(len(alphabet.points) + 1), {}
+    langs = sorted(r["lang"] for r in probabilities.select("lang").distinct().collect())  # one per language
+    for lang in langs:
+        model = models[lang] = _Model(order, vocabulary)
+        for k in range(1, order + 1):
+            for frame, key, value, into in ((probabilities, "gram", "p", model.p), (weights, "context", "w", model.w)):
+                held = frame.where((F.col("lang") == lang) & (F.col("k") == k)).select(key, value).toArrow()
+                keys, values = (held.column(i).to_numpy() for i in (0, 1))
+                at = np.argsort(keys)
+                into[k] = keys[at], values[at]
+    return models
+
+
+def _score_broadcast(docs: DataFrame, models: dict[str, _Model], alphabet: Alphabet, order: int, out: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((models, alphabet))
 
     @F.pandas_udf("double")
@@ -227,6 +234,7 @@ def _score_joined(docs: DataFrame, probabilities: DataFrame, weights: DataFrame,
     return joined.select(*docs.columns, F.col("_sum").alias(out))
 
 
+@staged
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, spread: float = SPREAD, prior: int = PRIOR_CHARS,
             most: int = BROADCAST_ENTRIES) -> DataFrame:
     """``docs`` with ``perplexity``, ``threshold`` and ``kept``.
@@ -249,8 +257,8 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, spread: floa
     p, w = train(gram_counts(trusted.where(~held), alphabet, order), alphabet, order)
     (total,) = fresh(base, "_log_p")
     if p.count() + w.count() <= most:
-        frames = p.toPandas(), w.toPandas()
-        score = lambda rows: _score_broadcast(rows, *frames, alphabet, order, total)
+        models = _models(p, w, alphabet, order)
+        score = lambda rows: _score_broadcast(rows, models, alphabet, order, total)
     else:
         score = lambda rows: _score_joined(rows, p, w, alphabet, order, total)
     rest = materialize(score(trusted.where(held)).where(F.col(total).isNotNull()).select("lang", F.char_length("text").alias("n"), total), "held-out")
