@@ -4,10 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkops.llm.catalog import tokenizer_path
 from linkops.llm.common import materialize, table
+from linkops.llm.decontam import decontaminate
+from linkops.llm.jaccard import one_per_component
+from linkops.llm.mixing import mix
+from linkops.llm.quality import quality
+from linkops.llm.token_files import token_digests
+from linkops.session import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-STAGES: list = []
+
+
+@staged
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language models do not reject."""
+    return quality(docs, table(spark, sf_dir, "labels")).where("kept").select(COLUMNS)
+
+
+@staged
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words a shingle, similarity 0.8 or more."""
+    return one_per_component(docs, width=5, threshold=(80, 100)).select(COLUMNS)
+
+
+@staged
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+@staged
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mix(docs).select(COLUMNS)
+
+
+def token_table(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left, and the documents read back from them."""
+    return token_digests(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", no_near_copies),
+    ("benchmark decontamination", no_benchmark),
+    ("mixing sources", mixed),
+    ("token files", token_table),
+]
+# Language models, components and rounding are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
@@ -16,4 +61,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .common import materialize
 
 
+@staged
 def components(links: DataFrame) -> DataFrame:
     """Stored ``node, label`` of all nodes of ``a, b`` links; the label is the smallest node reachable.
 

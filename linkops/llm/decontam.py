@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import small_side, staged
 from .common import ascii_lower, fresh, materialize, render
 
 N = 10
@@ -49,6 +49,7 @@ def _window_hash(parts: list[Column]) -> Column:
     return F.xxhash64(*parts)
 
 
+@staged
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """One row per distinct ``doc_id`` and text: ``doc_id, text_key, n_words, hits, n_hit, items``.
 

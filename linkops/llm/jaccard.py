@@ -5,7 +5,7 @@ Linked sets differ in few tokens: a set of n tokens has at most ``n - ceil(t n)`
 first the tokens that few documents have, rarest first, then the frequent ones. A rare token in a prefix is a
 signature by itself. Frequent tokens are dealt into classes; a class of m prefix tokens gives all pairs of them, and
 counts for m - 1 in the prefix length, which is extended accordingly. All of this looks only at the tokens with the
-lowest hashes, a fifth of all: the argument holds within any such part. Sets too small for it there use the lowest
+lowest hashes, twice a prefix on average: the argument holds within any such part. Sets too small for it there use the lowest
 tokens of the whole set, among themselves.
 """
 
@@ -19,18 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import small_side, staged
 from .common import fresh, materialize, small_batches
 from .components import components
 
 WIDTH = 3
 THRESHOLD = (90, 100)
-PART = 0.2
 CLASSES = 16
-# A token that at least this share of documents has is frequent; the shared set of them stays below FREQUENT_MOST.
-FREQUENT_SHARE, FREQUENT_MOST = 0.001, 1_000_000
-# Rounds that compare a bucket's members with its smallest one only, before all pairs that are still apart.
-STARS = 2
+# A token of at least this share of the documents, and of FREQUENT_LEAST, is frequent; the shared set of them stays
+# below FREQUENT_MOST.
+FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.001, 2_000, 1_000_000
+# Rounds that compare a bucket's members with one of them only, before all pairs that are still apart.
+STARS = 3
 
 _KEYS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -63,12 +63,17 @@ def allowed(n: int, threshold: tuple[int, int] = THRESHOLD) -> int:
     return n - -(-threshold[0] * n // threshold[1])
 
 
+def part_edge(threshold: tuple[int, int] = THRESHOLD) -> int:
+    """Hashes below this are looked at: on average twice the tokens that a linked set may lack."""
+    return int(min(1.0, 2 * (1 - threshold[0] / threshold[1])) * (1 << 63))
+
+
 def sketch(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Stored ``doc_id, n, node, low, u``: set size, set hash, and the lowest tokens (those of the part, ``u`` of
     them, and at least a whole prefix)."""
     import xxhash
 
-    edge = int(PART * (1 << 63))
+    edge = part_edge(threshold)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,6 +96,8 @@ def sketch(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THR
 
 def frequent_tokens(nodes: DataFrame, share: float = FREQUENT_SHARE) -> np.ndarray:
     """Sorted tokens of the part that at least ``share`` of the sets have; tasks report what is frequent in them."""
+    total = max(nodes.count(), int(FREQUENT_LEAST / share))
+    least = share * total
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, sets = np.empty(0, np.int64), np.empty(0, np.int64), 0
@@ -108,9 +115,8 @@ def frequent_tokens(nodes: DataFrame, share: float = FREQUENT_SHARE) -> np.ndarr
         keep = counts >= max(4, share * sets / 2)
         yield pa.RecordBatch.from_pydict({"token": keys[keep], "n": counts[keep]})
 
-    total = nodes.count()
     found = nodes.select("low", "u").mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = materialize(found.where(F.col("n") >= max(8, share * total / 2)), "frequent")
+    found = materialize(found.where(F.col("n") >= least / 2), "frequent")
     if found.count() > FREQUENT_MOST:
         return frequent_tokens(nodes, share * 4)
     return np.sort(found.select("token").toPandas()["token"].to_numpy(np.int64))
@@ -182,7 +188,8 @@ def _meta():
 
 
 def signatures(nodes: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Stored ``sig, node, n`` of signatures that more than one set has."""
+    """Stored ``sig, node, n, pos`` of signatures that more than one set has. ``pos`` is the place of a rare token in
+    the order of its set (0 for other signatures)."""
     rows = signature_rows(nodes, frequent_tokens(nodes), threshold)
     # Frequent tokens are not among the rows of kind 0, so their groups are bounded by the share.
     shared = rows.where(F.col("kind") == 0).select("key", "node", "meta").withColumn(
@@ -195,11 +202,11 @@ def signatures(nodes: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> Data
     )
     # Tokens no other set has come first in the order; they take up the prefix before these do.
     left = (need - (F.col("rare") - F.size("tokens"))).cast("int")
-    rare = chosen.where(left > 0).select("node", "n", F.explode(F.slice("tokens", F.lit(1), left)).alias("t")).select(
-        F.lit(0).cast("byte").alias("kind"), F.col("t.key").alias("key"), "node", "n"
-    )
-    every = rare.unionByName(rows.where(F.col("kind") > 0).select("kind", "key", "node", _meta()[0]))
-    sig = materialize(every.select(F.xxhash64("kind", "key").alias("sig"), "node", "n"), "signatures")
+    rare = chosen.where(left > 0).select(
+        "node", "n", (F.col("rare") - F.size("tokens")).alias("own"), F.posexplode(F.slice("tokens", F.lit(1), left)).alias("at", "t")
+    ).select(F.lit(0).cast("byte").alias("kind"), F.col("t.key").alias("key"), "node", "n", (F.col("own") + F.col("at")).alias("pos"))
+    every = rare.unionByName(rows.where(F.col("kind") > 0).select("kind", "key", "node", _meta()[0], F.lit(0).alias("pos")))
+    sig = materialize(every.select(F.xxhash64("kind", "key").alias("sig"), "node", "n", "pos"), "signatures")
     many = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("sig")
     return materialize(sig.join(many, "sig"), "buckets")
 
@@ -223,15 +230,21 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRES
     return joined.mapInArrow(linked, "a long, b long")
 
 
-def _sized(a, b, threshold):
-    low, high = F.least(a, b), F.greatest(a, b)
-    return low * F.lit(threshold[1]) >= high * F.lit(threshold[0])
+def _possible(x, y, threshold):
+    """Whether two sets that share this signature first can be linked at all: their sizes are near enough, and neither
+    has more tokens before it, which the other lacks, than a linked set may."""
+    part, whole = threshold
+    common = F.ceil((x["n"] + y["n"]) * F.lit(part) / F.lit(part + whole))
+    sized = F.least(x["n"], y["n"]) * F.lit(whole) >= F.greatest(x["n"], y["n"]) * F.lit(part)
+    return sized & (x["pos"] <= x["n"] - common) & (y["pos"] <= y["n"] - common)
 
 
+@staged
 def set_links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Stored ``node, label`` of all sets with a link; distinct sets only."""
-    buckets = signatures(nodes, threshold)
-    wanted = buckets.select("node").distinct().join(nodes.select("node", "doc_id", "n"), "node").select("node", "doc_id")
+    # A first round on the part finds the sets that may have partners; a second one ranks all tokens of those.
+    first = signatures(nodes, threshold)
+    wanted = first.select("node").distinct().join(nodes.select("node", "doc_id", "n"), "node").select("node", "doc_id")
     wanted = materialize(wanted, "candidates")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +262,8 @@ def set_links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, threshold:
     sets = materialize(texts.mapInArrow(whole, "node long, tokens array<long>"), "sets")
     if sets.count() > wanted.count():
         sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    size = F.size("tokens")
+    buckets = signatures(sets.select("node", size.alias("n"), F.col("tokens").alias("low"), size.alias("u")), threshold)
     links = labels = done = None
     for turn in range(STARS + 1):
         if labels is None:
@@ -257,23 +272,19 @@ def set_links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, threshold:
             held = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             apart = held.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y"))
             held = materialize(held.join(apart.select("sig"), "sig"), "apart")
+        row = F.struct("pos", "n", "node", "label")
         if turn < STARS:
-            level = F.log(F.col("n").cast("double")) / F.log(F.lit(threshold[1] / threshold[0]))
-            binned = held.withColumn("bin", F.explode(F.array(F.floor(level), F.floor(level + 0.5) + 0.5)))
-            pick = F.min(F.struct("label", "n", "node")) if turn % 2 == 0 else F.max(F.struct("label", "n", "node"))
-            centre = binned.groupBy("sig", "bin").agg(pick.alias("c"))
-            pairs = binned.join(centre, ["sig", "bin"]).where(F.col("label") != F.col("c.label")).select(
-                F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), "n", F.col("c.n").alias("m"),
-            ).where(_sized(F.col("n"), F.col("m"), threshold)).select("a", "b")
+            # The member with the fewest tokens before the signature is likely to be what the others were copied from.
+            order = F.struct("pos", F.xxhash64("node", F.lit(turn)).alias("turn"), row.alias("row"))
+            centre = held.groupBy("sig").agg(F.min(order).alias("c")).select("sig", F.col("c.row").alias("y"))
+            sides = held.select("sig", row.alias("x")).join(centre, "sig")
+            pairs = sides.where((F.col("x.label") != F.col("y.label")) & _possible(F.col("x"), F.col("y"), threshold))
         else:
-            # Whole components on either side: members of one component are never compared with each other.
-            groups = materialize(held.groupBy("sig", "label").agg(F.collect_list(F.struct("node", "n")).alias("s")), "groups")
-            other = groups.toDF("sig", "label_b", "s_b")
-            sides = groups.join(other, "sig").where(F.col("label") < F.col("label_b"))
-            pairs = sides.select(F.explode("s").alias("x"), "s_b").select("x", F.explode("s_b").alias("y")).where(
-                _sized(F.col("x.n"), F.col("y.n"), threshold)
-            ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        pairs = pairs.distinct()
+            # Members of one component are never compared with each other.
+            x, y = held.select("sig", row.alias("x")), held.select("sig", row.alias("y"))
+            apart = (F.col("x.label") < F.col("y.label")) & _possible(F.col("x"), F.col("y"), threshold)
+            pairs = x.join(y, (x["sig"] == y["sig"]) & apart)
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -284,6 +295,7 @@ def set_links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, threshold:
     return labels
 
 
+@staged
 def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import chunked, row_numbers
-from ..session import small_side
+from ..session import small_side, staged
 from .common import fresh, materialize
 
 CAP = 3.0
@@ -59,6 +59,7 @@ def _rate(size: Column, cap: float) -> Column:
     return F.when(F.col("full"), F.lit(cap)).when(size > 0, tilted).otherwise(F.lit(1.0))
 
 
+@staged
 def tilts(sizes: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFrame:
     """Newton's method on the dual: one ``tilt`` per source, so that expected sizes meet the target.
 
@@ -133,6 +134,7 @@ def document_copies(sizes: DataFrame, state: DataFrame, cap: float = CAP, chunk_
     return pairs.select(F.col("p.items.doc_id").alias("doc_id"), "source", F.col("p.items.size").alias("size"), F.col("p.copies").alias("copies"))
 
 
+@staged
 def plan_mix(docs: DataFrame, weight=cyclic_weight, cap: float = CAP) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies``.
 

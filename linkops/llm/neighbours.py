@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import small_side, staged
 from .common import materialize, small_batches
 
 TREES, DEPTH, AXES = 160, 8, 16
@@ -159,6 +159,7 @@ def _score(candidates: DataFrame, matrix: np.ndarray, dims: np.ndarray, keep: in
     return candidates.select("cls", "vec", "qs").mapInArrow(score, "q long, cls long, score double")
 
 
+@staged
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
             trees: int = TREES, power: float = POWER) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for every row of ``queries`` but the row itself.

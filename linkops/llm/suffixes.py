@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import small_side, staged
 from .common import fresh, materialize, small_batches
 
 LENGTH = 200
@@ -197,6 +197,7 @@ def _resolve_apart(contexts: DataFrame, length: int) -> DataFrame:
     return many.where(F.col("key").isNotNull()).select("key", "start", (F.col("start") + length).alias("stop"))
 
 
+@staged
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """Stored byte ``spans`` (start, stop; sorted) of each ``key`` of ``key, bytes`` covered by strings of ``length`` bytes
     that start anywhere else too. Equal texts of one key count as each other's repeats."""
@@ -251,6 +252,7 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+@staged
 def remove_repeats(docs: DataFrame, length: int = LENGTH, digest_only: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes, n_removed, n_spans, kept_sha256`` and ``kept`` (the remaining UTF-8 bytes).
 
