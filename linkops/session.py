@@ -7,11 +7,13 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only when it has at most this many rows.
+# A side is broadcast only when it has at most this many rows and bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "linkops", master: str | None = None, **conf) -> SparkSession:
@@ -103,11 +105,31 @@ def staged(fn):
     return run
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for ``df`` only after a bounded count shows it is small; else leave it to Catalyst."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def row_bytes(df: DataFrame) -> Column:
+    """Estimated bytes of a row: eight for each plain value, and the contents of strings, binaries and arrays."""
+
+    def width(value: Column, kind) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.lit(16) + F.coalesce(F.octet_length(value), F.lit(0))
+        if isinstance(kind, T.ArrayType):
+            inner = kind.elementType
+            if isinstance(inner, T.StringType):
+                return F.lit(16) + F.coalesce(F.octet_length(F.array_join(value, "")) + 16 * F.size(value), F.lit(0))
+            each = 8 * (len(inner.fields) + 1) if isinstance(inner, T.StructType) else 8
+            return F.lit(16) + F.greatest(F.size(value), F.lit(0)) * F.lit(each)
+        return F.lit(8)
+
+    total = F.lit(0).cast("bigint")
+    for field in df.schema:
+        total = total + width(F.col(f"`{field.name}`"), field.dataType)
+    return total
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for ``df`` only after one aggregate shows that its rows and their bytes are few; else leave the
+    join to Catalyst. Meant for stored tables, since ``df`` is read for the check."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:
