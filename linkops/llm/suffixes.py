@@ -232,7 +232,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 "kinds": pa.array(kinds, pa.int64()), "data": pa.array(data, pa.binary()),
             })
 
-    shown = texts.join(small_side(asked, 100_000), "key").select("key", "bytes", "runs").mapInArrow(
+    shown = texts.join(asked, "key").select("key", "bytes", "runs").mapInArrow(
         cut, "rank long, key long, at long, kinds long, data binary"
     )
     shown = materialize(shown, "run-bytes")
@@ -294,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest_only: bool = Fa
     own = found.select(F.col("key").alias(f"{key}2"), F.col("spans").alias(spans))
     more = small_side(counts.select(F.col(key).alias(f"{key}3"), rows))
     joined = keyed.withColumn(raw, text).join(more, F.col(key) == F.col(f"{key}3"), "left")
-    joined = joined.join(small_side(own, 100_000), F.col(key) == F.col(f"{key}2"), "left")
+    joined = joined.join(own, F.col(key) == F.col(f"{key}2"), "left")
     done = joined.withColumn(out, removed(F.col(raw), F.col(spans), F.coalesce(F.col(rows), F.lit(1))))
     left = [c for c in base.columns if not (digest_only and c == "text")]
     return done.select(*left, *[F.col(f"{out}.{n}").alias(n) for n in names if not (digest_only and n == "kept")])
