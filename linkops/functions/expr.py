@@ -27,7 +27,8 @@ def floor_bin(value, width: float) -> Column:
 
 
 def clip(value, low, high) -> Column:
-    return F.least(F.greatest(col(value), F.lit(low)), F.lit(high))
+    """``value`` kept inside ``low`` and ``high`` (numbers or columns); null stays null."""
+    return F.when(col(value).isNotNull(), F.least(F.greatest(col(value), F.lit(low)), F.lit(high)))
 
 
 def count_if(condition: Column) -> Column:

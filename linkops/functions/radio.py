@@ -91,7 +91,7 @@ def with_mcs_entry(df: DataFrame, mcs: str = "mcs") -> DataFrame:
 
 
 def with_cqi_entry(df: DataFrame, cqi: str = "cqi", table: str = "table1") -> DataFrame:
-    """Attach the CQI table row (48 rows, broadcast); CQI 0 is raised to 1."""
+    """Attach the CQI table row (48 rows, broadcast); CQI 0 is raised to 1, null CQI has no row."""
     entries = (
         cqi_frame(df.sparkSession)
         .where(F.col("table") == table)
@@ -99,7 +99,7 @@ def with_cqi_entry(df: DataFrame, cqi: str = "cqi", table: str = "table1") -> Da
         .withColumn("modulation", modulation_name("qm"))
     )
     return df.join(
-        F.broadcast(entries), F.greatest(F.col(cqi).cast("int"), F.lit(1)) == F.col("_cqi"), "left"
+        F.broadcast(entries), F.when(F.col(cqi).isNotNull(), F.greatest(F.col(cqi).cast("int"), F.lit(1))) == F.col("_cqi"), "left"
     ).drop("_cqi")
 
 

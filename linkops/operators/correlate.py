@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import radio
 from ..functions.expr import micros, seconds_between
-from ..session import materialize
+from ..session import materialize, small_side
+from .joins import null_safe_join
 from .ordered import chunked, halo_blocks, row_numbers, segments
 
 LINK_KEYS = ("file", "ue_id", "rnti", "harq_id")
@@ -347,5 +348,5 @@ def back_join_totals(df: DataFrame, keys, totals: dict[str, Column]) -> DataFram
     Unlike a window this does not gather a large group in one task.
     """
     sums = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    return df.join(sums, list(keys), "left")
+    return null_safe_join(df, small_side(sums), list(keys), "left")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import linspace
+from ..functions.expr import clip, linspace
 from .metrics import confusion
 from .ordered import running_sums
 from .sampling import top_slices
@@ -31,9 +31,11 @@ def probability_errors(df: DataFrame, p: str = "p", label: str = "label_pass", k
 
 
 def reliability(df: DataFrame, bins: int = 15, p: str = "p", label: str = "label_pass", keys=()) -> DataFrame:
-    """Equal-width reliability table; p = 1 belongs to the last bin, empty bins stay with zeros."""
+    """Equal-width reliability table; p = 1 belongs to the last bin, empty bins stay with zeros,
+    rows without a probability are in none."""
     keys = list(keys)
-    q = F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0))
+    df = df.where(F.col(p).isNotNull())
+    q = clip(p, 0.0, 1.0)
     index = F.least(F.floor(q * bins), F.lit(bins - 1)).cast("int")
     sums = df.select(*keys, q.alias("_q"), F.col(label).cast("double").alias("_y"), index.alias("bin")).groupBy(
         *keys, "bin"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import clip
 from ..session import small_side
+from .ordered import chunked, row_numbers
 
 # Alias to canonical column name.
 ALIASES = {
@@ -103,7 +104,7 @@ def promote_sinr(df: DataFrame, file_order: bool = False) -> DataFrame:
 
 
 def clean_text(name: str) -> Column:
-    return F.regexp_replace(F.trim(F.col(name).cast("string")), r"^'+|'+$", "")
+    return F.regexp_replace(F.regexp_replace(F.col(name).cast("string"), r"^\s+|\s+$", ""), r"^'+|'+$", "")
 
 
 def clean_cast(df: DataFrame, int_via_double: bool = False) -> DataFrame:
@@ -162,10 +163,8 @@ def derived_features(df: DataFrame) -> DataFrame:
 
 def modulation_codes(df: DataFrame, column: str = "mod", out: str = "mod_code") -> DataFrame:
     """Dense code of a text category over its sorted distinct values: stable under any partitioning."""
-    from pyspark.sql import Window
-
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = values.withColumn(out, (F.dense_rank().over(Window.orderBy(column)) - 1).cast("int"))
+    codes = row_numbers(chunked(values, [], [column]), out).drop("_chunk", "_idx").withColumn(out, F.col(out).cast("int"))
     return df.join(small_side(codes), column, "left")
 
 

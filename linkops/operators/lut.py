@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import clip, code, decode
 from ..functions.radio import efficiency_column
-from ..session import small_side
+from ..session import materialize, small_side
 from .quantiles import grouped_quantiles
 
 CELL = ["snr_code", "cqi_code"]
@@ -46,7 +46,8 @@ def _long(value, key: str) -> Column:
 def lookup_snr(df: DataFrame, lut: DataFrame, snr: str = "snr", snr_bin: float = 0.1, default: int = 0,
                out: str = "lut_mcs") -> DataFrame:
     """Nearest key of a 1-D table ``(snr_code, mcs)``; an empty table gives ``default``."""
-    dense = densify(lut.select("snr_code", "mcs"), "snr_code").select(
+    lut = materialize(lut.select("snr_code", "mcs"), "lut")
+    dense = densify(lut, "snr_code").select(
         F.col("snr_code").alias("_s"), F.col("mcs").alias("_mcs")
     )
     span = lut.agg(F.min("snr_code").alias("_lo"), F.max("snr_code").alias("_hi"))
@@ -56,7 +57,7 @@ def lookup_snr(df: DataFrame, lut: DataFrame, snr: str = "snr", snr_bin: float =
 
 
 def clip_col(value: Column, low: str, high: str) -> Column:
-    return F.least(F.greatest(value, F.col(low)), F.col(high))
+    return clip(value, F.col(low), F.col(high))
 
 
 def dense_table(lut: DataFrame) -> DataFrame:
@@ -73,7 +74,8 @@ def dense_table(lut: DataFrame) -> DataFrame:
 def lookup_snr_cqi(df: DataFrame, lut: DataFrame, snr: str = "snr", cqi: str = "cqi", snr_bin: float = 0.1,
                    cqi_bin: float = 1.0, default: int = 0, out: str = "lut_mcs") -> DataFrame:
     """Nearest SNR key, then nearest CQI key inside it; one equality join on the filled table."""
-    dense = dense_table(lut).select(F.col("snr_code").alias("_s"), F.col("cqi_code").alias("_c"), F.col("mcs").alias("_mcs"))
+    lut = materialize(lut.select(*CELL, "mcs"), "lut")
+    dense = materialize(dense_table(lut), "dense-lut").select(F.col("snr_code").alias("_s"), F.col("cqi_code").alias("_c"), F.col("mcs").alias("_mcs"))
     span = lut.agg(
         F.min("snr_code").alias("_slo"), F.max("snr_code").alias("_shi"),
         F.min("cqi_code").alias("_clo"), F.max("cqi_code").alias("_chi"),
@@ -90,7 +92,7 @@ def lookup_snr_cqi(df: DataFrame, lut: DataFrame, snr: str = "snr", cqi: str = "
 def lookup_exact(df: DataFrame, lut: DataFrame, snr: str = "snr", cqi: str = "cqi", cap: int = 15,
                  out: str = "lut_cqi") -> DataFrame:
     """Exact hit on SNR (1 digit) and CQI: value capped at ``cap``; a miss gives 0."""
-    keys = lut.select(F.col("snr_code").alias("_s"), F.col("cqi_code").alias("_c"), F.col("mcs").alias("_mcs"))
+    keys = materialize(lut.select(F.col("snr_code").alias("_s"), F.col("cqi_code").alias("_c"), F.col("mcs").alias("_mcs")), "lut")
     keyed = df.withColumns({"_s": code(snr, 0.1), "_c": code(cqi, 1.0)})
     joined = keyed.join(small_side(keys), ["_s", "_c"], "left")
     return joined.withColumn(out, F.least(F.coalesce("_mcs", F.lit(0)), F.lit(cap))).drop("_s", "_c", "_mcs")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import radio
 from ..functions.expr import col, count_if, floor_bin, micros, safe_div
+from ..session import small_side
+from .joins import null_safe_join
 from .ordered import running_sums
 
 
@@ -20,7 +22,7 @@ def throughput_columns(df: DataFrame) -> DataFrame:
 def relative_time(df: DataFrame, keys=("file",), ts: str = "ts", out: str = "pdsch_time_relative_s") -> DataFrame:
     """Seconds since the first transmission of each source."""
     starts = df.groupBy(*keys).agg(F.min(micros(ts)).alias("_start"))
-    return df.join(starts, list(keys)).withColumn(out, (micros(ts) - F.col("_start")) / 1e6).drop("_start")
+    return null_safe_join(df, small_side(starts), list(keys)).withColumn(out, (micros(ts) - F.col("_start")) / 1e6).drop("_start")
 
 
 def running_error_rate(df: DataFrame, series, order, nack: Column, out: str = "bler") -> DataFrame:
@@ -105,7 +107,8 @@ def error_by_mcs(df: DataFrame, min_count: int = 5) -> DataFrame:
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Counts and percentages of each value."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn("percent", F.col("count") / F.sum("count").over(Window.partitionBy()) * 100)
+    total = F.broadcast(counts.agg(F.sum("count").alias("_all")))  # one row
+    return counts.join(total).withColumn("percent", F.col("count") / F.col("_all") * 100).drop("_all")
 
 
 def harq_process_stats(df: DataFrame, keys=("ue_id", "rnti", "harq_id")) -> DataFrame:

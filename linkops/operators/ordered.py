@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .joins import null_safe_join
 
 _ROW_BITS = 33
 
@@ -60,7 +61,7 @@ def running_sums(df: DataFrame, series, order, sums: dict[str, Column], chunks:
     inside = _chunk_window(series).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumns({f"_run_{name}": F.sum(f"_v_{name}").over(inside) for name in sums})
     # At most one row per chunk, and the number of chunks is the number of range partitions.
-    joined = local.join(F.broadcast(offsets), ["_chunk", *series], "left")
+    joined = null_safe_join(local, F.broadcast(offsets), ["_chunk", *series], "left")
     for name in sums:
         zero = F.lit(0)
         joined = joined.withColumn(name, F.col(f"_run_{name}") + F.coalesce(F.col(f"_off_{name}"), zero))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import col, floor_bin, linspace
+from ..functions.expr import clip, col, floor_bin, linspace
 from ..functions.radio import cqi_to_mcs
 from .evaluate import thresholds_met
 
@@ -93,9 +93,9 @@ def guarded_mcs(baseline, guardrail=None, cand="cand") -> Column:
 
 
 def cqi_choice(cqi="cqi", guardrail=None, cand="cand", offset: int = 0, **mapping) -> Column:
-    """CQI baseline with its probability; ``mapping`` goes to :func:`linkops.functions.radio.cqi_to_mcs`."""
+    """CQI baseline with its probability, null without a CQI; ``mapping`` goes to :func:`linkops.functions.radio.cqi_to_mcs`."""
     low, high = mapping.get("mcs_min", 0), mapping.get("mcs_max", 27)
-    mapped = F.least(F.greatest(cqi_to_mcs(cqi, **mapping) + F.lit(offset), F.lit(low)), F.lit(high))
+    mapped = F.when(col(cqi).isNotNull(), clip(cqi_to_mcs(cqi, **mapping) + F.lit(offset), low, high))
     return _lookup(guarded_mcs(mapped, guardrail, cand), cand)
 
 
@@ -105,7 +105,7 @@ def _lookup(mcs, cand) -> Column:
 
 
 def lut_choice(mcs, guardrail=None, cand="cand", mcs_min: int = 0, mcs_max: int = 27) -> Column:
-    clamped = F.least(F.greatest(col(mcs).cast("int"), F.lit(mcs_min)), F.lit(mcs_max))
+    clamped = clip(col(mcs).cast("int"), mcs_min, mcs_max)
     return _lookup(guarded_mcs(clamped, guardrail, cand), cand)
 
 

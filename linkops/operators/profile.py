@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, count_if
+from ..session import small_side
+from .joins import null_safe_join
 from .quantiles import grouped_quantiles
 
 PROFILE_QUANTILES = {"q1": 0.01, "q5": 0.05, "q50": 0.5, "q95": 0.95, "q99": 0.99}
@@ -115,6 +117,6 @@ def cqi_spread(df: DataFrame, point: str, cqi: str = "cqi", percent: float = 90.
         F.max(F.when(F.col("q") == high, F.col(cqi))).alias("cqi_high"),
     )
     far = F.sum(F.when(F.abs(F.col(cqi) - F.col("cqi_median")) > 1, F.col("_n")).otherwise(0))
-    return counts.join(q, point).groupBy(point, "cqi_median", "cqi_low", "cqi_high").agg(
+    return null_safe_join(counts, small_side(q), [point]).groupBy(point, "cqi_median", "cqi_low", "cqi_high").agg(
         (far / F.sum("_n")).alias("far_share")
     )

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, small_side
+from .joins import null_safe_join
 from .ordered import running_sums
 
 
@@ -45,7 +46,7 @@ def grouped_quantiles(df: DataFrame, keys, value: str, qs, method: str = "linear
     # Few ranks per group meet the value counts of the group; each value covers ranks [_cum - _c, _cum).
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
     if keys:
-        meet = run.join(wanted, keys)
+        meet = null_safe_join(run, small_side(wanted), keys)
     else:
         meet = run.join(F.broadcast(wanted))
     covers_lo = F.col("_lo").between(first, last)

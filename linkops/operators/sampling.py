@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_fraction
+from ..session import small_side
+from .joins import null_safe_join
 from .ordered import running_sums
 
 
@@ -49,7 +51,7 @@ def exact_split(df: DataFrame, test_fraction: float, key, strata=(), seed: int =
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in key]))
     ranked = running_sums(hashed, strata, ["_h", *key], {"_rank": F.lit(1)})
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    sized = ranked.join(sizes, strata) if strata else ranked.join(F.broadcast(sizes))
+    sized = null_safe_join(ranked, small_side(sizes), strata) if strata else ranked.join(F.broadcast(sizes))
     n_test = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(test_fraction)))
     return sized.withColumn(out, F.when(F.col("_rank") <= n_test, "test").otherwise("train")).drop("_h", "_rank", "_n")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import features, sampling
 from ..sources import sinks, slots
@@ -11,13 +12,15 @@ from ..sources import sinks, slots
 def features_from_files(spark: SparkSession, path: str, pattern: str = "*", success_value: int = 1, target: float = 10.0,
                         max_files: int | None = None, names_metadata: bool = True) -> DataFrame:
     """Mixed delimited files to the canonical feature table, with their source file."""
-    def canonical(frame: DataFrame) -> DataFrame:
-        return features.promote_sinr(features.canonical_columns(frame))
-
-    raw = slots.scan_slot_files(spark, path, pattern, max_files, canonical)
-    if names_metadata and "target_bler" not in raw.columns:
-        raw = slots.file_name_metadata(raw)
-    out = features.engineer(raw, success_value, target)
+    def of_one_kind(frame: DataFrame) -> DataFrame:
+        """Files of one header decide by themselves which columns they have and which defaults they need."""
+        named = features.promote_sinr(features.canonical_columns(frame))
+        if names_metadata:
+            named = slots.file_name_metadata(named, keep=True)
+            named = named.withColumn("target_bler", F.coalesce("target_bler", F.lit(float(target)).cast("string")))
+        return features.engineer(named, success_value, target)
+
+    out = slots.scan_slot_files(spark, path, pattern, max_files, of_one_kind)
     if "mod" in out.columns:
         out = features.modulation_codes(out)
     return features.align_schema(out, features.FEATURE_SCHEMA + ", source_file string")

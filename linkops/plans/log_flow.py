@@ -23,8 +23,9 @@ def transmissions_from_lines(lines: DataFrame, window_ms: float = 50, mode: str
     """Numbered lines to finished transmissions.
 
     ``mode`` is ``consume`` (feedback retires a transmission) or ``first`` (first feedback in the window).
-    Events are parsed once and staged; every later step reads the compact events.
+    The lines that matter are stored once, then the events; every later step reads those.
     """
+    lines = logs.needed_lines(lines)
     events = materialize(logs.classified(lines), "events")
     tx, fb = logs.pdsch_events(events), logs.harq_events(events).drop("tbs")
     if mode == "consume":
@@ -36,7 +37,7 @@ def transmissions_from_lines(lines: DataFrame, window_ms: float = 50, mode: str
     if skip_measurements:
         measured = matched.withColumns({c: F.lit(None).cast("double") for c in [*DL_VALUES, "ul_sinr"]})
     else:
-        measured = correlate.bucket_measurement(matched, logs.dl_measurements(lines), DL_VALUES)
+        measured = correlate.bucket_measurement(matched, logs.dl_measurements(lines, stored=True), DL_VALUES)
         measured = correlate.bucket_measurement(measured, logs.ul_measurements(events), ["ul_sinr"])
     return finish(measured, unmatched)
 

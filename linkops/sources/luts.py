@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import code
+from ..functions.expr import clip, code
 
 
 def _lower_names(df: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def filter_lut(df: DataFrame, mcs_min: int = 0, mcs_max: int = 15) -> DataFrame:
     return df.select(
         "snr",
         F.rint("cqi").cast("int").alias("cqi"),
-        F.least(F.greatest(F.rint("mcs").cast("int"), F.lit(mcs_min)), F.lit(mcs_max)).alias("mcs"),
+        clip(F.rint("mcs").cast("int"), mcs_min, mcs_max).alias("mcs"),
     ).orderBy("snr", "cqi")
 
 

@@ -96,11 +96,18 @@ def diagonal_union(frames) -> DataFrame:
 
 
 def file_name_metadata(df: DataFrame, name: str = "source_file", window: str = "window",
-                       target: str = "target_bler") -> DataFrame:
-    """Window and target BLER from names like ``…BLERw2000Tbler0.05_….csv`` (any case)."""
+                       target: str = "target_bler", keep: bool = False) -> DataFrame:
+    """Window and target BLER from names like ``…BLERw2000Tbler0.05_….csv`` (any case).
+
+    With ``keep``, values that a text column of the frame has already win over those of the name.
+    """
     window_text = F.regexp_extract(name, r"(?i)BLERw(\d+)", 1)
     target_text = F.rtrim(F.regexp_extract(name, r"(?i)Tbler([0-9.]+)", 1), F.lit("."))
-    return df.withColumns({window: window_text.try_cast("int"), target: target_text.try_cast("double")})
+    found = {window: window_text.try_cast("int"), target: target_text.try_cast("double")}
+    if keep:
+        own = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+        found = {c: F.coalesce(own(c), v.cast("string")) if c in df.columns else v.cast("string") for c, v in found.items()}
+    return df.withColumns(found)
 
 
 def scenario_metadata(df: DataFrame, path: str = "path") -> DataFrame:
