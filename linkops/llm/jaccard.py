@@ -29,6 +29,8 @@ CLASSES = 16
 # A token of at least this share of the documents, and of FREQUENT_LEAST, is frequent; the shared set of them stays
 # below FREQUENT_MOST.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.001, 2_000, 1_000_000
+# Members of a bucket that a task compares with as many others.
+BLOCK_SETS = 1_000
 # Rounds that compare a bucket's members with one of them only, before all pairs that are still apart.
 STARS = 3
 
@@ -239,6 +241,104 @@ def _possible(x, y, threshold):
     return sized & (x["pos"] <= x["n"] - common) & (y["pos"] <= y["n"] - common)
 
 
+def _overlaps(rows: list[tuple], possible: np.ndarray) -> np.ndarray:
+    """Common tokens of the possible pairs of rows; other cells are of no use."""
+    m = len(rows)
+    if possible.sum() <= 40 * m:
+        out = np.zeros((m, m), np.int64)
+        for i, j in zip(*np.nonzero(possible)):
+            x, y = rows[i][5], rows[j][5]
+            out[i, j] = len(x) + len(y) - len(np.union1d(x, y))
+        return out
+    tokens, at, n = np.unique(np.concatenate([r[5] for r in rows]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), [len(r[5]) for r in rows])
+    shared = n[at] > 1
+    column = np.cumsum(n > 1) - 1
+    at, owner = column[at[shared]], owner[shared]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((m, m), np.float32)
+    for begin in range(0, int((n > 1).sum()), 4096):
+        low, high = np.searchsorted(at, (begin, begin + 4096))
+        part = np.zeros((m, 4096), np.float32)
+        part[owner[low:high], at[low:high] - begin] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _bucket_links(rows: list[tuple], same_block: bool, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between members with different labels, at most one less than there are members."""
+    part, whole = threshold
+    node, n, pos, label, block = (np.array([r[k] for r in rows]) for k in range(5))
+    total = n[:, None] + n[None, :]
+    room = n[:, None] - -(-part * total // (part + whole))
+    fits = pos[:, None] <= room  # of the row beside the column; the other way round is its transpose
+    possible = (label[:, None] != label[None, :]) & fits & fits.T & np.triu(np.ones(total.shape, bool), 1)
+    possible &= np.minimum(n[:, None], n[None, :]) * whole >= np.maximum(n[:, None], n[None, :]) * part
+    if not same_block:
+        possible &= block[:, None] != block[None, :]
+    if not possible.any():
+        return []
+    both = _overlaps(rows, possible)
+    linked = possible & (whole * both >= part * (total - both))
+    root = {int(x): int(x) for x in label}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = find(int(label[i])), find(int(label[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    return out
+
+
+def apart_links(held: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """Stored ``a, b`` links between members of one bucket that are still in different components.
+
+    Every pair is looked at, inside tasks: a bucket is cut into blocks of about ``BLOCK_SETS``, and a task has two
+    blocks with their sets. What leaves it is a spanning part of the links it finds, never a pair that is none.
+    """
+    counts = held.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_SETS))).cast("int").alias("blocks"))
+    dealt = held.join(counts, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.join(sets, "node").select(
+        "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "pos", "label",
+        F.col("own").alias("block"), "tokens",
+    )
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members = None, []
+
+        def links() -> list[tuple[int, int]]:
+            return _bucket_links(members, group[1] == group[2], threshold) if len(members) > 1 else []
+
+        for batch in batches:
+            found = []
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            plain = list(zip(*(batch.column(k).to_pylist() for k in range(3, 8))))
+            flat, at = batch.column(8).values.to_numpy(), batch.column(8).offsets.to_numpy()
+            for k, key in enumerate(keys):
+                if key != group:
+                    found += links()
+                    group, members = key, []
+                members.append((*plain[k], flat[at[k]:at[k + 1]].copy()))
+            yield _pairs(found)
+        yield _pairs(links())
+
+    ordered = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return materialize(ordered.mapInArrow(solve, "a long, b long").distinct(), "links")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array([p[i] for p in found], pa.int64()) for i, k in enumerate(("a", "b"))})
+
+
 @staged
 def set_links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Stored ``node, label`` of all sets with a link; distinct sets only."""
@@ -280,10 +380,9 @@ def set_links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, threshold:
             sides = held.select("sig", row.alias("x")).join(centre, "sig")
             pairs = sides.where((F.col("x.label") != F.col("y.label")) & _possible(F.col("x"), F.col("y"), threshold))
         else:
-            # Members of one component are never compared with each other.
-            x, y = held.select("sig", row.alias("x")), held.select("sig", row.alias("y"))
-            apart = (F.col("x.label") < F.col("y.label")) & _possible(F.col("x"), F.col("y"), threshold)
-            pairs = x.join(y, (x["sig"] == y["sig"]) & apart)
+            new = apart_links(held, sets, threshold)
+            links = links.unionByName(new)
+            break
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -292,7 +391,7 @@ def set_links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, threshold:
         new = materialize(verify(pairs, sets, threshold), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links)
-    return labels
+    return components(links)
 
 
 @staged
