@@ -153,9 +153,13 @@ def keyed_dedup(spark, sf_dir):
     return lut.merge_luts(_coarse(spark, sf_dir), _empirical(spark, sf_dir).withColumn("mcs", F.lit(0)))
 
 
-@query("A20_lut_pivot", f"""WITH {EMPIRICAL} SELECT cqi_code, avg(mcs) FILTER (snr_code = 0) AS "0", avg(mcs) FILTER (snr_code = 50) AS "50" FROM emp GROUP BY 1""")
+# The SNR grid of the transmissions: -9.5 to 15 in half steps.
+_SNR_CODES = list(range(-95, 151, 5))
+
+
+@query("A20_lut_pivot", f"WITH {EMPIRICAL} SELECT cqi_code, " + ", ".join(f'avg(mcs) FILTER (snr_code = {c}) AS "{c}"' for c in _SNR_CODES) + " FROM emp GROUP BY 1")
 def lut_pivot(spark, sf_dir):
-    return metrics.lut_pivot(_empirical(spark, sf_dir), "cqi_code", "snr_code", [0, 50])
+    return metrics.lut_pivot(_empirical(spark, sf_dir), "cqi_code", "snr_code", _SNR_CODES)
 
 
 @query("S14_lut_reader", f"WITH {EMPIRICAL} SELECT * FROM emp")
@@ -255,23 +259,23 @@ def polynomial_lut(spark, sf_dir):
 
 def _axes(spark, sf_dir):
     row = transmissions(spark, sf_dir).agg(F.min("snr"), F.max("snr"), F.min("cqi"), F.max("cqi")).first()
-    return {"snr": linspace(row[0], row[1], 3), "cqi": linspace(row[2], row[3], 3)}, [row[1] - row[0], float(row[3] - row[2])]
+    return {"snr": linspace(row[0], row[1], 5), "cqi": linspace(row[2], row[3], 5)}, [row[1] - row[0], float(row[3] - row[2])]
 
 
 @query("J15_nearest_rows", f"""WITH {TX}, b AS (SELECT min(snr) AS s0, max(snr) AS s1, min(cqi) AS c0, max(cqi) AS c1 FROM tx),
-v AS (SELECT CAST(i * 3 + j AS INTEGER) AS vertex, s0 + (s1 - s0) / 2 * i AS vs, c0 + (c1 - c0) / 2 * j AS vc, s1 - s0 AS ws, c1 - c0 AS wc FROM b, range(0, 3) r(i), range(0, 3) q(j)),
+v AS (SELECT CAST(i * 5 + j AS INTEGER) AS vertex, s0 + (s1 - s0) / 4 * i AS vs, c0 + (c1 - c0) / 4 * j AS vc, s1 - s0 AS ws, c1 - c0 AS wc FROM b, range(0, 5) r(i), range(0, 5) q(j)),
 d AS (SELECT vertex, mcs, sqrt(((snr - vs) / ws) ** 2 + ((cqi - vc) / wc) ** 2) AS d, {KEY_SQL} FROM tx, v),
 r AS (SELECT *, row_number() OVER (PARTITION BY vertex ORDER BY d, {KEY_SQL}) AS rn FROM d)
-SELECT vertex, sum(mcs / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS value, count(*) AS neighbours FROM r WHERE rn <= 50 GROUP BY 1""", "value", digits=4)
+SELECT vertex, sum(mcs / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS value, count(*) AS neighbours FROM r WHERE rn <= 200 GROUP BY 1""", "value", digits=4)
 def nearest_rows(spark, sf_dir):
     axes, scales = _axes(spark, sf_dir)
-    return lut.nearest_rows(transmissions(spark, sf_dir), ["snr", "cqi"], "mcs", axes, scales, ROW_KEY, 50)
+    return lut.nearest_rows(transmissions(spark, sf_dir), ["snr", "cqi"], "mcs", axes, scales, ROW_KEY, 200)
 
 
 @query("L6_interpolation_lut")
 def interpolation_lut(spark, sf_dir):
     axes, scales = _axes(spark, sf_dir)
-    values = lut.nearest_rows(transmissions(spark, sf_dir), ["snr", "cqi"], "mcs", axes, scales, ROW_KEY, 50)
+    values = lut.nearest_rows(transmissions(spark, sf_dir), ["snr", "cqi"], "mcs", axes, scales, ROW_KEY, 200)
     # One value per vertex of a grid of at most a few nodes per axis.
     by_vertex = {r["vertex"]: r["value"] for r in values.collect()}
     vertices = {index: by_vertex[i] for i, (index, _) in enumerate(lut.grid_vertices(axes))}

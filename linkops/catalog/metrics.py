@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..operators import metrics, ordered, profile
@@ -75,19 +77,24 @@ def run_statistics(spark, sf_dir):
     return metrics.run_statistics(tx)
 
 
-@query("A9_column_profile", f"""WITH {TX}, l AS (
-  SELECT 'snr' AS column_name, snr AS v FROM tx UNION ALL SELECT 'tbs', CAST(tbs AS DOUBLE) FROM tx
-  UNION ALL SELECT 'bler', CASE WHEN mcs = 3 THEN NULL ELSE bler END FROM tx),
+# Every numeric column of the transmissions; bler has nulls here.
+NUMERIC = ["snr", "cqi", "mcs", "tbs", "ele_angle", "bler", "target_bler", "ack_status", "nrtx", "harq_id", "ue_id", "blkerr", "label_pass", "p", "u"]
+_LONG = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({'CASE WHEN mcs = 3 THEN NULL ELSE bler END' if c == 'bler' else c} AS DOUBLE) AS v FROM tx" for c in NUMERIC
+)
+_RANKS = {"q1": 0.01, "q5": 0.05, "q50": 0.5, "q95": 0.95, "q99": 0.99}
+_PICKED = ", ".join(f"max(v) FILTER (i = floor((n - 1) * {q}::DOUBLE + 0.5)) AS {name}" for name, q in _RANKS.items())
+
+
+@query("A9_column_profile", f"""WITH {TX}, l AS ({_LONG}),
 n AS (SELECT column_name, count(v) AS n FROM l GROUP BY 1),
 o AS (SELECT l.column_name, v, n, row_number() OVER (PARTITION BY l.column_name ORDER BY v) - 1 AS i FROM l JOIN n USING (column_name) WHERE v IS NOT NULL)
 SELECT column_name, count(*) AS rows, (count(*) - count(v)) / count(*) AS missing_fraction, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max,
-  any_value(q.q1) AS q1, any_value(q.q5) AS q5, any_value(q.q50) AS q50, any_value(q.q95) AS q95, any_value(q.q99) AS q99
-FROM l JOIN (SELECT column_name, max(v) FILTER (i = floor((n - 1) * 0.01::DOUBLE + 0.5)) AS q1, max(v) FILTER (i = floor((n - 1) * 0.05::DOUBLE + 0.5)) AS q5,
-  max(v) FILTER (i = floor((n - 1) * 0.5::DOUBLE + 0.5)) AS q50, max(v) FILTER (i = floor((n - 1) * 0.95::DOUBLE + 0.5)) AS q95,
-  max(v) FILTER (i = floor((n - 1) * 0.99::DOUBLE + 0.5)) AS q99 FROM o GROUP BY 1) q USING (column_name) GROUP BY 1""", "missing_fraction mean std", digits=4)
+  {', '.join(f'any_value(q.{name}) AS {name}' for name in _RANKS)}
+FROM l JOIN (SELECT column_name, {_PICKED} FROM o GROUP BY 1) q USING (column_name) GROUP BY 1""", "missing_fraction mean std", digits=4)
 def column_profile(spark, sf_dir):
     tx = transmissions(spark, sf_dir).withColumn("bler", F.when(F.col("mcs") != 3, F.col("bler")))
-    return profile.column_profile(tx, ["snr", "tbs", "bler"])
+    return profile.column_profile(tx, NUMERIC)
 
 
 @query("A10_rates", f"""WITH {TX} SELECT avg(label_pass) AS pass_rate, avg(CAST(blkerr = 1 AS DOUBLE)) AS ack_rate, avg(CAST(bler > target_bler AS DOUBLE)) AS violation_rate,
@@ -96,10 +103,11 @@ def rates(spark, sf_dir):
     return profile.rates(transmissions(spark, sf_dir))
 
 
-@query("A11_correlations", f"""WITH {TX} SELECT 'snr' AS column_a, 'cqi' AS column_b, corr(snr, cqi) AS correlation FROM tx
-UNION ALL SELECT 'snr', 'p', corr(snr, p) FROM tx UNION ALL SELECT 'cqi', 'p', corr(cqi, p) FROM tx""", "correlation")
+@query("A11_correlations", f"WITH {TX} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS correlation FROM tx" for a, b in combinations(NUMERIC, 2)
+), "correlation")
 def correlations(spark, sf_dir):
-    return profile.correlations(transmissions(spark, sf_dir), ["snr", "cqi", "p"])
+    return profile.correlations(transmissions(spark, sf_dir), NUMERIC)
 
 
 @query("A12_histogram", f"""WITH {TX}, c AS (SELECT least(greatest(tbs, 20000), 60000) AS x FROM tx), s AS (SELECT min(x) AS lo, max(x) AS hi FROM c),
@@ -141,10 +149,13 @@ def best_mcs_per_snr(spark, sf_dir):
     return metrics.best_mcs_per_snr(transmissions(spark, sf_dir), ["cqi", "bler"], ["target_bler"], ORDER)
 
 
-@query("A18_label_pivot", """SELECT p_size AS size, count(*) FILTER (p_type = 'SMALL') AS SMALL, count(*) FILTER (p_type = 'ECONOMY') AS ECONOMY FROM part GROUP BY 1""")
+_PART_TYPES = ["SMALL", "ECONOMY", "LARGE", "MEDIUM", "PROMO", "STANDARD"]
+
+
+@query("A18_label_pivot", "SELECT p_size AS size, " + ", ".join(f"count(*) FILTER (p_type = '{t}') AS {t}" for t in _PART_TYPES) + " FROM part GROUP BY 1")
 def label_pivot(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), "p_type")
-    return metrics.label_pivot(part, "size", "p_type", ["SMALL", "ECONOMY"])
+    return metrics.label_pivot(part, "size", "p_type", _PART_TYPES)
 
 
 @query("A19_time_bin_pivot", """WITH t AS (SELECT epoch_us(CAST(l_shipdate AS TIMESTAMP)) / 1e6::DOUBLE AS t, l_returnflag FROM lineitem), s AS (SELECT min(t) AS lo, max(t) AS hi FROM t)
@@ -198,13 +209,15 @@ def cumulative(spark, sf_dir):
     return metrics.cumulative(tx, ["ue_id"], ORDER, {"cum_tbs": "tbs", "cum_ok": "ok"}).select(*ROW_KEY, "cum_tbs", "cum_ok")
 
 
-@query("W3_trailing_means", f"""WITH {TX} SELECT {KEY_SQL}, avg(tbs) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS 9 PRECEDING) AS rate10,
-  avg(mcs) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS 99 PRECEDING) AS mcs100 FROM tx""", "rate10 mcs100")
+_LAGS = {f"{c}_{lag}": (c, lag) for c in ("bler", "mcs", "tbs") for lag in (10, 1000, 1500, 2000, 5000)}
+
+
+@query("W3_trailing_means", f"WITH {TX} SELECT {KEY_SQL}, " + ", ".join(
+    f"avg({c}) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS {lag - 1} PRECEDING) AS {name}" for name, (c, lag) in _LAGS.items()
+) + " FROM tx", " ".join(_LAGS), digits=4)
 def trailing_means(spark, sf_dir):
-    tx = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "tbs", "mcs")
-    return ordered.trailing(
-        tx, ["ue_id"], ORDER, {"rate10": ("tbs", 10), "mcs100": ("mcs", 100)}, block_rows=5000
-    ).select(*ROW_KEY, "rate10", "mcs100")
+    tx = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "bler", "mcs", "tbs")
+    return ordered.trailing(tx, ["ue_id"], ORDER, _LAGS).select(*ROW_KEY, *_LAGS)
 
 
 @query("W4_padded_rolling", f"""WITH {TX}, g AS (SELECT floor(ele_angle) AS ele_bin, avg(mcs) AS m FROM tx GROUP BY 1),
@@ -215,19 +228,19 @@ def padded_rolling(spark, sf_dir):
     return ordered.padded_rolling(bins, "ele_bin", ["m"], 5)
 
 
-@query("W5_windowed_error_rate", f"""WITH {TX} SELECT {KEY_SQL}, avg(1 - blkerr) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS bler_window FROM tx""", "bler_window")
+@query("W5_windowed_error_rate", f"""WITH {TX} SELECT {KEY_SQL}, avg(1 - blkerr) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING) AS bler_window FROM tx""", "bler_window")
 def windowed_error_rate(spark, sf_dir):
     tx = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "blkerr")
-    return ordered.windowed_error_rate(tx, ["ue_id"], ORDER, 50, F.col("blkerr") == 0).select(*ROW_KEY, "bler_window")
+    return ordered.windowed_error_rate(tx, ["ue_id"], ORDER, 1000, F.col("blkerr") == 0).select(*ROW_KEY, "bler_window")
 
 
 @query("W5_windowed_error_rate_compat", f"""WITH {TX}, s AS (
-  SELECT {KEY_SQL}, row_number() OVER w - 1 AS n, sum(1 - blkerr) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS BETWEEN 51 PRECEDING AND 1 PRECEDING) AS wide FROM tx
+  SELECT {KEY_SQL}, row_number() OVER w - 1 AS n, sum(1 - blkerr) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS BETWEEN 1001 PRECEDING AND 1 PRECEDING) AS wide FROM tx
   WINDOW w AS (PARTITION BY ue_id ORDER BY {ORDER_SQL}))
-SELECT {KEY_SQL}, CASE WHEN n > 50 THEN wide / 50 WHEN n > 0 THEN wide / n END AS bler_window FROM s""", "bler_window")
+SELECT {KEY_SQL}, CASE WHEN n > 1000 THEN wide / 1000 WHEN n > 0 THEN wide / n END AS bler_window FROM s""", "bler_window")
 def windowed_error_rate_compat(spark, sf_dir):
     tx = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "blkerr")
-    return ordered.windowed_error_rate(tx, ["ue_id"], ORDER, 50, F.col("blkerr") == 0, compat=True).select(*ROW_KEY, "bler_window")
+    return ordered.windowed_error_rate(tx, ["ue_id"], ORDER, 1000, F.col("blkerr") == 0, compat=True).select(*ROW_KEY, "bler_window")
 
 
 @query("W7_systematic_sample", f"""WITH {TX}, r AS (SELECT {KEY_SQL}, row_number() OVER (ORDER BY {ORDER_SQL}) - 1 AS i, count(*) OVER () AS n FROM tx)
