@@ -214,7 +214,7 @@ _LAGS = {f"{c}_{lag}": (c, lag) for c in ("bler", "mcs", "tbs") for lag in (10,
 
 @query("W3_trailing_means", f"WITH {TX} SELECT {KEY_SQL}, " + ", ".join(
     f"avg({c}) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS {lag - 1} PRECEDING) AS {name}" for name, (c, lag) in _LAGS.items()
-) + " FROM tx", " ".join(_LAGS), digits=4)
+) + " FROM tx", " ".join(_LAGS), digits=9)
 def trailing_means(spark, sf_dir):
     tx = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "bler", "mcs", "tbs")
     return ordered.trailing(tx, ["ue_id"], ORDER, _LAGS).select(*ROW_KEY, *_LAGS)

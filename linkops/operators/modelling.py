@@ -132,7 +132,7 @@ def train_pass_model(df: DataFrame, features, key, label: str = "label_pass", ki
                      validation: float = 0.2, balance: bool = False, seed: int = 42) -> PipelineModel:
     """P(pass | context, MCS): boosted trees with early stopping on a hashed validation share, or logistic regression."""
     rows = with_features(df, features).withColumn("_label", F.col(label).cast("double"))
-    rows = rows.withColumn("_valid", hash_fraction(key, seed) < validation)
+    rows = rows.withColumn("_valid", hash_fraction(key, seed + 1) < validation)
     if balance:
         rows = balance_weights(rows, "_label", "_weight")
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
