@@ -11,30 +11,25 @@ from linkops.llm.jaccard import one_per_component
 from linkops.llm.mixing import mix
 from linkops.llm.quality import quality
 from linkops.llm.token_files import token_digests
-from linkops.session import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-@staged
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models do not reject."""
     return quality(docs, table(spark, sf_dir, "labels")).where("kept").select(COLUMNS)
 
 
-@staged
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words a shingle, similarity 0.8 or more."""
     return one_per_component(docs, width=5, threshold=(80, 100)).select(COLUMNS)
 
 
-@staged
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
-@staged
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mix(docs).select(COLUMNS)

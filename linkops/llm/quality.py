@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_side, staged
-from .common import fresh, materialize, small_batches
+from ..session import small_side, staging
+from .common import fresh, materialize, scratch_path, small_batches
 
 ORDER = 5
 CHAR_BITS = 12
@@ -35,20 +35,28 @@ class Alphabet:
 
     def __init__(self, points: list[int]):
         self.points = np.array(sorted(points), np.uint32)
+        self._codes: np.ndarray | None = None
+
+    def __getstate__(self):
+        return {"points": self.points, "_codes": None}
 
     def codes(self, text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.minimum(np.searchsorted(self.points, raw), max(len(self.points) - 1, 0))
-        known = self.points[at] == raw if len(self.points) else np.zeros(len(raw), bool)
-        return np.where(known, at + FIRST, UNKNOWN).astype(np.int64)
-
-    def grams(self, text: str, order: int) -> np.ndarray:
-        """The n-gram ending in each character; the text begins with start marks."""
-        codes = np.concatenate([np.full(order - 1, START, np.int64), self.codes(text)])
-        out = np.zeros(len(codes) - order + 1, np.int64)
-        for k in range(order):
-            out = (out << CHAR_BITS) | codes[k:len(codes) - order + 1 + k]
-        return out
+        if self._codes is None:
+            self._codes = np.full(0x110000, UNKNOWN, np.uint16)
+            self._codes[self.points] = np.arange(len(self.points)) + FIRST
+        return self._codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def grams(self, texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-gram ending in each character of all texts, and where each text begins; texts begin with start marks."""
+        size = np.array([len(t) for t in texts], np.int64)
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) + np.repeat(np.arange(1, len(texts) + 1) * (order - 1), size)
+        codes = np.full(int(size.sum()) + len(texts) * (order - 1), START, np.int64)
+        codes[place] = self.codes("".join(texts))
+        out = np.zeros(len(place), np.int64)
+        for k in range(order - 1, -1, -1):
+            out = (out << CHAR_BITS) | codes[place - k]
+        return out, first
 
 
 def trusted_alphabet(trusted: DataFrame) -> Alphabet:
@@ -82,7 +90,7 @@ def gram_counts(trusted: DataFrame, alphabet: Alphabet, order: int = ORDER) -> D
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
-                grams = np.concatenate([alphabet.grams(t, order) for t, x in zip(texts, langs) if x == lang])
+                grams, _ = alphabet.grams([t for t, x in zip(texts, langs) if x == lang], order)
                 held.setdefault(lang, []).append(np.unique(grams, return_counts=True))
                 if len(held[lang]) > 16:
                     held[lang] = [_compact(held[lang])]
@@ -135,31 +143,60 @@ def train(counts: DataFrame, alphabet: Alphabet, order: int = ORDER) -> tuple[Da
     return stack(probabilities), stack(weights)
 
 
+class _Table:
+    """Hash table from n-grams to numbers: arrays with open addressing, filled and searched many keys at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            slot, who = np.unique(at[free], return_index=True)  # the first of those that want a slot has it
+            won = np.flatnonzero(free)[who]
+            self.keys[slot], self.values[slot] = keys[left[won]], values[left[won]]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and their values (zero if not)."""
+        at = self._home(keys)
+        held = self.keys[at]
+        seen, out = held == keys, self.values[at]
+        open_ = np.flatnonzero(~seen & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            seen[open_[hit]] = True
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return seen, np.where(seen, out, 0.0)
+
+
 class _Model:
-    """Sorted arrays of one language and the probabilities of any n-grams by backing off."""
+    """Tables of one language and the probabilities of any n-grams by backing off."""
 
     def __init__(self, order: int, vocabulary: float):
         self.order, self.floor = order, 1.0 / vocabulary
-        self.p: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.w: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table[0]):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return table[0][at] == keys, table[1][at]
+        self.p: dict[int, _Table] = {}
+        self.w: dict[int, _Table] = {}
 
     def probabilities(self, grams: np.ndarray) -> np.ndarray:
         out, scale, open_ = np.empty(len(grams)), np.ones(len(grams)), np.arange(len(grams))
         for k in range(self.order, 0, -1):
             here = grams[open_] & ((1 << CHAR_BITS * k) - 1)
-            seen, p = self._find(self.p[k], here)
+            seen, p = self.p[k].find(here)
             out[open_[seen]] = scale[open_[seen]] * p[seen]
             open_, here = open_[~seen], here[~seen]
             if not len(open_):
                 return out
-            seen, w = self._find(self.w[k], here >> CHAR_BITS)
+            seen, w = self.w[k].find(here >> CHAR_BITS)
             scale[open_[seen]] *= w[seen]
         out[open_] = scale[open_] * self.floor
         return out
@@ -175,8 +212,7 @@ def _models(probabilities: DataFrame, weights: DataFrame, alphabet: Alphabet, or
             for frame, key, value, into in ((probabilities, "gram", "p", model.p), (weights, "context", "w", model.w)):
                 held = frame.where((F.col("lang") == lang) & (F.col("k") == k)).select(key, value).toArrow()
                 keys, values = (held.column(i).to_numpy() for i in (0, 1))
-                at = np.argsort(keys)
-                into[k] = keys[at], values[at]
+                into[k] = _Table(keys, values)
     return models
 
 
@@ -186,10 +222,14 @@ def _score_broadcast(docs: DataFrame, models: dict[str, _Model], alphabet: Alpha
     @F.pandas_udf("double")
     def log_probability(texts: pd.Series, langs: pd.Series) -> pd.Series:
         models, alphabet = shared.value
-        return pd.Series([
-            float(np.log(models[x].probabilities(alphabet.grams(t, order))).sum()) if t and x in models else None
-            for t, x in zip(texts, langs)
-        ], dtype="float64")
+        out = np.full(len(texts), np.nan)
+        size, lang = texts.str.len().to_numpy(), langs.to_numpy()
+        for name, model in models.items():
+            rows = np.flatnonzero((lang == name) & (size > 0))
+            if len(rows):
+                grams, first = alphabet.grams(texts.iloc[rows].tolist(), order)
+                out[rows] = np.add.reduceat(np.log(model.probabilities(grams)), first)
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
     empty = F.lit("")
     return docs.withColumn(out, log_probability(F.coalesce("text", empty), F.coalesce("lang", empty)))
@@ -217,7 +257,7 @@ def _score_joined(docs: DataFrame, probabilities: DataFrame, weights: DataFrame,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                grams, n = np.unique(alphabet.grams(text, order), return_counts=True)
+                grams, n = np.unique(alphabet.grams([text], order)[0], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"key": [key] * len(grams), "lang": [lang] * len(grams), "gram": grams, "n": n})
 
     key, mine = fresh(docs, "_text_key", "_text_lang")
@@ -234,7 +274,6 @@ def _score_joined(docs: DataFrame, probabilities: DataFrame, weights: DataFrame,
     return joined.select(*docs.columns, F.col("_sum").alias(out))
 
 
-@staged
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, spread: float = SPREAD, prior: int = PRIOR_CHARS,
             most: int = BROADCAST_ENTRIES) -> DataFrame:
     """``docs`` with ``perplexity``, ``threshold`` and ``kept``.
@@ -248,28 +287,44 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, spread: floa
     """
     small_batches(docs.sparkSession)
     base = docs.drop("perplexity", "threshold", "kept")
+    (total,) = fresh(base, "_log_p")
+    smooth = lambda n: (-F.col(total) + F.col("mean") * prior) / (n + F.lit(prior))
+    with staging(docs.sparkSession):
+        score, limits = _fit(base, labels, order, total, smooth, spread, most)
+    scored = score(base).join(F.broadcast(limits), F.coalesce(base["lang"], F.lit("")) == F.col("_limit_lang"), "left")
+    scored = scored.withColumn("perplexity", F.exp(smooth(F.char_length("text"))))
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    return scored.withColumn("kept", kept).select(*base.columns, "perplexity", "threshold", "kept")
+
+
+def _fit(base: DataFrame, labels: DataFrame, order: int, total: str, smooth, spread: float, most: int):
+    """The scorer of the trained model, and one row per language with its mean and threshold."""
+    spark = base.sparkSession
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
-    good = small_side(good)
     known = base.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    trusted = known.join(good, "doc_id", "left_semi")
+    trusted = known.join(small_side(good), "doc_id", "left_semi")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
     alphabet = trusted_alphabet(trusted)
     p, w = train(gram_counts(trusted.where(~held), alphabet, order), alphabet, order)
-    (total,) = fresh(base, "_log_p")
     if p.count() + w.count() <= most:
         models = _models(p, w, alphabet, order)
         score = lambda rows: _score_broadcast(rows, models, alphabet, order, total)
     else:
+        p, w = (_kept(x) for x in (p, w))
         score = lambda rows: _score_joined(rows, p, w, alphabet, order, total)
     rest = materialize(score(trusted.where(held)).where(F.col(total).isNotNull()).select("lang", F.char_length("text").alias("n"), total), "held-out")
     means = rest.groupBy("lang").agg((-F.sum(total) / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("docs"))
-    smooth = lambda n: (-F.col(total) + F.col("mean") * prior) / (n + F.lit(prior))
     quantiles = rest.join(F.broadcast(means), "lang").groupBy("lang", "mean", "docs").agg(  # one row per language
         F.percentile_approx(smooth(F.col("n")), [0.5, 0.9], 10_000).alias("q")
     )
     limit = F.col("q")[0] + F.lit(spread) * (F.col("q")[1] - F.col("q")[0])
-    limits = quantiles.select(F.col("lang").alias("_limit_lang"), "mean", F.when(F.col("docs") >= LEAST_HELD_OUT, F.exp(limit)).alias("threshold"))
-    scored = score(base).join(F.broadcast(materialize(limits, "limits")), F.coalesce(base["lang"], F.lit("")) == F.col("_limit_lang"), "left")
-    scored = scored.withColumn("perplexity", F.exp(smooth(F.char_length("text"))))
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return scored.withColumn("kept", kept).select(*base.columns, "perplexity", "threshold", "kept")
+    limits = quantiles.select("lang", "mean", F.when(F.col("docs") >= LEAST_HELD_OUT, F.exp(limit)).alias("threshold"))
+    rows = [tuple(r) for r in limits.collect()]  # one row per language
+    return score, spark.createDataFrame(rows, "_limit_lang string, mean double, threshold double")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Stored for as long as the result is of use."""
+    path = scratch_path(df.sparkSession, "language-model")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
