@@ -29,8 +29,8 @@ CLASSES = 16
 # A token of at least this share of the documents, and of FREQUENT_LEAST, is frequent; the shared set of them stays
 # below FREQUENT_MOST.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.001, 2_000, 1_000_000
-# Members of a bucket that a task compares with as many others.
-BLOCK_SETS = 1_000
+# A bucket of at most PAIR_SETS gives its pairs; larger ones are compared inside tasks, BLOCK_SETS with as many others.
+PAIR_SETS, BLOCK_SETS = 64, 1_000
 # Rounds that compare a bucket's members with one of them only, before all pairs that are still apart.
 STARS = 3
 
@@ -370,8 +370,9 @@ def set_links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, threshold:
             held = buckets.withColumn("label", F.col("node"))
         else:
             held = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            apart = held.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y"))
-            held = materialize(held.join(apart.select("sig"), "sig"), "apart")
+            apart = held.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"))
+            apart = apart.where(F.col("x") != F.col("y")).select("sig", "size")
+            held = materialize(held.join(apart, "sig"), "apart")
         row = F.struct("pos", "n", "node", "label")
         if turn < STARS:
             # The member with the fewest tokens before the signature is likely to be what the others were copied from.
@@ -380,9 +381,11 @@ def set_links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, threshold:
             sides = held.select("sig", row.alias("x")).join(centre, "sig")
             pairs = sides.where((F.col("x.label") != F.col("y.label")) & _possible(F.col("x"), F.col("y"), threshold))
         else:
-            new = apart_links(held, sets, threshold)
-            links = links.unionByName(new)
-            break
+            # Members of one component are never compared with each other.
+            links = links.unionByName(apart_links(held.where(F.col("size") > PAIR_SETS), sets, threshold))
+            few = held.where(F.col("size") <= PAIR_SETS)
+            x, y = few.select("sig", row.alias("x")), few.select("sig", row.alias("y"))
+            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("x.label") < F.col("y.label")) & _possible(F.col("x"), F.col("y"), threshold))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
