@@ -11,7 +11,7 @@ from ..operators.candidates import candidates
 from ..session import scratch_path
 from ..sources import luts, sinks
 from .registry import query
-from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, p_sql, pass_probability, scored, table, transmissions
+from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, p_sql, pass_probability, scored, scored_contexts, table, transmissions
 
 SNR_BIN = 0.1
 MIN_CELL = 1
@@ -139,13 +139,13 @@ def empirical_filled(spark, sf_dir):
 @query("L2_model_lut", f"""WITH {_CELL_P} SELECT snr_code, cqi_code, CAST(least(greatest(coalesce(max(mcs) FILTER (p_stat >= 0.9::DOUBLE), arg_max(mcs, (p_stat, -mcs))), 2), 20) AS INTEGER) AS mcs
 FROM cp GROUP BY ALL""")
 def model_lut(spark, sf_dir):
-    return lut.model_lut(scored(spark, sf_dir), SNR_BIN, 1.0, 5, mcs_min=2, mcs_max=20, threshold=0.9)
+    return lut.model_lut(scored_contexts(spark, sf_dir, "snr", "cqi"), SNR_BIN, 1.0, 5, mcs_min=2, mcs_max=20, threshold=0.9, weight="n")
 
 
 @query("L2_model_lut_throughput", f"""WITH {_CELL_P} SELECT snr_code, cqi_code, coalesce(arg_max(mcs, (p_stat * eff, -mcs)) FILTER (p_stat >= 0.5), arg_max(mcs, (p_stat, -mcs))) AS mcs
 FROM cp GROUP BY ALL""")
 def model_lut_throughput(spark, sf_dir):
-    return lut.model_lut(scored(spark, sf_dir), SNR_BIN, 1.0, 5, objective="throughput", guardrail=0.5)
+    return lut.model_lut(scored_contexts(spark, sf_dir, "snr", "cqi"), SNR_BIN, 1.0, 5, objective="throughput", guardrail=0.5, weight="n")
 
 
 @query("U2_keyed_dedup", f"WITH {EMPIRICAL}, {COARSE} SELECT snr_code, cqi_code, mcs FROM lt UNION ALL SELECT snr_code, cqi_code, 0 FROM emp WHERE NOT (snr_code % 15 = 0 AND cqi_code % 3 = 0)")

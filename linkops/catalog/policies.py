@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import radio
 from ..operators import candidates, lut, policy, replay
+from ..operators.candidates import contexts
 from ..plans import decision_flow
 from .luts import NEAREST_2D, _coarse
 from .registry import query
 from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, p_sql, pass_probability, scored, transmissions
+from .tables import scored_contexts as contexts_with_candidates
 
 TAU = 0.9
 C_KEY = ", ".join(f"c.{k}" for k in ROW_KEY)
@@ -189,19 +191,22 @@ st AS (
 
 
 def _stacked(spark, sf_dir):
-    df = lut.lookup_snr_cqi(scored(spark, sf_dir).select("snr", "cqi", "ele_angle", "cand"), _coarse(spark, sf_dir))
-    return policy.stack(df, decision_flow.policy_choices(TAU, lut_mcs="lut_mcs"), ["ele_angle"])
+    """Choices of every policy, once per context; elevations are whole degrees here, which the bins keep apart."""
+    rows = contexts(transmissions(spark, sf_dir).withColumn("ele_angle", F.floor("ele_angle").cast("double")), ["snr", "cqi", "ele_angle"])
+    scored_rows = candidates.candidates(rows, lambda m: pass_probability(F.col("snr"), m))
+    df = lut.lookup_snr_cqi(scored_rows, _coarse(spark, sf_dir))
+    return policy.stack(df, decision_flow.policy_choices(TAU, lut_mcs="lut_mcs"), ["ele_angle", "n"])
 
 
 @query("R11_policy_summary", f"""WITH {_STACK} SELECT policy, 1.0::DOUBLE AS accept_rate, 1 - avg(cp) AS violation, avg(cp * ceff) AS throughput_expected,
   avg(cp * ceff) AS throughput_realized, avg(m) AS avg_mcs FROM st GROUP BY policy""", "violation throughput_expected throughput_realized avg_mcs")
 def policy_summary(spark, sf_dir):
-    return policy.policy_summary(_stacked(spark, sf_dir))
+    return policy.policy_summary(_stacked(spark, sf_dir), weight="n")
 
 
 @query("R12_elevation_series", f"WITH {_STACK} SELECT floor(ele_angle) AS ele_bin, policy, avg(1 - cp) AS bler, avg(m) AS mcs, count(*) AS rows FROM st GROUP BY ALL", "bler mcs")
 def elevation_series(spark, sf_dir):
-    return policy.elevation_series(_stacked(spark, sf_dir))
+    return policy.elevation_series(_stacked(spark, sf_dir), weight="n")
 
 
 @query("R11_policy_comparison_with_olla")
@@ -224,7 +229,7 @@ acc AS (SELECT tau, count(*) AS n, avg(c.cp) AS rel, avg(c.cp * c.ceff) AS t FRO
 @query("R13_acceptance_sweep", f"""WITH {_SWEEP} SELECT tau, coalesce(n, 0) / (SELECT count(*) FROM tx) AS accept_rate, coalesce(rel, 0) AS reliability_acc, coalesce(t, 0) AS tput_acc,
   coalesce(n, 0) / (SELECT count(*) FROM tx) * coalesce(t, 0) AS tput_agg FROM taus LEFT JOIN acc USING (tau)""", "accept_rate reliability_acc tput_acc tput_agg")
 def acceptance_sweep(spark, sf_dir):
-    return policy.acceptance_sweep(scored(spark, sf_dir).select("cand"), _TAUS)
+    return policy.acceptance_sweep(contexts_with_candidates(spark, sf_dir, "snr"), _TAUS, weight="n")
 
 
 @query("R14_pareto", f"""WITH {_SWEEP}, b AS (SELECT {KEY_SQL}, {TPUT} AS m FROM cand GROUP BY {KEY_SQL}),
@@ -233,7 +238,7 @@ SELECT 'threshold' AS series, tau, coalesce(n, 0) / (SELECT count(*) FROM tx) AS
   coalesce(n, 0) / (SELECT count(*) FROM tx) * coalesce(t, 0) AS tput_agg FROM taus LEFT JOIN acc USING (tau)
 UNION ALL SELECT 'throughput', NULL, 1.0, rel, t, t FROM pt""", "accept_rate reliability_acc tput_acc tput_agg")
 def pareto(spark, sf_dir):
-    return policy.pareto(scored(spark, sf_dir).select("cand"), _TAUS)
+    return policy.pareto(contexts_with_candidates(spark, sf_dir, "snr"), _TAUS, weight="n")
 
 
 @query("R15_guardrail_by_elevation", f"""WITH {TX}, {CAND}, t(target, tau) AS (VALUES {', '.join(f'({t}::DOUBLE, {1.0 - t!r}::DOUBLE)' for t in (0.001, 0.01, 0.05, 0.10))}),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.radio import MCS_TABLE, efficiency
-from ..operators.candidates import candidates
+from ..operators.candidates import candidates, contexts
 from ..session import spread
 
 
@@ -55,6 +55,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spread(transmissions(spark, sf_dir)), lambda m: pass_probability(F.col("snr"), m))
 
 
+def scored_contexts(spark: SparkSession, sf_dir: str, *keys) -> DataFrame:
+    """Distinct contexts of the transmissions with their number of rows ``n`` and the candidate array."""
+    rows = contexts(transmissions(spark, sf_dir), keys)
+    return candidates(rows, lambda m: pass_probability(F.col("snr"), m))
+
+
 def p_sql(snr: str, mcs: str) -> str:
     return f"floor(1e9 / (1 + exp(-(0.6 * ({snr} - ({mcs} * 0.9::DOUBLE - 9.0::DOUBLE))))) + 0.5) / 1e9"
 

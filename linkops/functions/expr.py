@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +33,11 @@ def count_if(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("bigint")
 
 
-def all_of(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+def weighted_mean(value, weight: str | None = None) -> Column:
+    """Mean over rows that stand for ``weight`` rows each; nulls do not count."""
+    if weight is None:
+        return F.avg(col(value))
+    return F.sum(col(value) * F.col(weight)) / F.sum(F.when(col(value).isNotNull(), F.col(weight)))
 
 
 def micros(ts) -> Column:

@@ -29,6 +29,12 @@ def candidates(df: DataFrame, probability: Callable[[Column], Column], mcs_min:
     )))
 
 
+def contexts(df: DataFrame, keys, weight: str = "n") -> DataFrame:
+    """Distinct contexts with their number of rows: whatever is chosen per context is then chosen once, and summaries
+    take ``weight``. Rows with null keys are contexts too."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(weight))
+
+
 def expand(df: DataFrame, mcs_min: int = MCS_MIN, mcs_max: int = MCS_MAX) -> DataFrame:
     """Long form: every row once per MCS, with its spectral efficiency (a literal explode, no join)."""
     indexes = F.array(*[F.lit(m) for m in range(mcs_min, mcs_max + 1)])

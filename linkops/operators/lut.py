@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip, code, decode
+from ..functions.expr import clip, code, decode, weighted_mean
 from ..functions.radio import efficiency_column
 from ..session import materialize, small_side
 from .quantiles import grouped_quantiles
@@ -169,13 +169,19 @@ def empirical_lut(df: DataFrame, snr_bin: float = 0.1, cqi_bin: float = 1.0, min
 
 
 def cell_probability(df: DataFrame, snr_bin: float = 0.1, cqi_bin: float = 1.0, min_count: int = 500,
-                     quantile: float | None = None, cand: str = "cand") -> DataFrame:
-    """Mean, or exact quantile, of the pass probability per (SNR, CQI, MCS); cells need ``min_count`` rows."""
-    keyed = df.select(code("snr", snr_bin).alias("snr_code"), code("cqi", cqi_bin).alias("cqi_code"), cand)
+                     quantile: float | None = None, cand: str = "cand", weight: str | None = None) -> DataFrame:
+    """Mean, or exact quantile, of the pass probability per (SNR, CQI, MCS); cells need ``min_count`` rows.
+
+    With ``weight`` a row stands for so many equal ones; quantiles need plain rows.
+    """
+    if weight and quantile is not None and quantile >= 0:
+        raise ValueError("quantiles need plain rows")
+    times = F.col(weight) if weight else F.lit(1).cast("bigint")
+    keyed = df.select(code("snr", snr_bin).alias("snr_code"), code("cqi", cqi_bin).alias("cqi_code"), times.alias("_w"), cand)
     # Candidates are expanded in place and summed on the map side: one partial row per cell and MCS is shuffled.
-    rows = keyed.select(*CELL, F.inline(cand)).withColumnRenamed("p", "p_stat")
+    rows = keyed.select(*CELL, "_w", F.inline(cand)).withColumnRenamed("p", "p_stat")
     if quantile is None or quantile < 0:
-        means = rows.groupBy(*CELL, "mcs").agg(F.count(F.lit(1)).alias("n"), F.avg("p_stat").alias("p_stat"))
+        means = rows.groupBy(*CELL, "mcs").agg(F.sum("_w").alias("n"), weighted_mean("p_stat", "_w").alias("p_stat"))
         long = means.where(F.col("n") >= min_count).select(*CELL, "n", "mcs", "p_stat")
     else:
         sizes = keyed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
@@ -186,9 +192,9 @@ def cell_probability(df: DataFrame, snr_bin: float = 0.1, cqi_bin: float = 1.0,
 
 def model_lut(df: DataFrame, snr_bin: float = 0.1, cqi_bin: float = 1.0, min_count: int = 500,
               quantile: float | None = None, mcs_min: int = 0, mcs_max: int = 27,
-              fill: tuple[int, int] | None = None, cand: str = "cand", **rule) -> DataFrame:
+              fill: tuple[int, int] | None = None, cand: str = "cand", weight: str | None = None, **rule) -> DataFrame:
     """Table from scored candidates; the choice is clamped to the allowed range."""
-    cells = cell_probability(df, snr_bin, cqi_bin, min_count, quantile, cand)
+    cells = cell_probability(df, snr_bin, cqi_bin, min_count, quantile, cand, weight)
     scored = cells.withColumn("expected", F.col("p_stat") * efficiency_column("mcs"))
     lut = select_mcs(scored, rate="p_stat", score="expected", **rule)
     lut = lut.withColumn("mcs", clip("mcs", mcs_min, mcs_max).cast("int"))

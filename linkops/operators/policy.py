@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip, col, floor_bin, linspace
+from ..functions.expr import clip, col, floor_bin, linspace, weighted_mean
 from ..functions.radio import cqi_to_mcs
 from .evaluate import thresholds_met
 
@@ -132,26 +132,29 @@ def stack(df: DataFrame, choices: dict[str, Column], keep=()) -> DataFrame:
     return df.select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.policy", "_e.pick.*")
 
 
-def policy_summary(stacked: DataFrame, draw: Column | None = None, keys=()) -> DataFrame:
+def policy_summary(stacked: DataFrame, draw: Column | None = None, keys=(), weight: str | None = None) -> DataFrame:
     """Accept rate, violation, expected and realised throughput and mean MCS per policy.
 
-    ``draw`` is a uniform column; when given, realised throughput counts sampled successes.
+    ``draw`` is a uniform column; when given, realised throughput counts sampled successes. With ``weight`` a row
+    stands for so many equal ones.
     """
     score = F.col("p") * F.col("eff")
     realised = score if draw is None else F.when(draw < F.col("p"), F.col("eff")).otherwise(0.0)
     return stacked.groupBy(*keys, "policy").agg(
         F.lit(1.0).alias("accept_rate"),
-        (1 - F.avg("p")).alias("violation"),
-        F.avg(score).alias("throughput_expected"),
-        F.avg(realised).alias("throughput_realized"),
-        F.avg("mcs").alias("avg_mcs"),
+        (1 - weighted_mean("p", weight)).alias("violation"),
+        weighted_mean(score, weight).alias("throughput_expected"),
+        weighted_mean(realised, weight).alias("throughput_realized"),
+        weighted_mean("mcs", weight).alias("avg_mcs"),
     )
 
 
-def elevation_series(stacked: DataFrame, elevation: str = "ele_angle", width: float = 1.0) -> DataFrame:
+def elevation_series(stacked: DataFrame, elevation: str = "ele_angle", width: float = 1.0,
+                     weight: str | None = None) -> DataFrame:
     """Mean error probability and MCS per elevation bin and policy."""
     return stacked.groupBy(floor_bin(elevation, width).alias("ele_bin"), "policy").agg(
-        F.avg(1 - F.col("p")).alias("bler"), F.avg("mcs").alias("mcs"), F.count(F.lit(1)).alias("rows")
+        weighted_mean(1 - F.col("p"), weight).alias("bler"), weighted_mean("mcs", weight).alias("mcs"),
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("rows"),
     )
 
 
@@ -159,12 +162,12 @@ def sweep_taus(grid: int = 25) -> list[float]:
     return linspace(0.1, 0.95, max(5, grid))
 
 
-def acceptance_sweep(df: DataFrame, taus, cand: str = "cand") -> DataFrame:
+def acceptance_sweep(df: DataFrame, taus, cand: str = "cand", weight: str | None = None) -> DataFrame:
     """Accept rate, reliability and throughput of the threshold policy for every tau, from one pass.
 
     A candidate is the choice exactly for the taus above every later probability and up to its own. Rows are
     summed per such span of taus (a few hundred spans at most); spans are spread over the taus afterwards.
-    ``taus`` are evenly spaced.
+    ``taus`` are evenly spaced. With ``weight`` a row stands for so many equal ones.
     """
     taus = sorted(float(t) for t in taus)
     empty = F.array().cast("array<struct<above:int,upto:int,p:double,score:double>>")
@@ -179,14 +182,15 @@ def acceptance_sweep(df: DataFrame, taus, cand: str = "cand") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("top"), empty.alias("spans"))
     spans = F.aggregate(F.reverse(cand), start, step, lambda acc: acc["spans"])
-    rows = df.select(F.explode(spans).alias("s"))
+    times = F.col(weight) if weight else F.lit(1).cast("bigint")
+    rows = df.select(times.alias("w"), F.explode(spans).alias("s"))
     by_span = rows.groupBy(F.col("s.above").alias("above"), F.col("s.upto").alias("upto")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("s.p").alias("p"), F.sum("s.score").alias("score")
+        F.sum("w").alias("n"), F.sum(F.col("s.p") * F.col("w")).alias("p"), F.sum(F.col("s.score") * F.col("w")).alias("score")
     )
     sums = by_span.withColumn("i", F.explode(F.sequence(F.col("above") + 1, F.col("upto")))).groupBy("i").agg(
         F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("score").alias("score")
     )
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    total = df.agg(F.coalesce(F.sum(times), F.lit(0)).alias("total"))
     grid = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(taus, start=1)], "i int, tau double")
     out = F.broadcast(grid).join(F.broadcast(total)).join(sums, "i", "left").na.fill(0, ["n"])
     accept = F.col("n") / F.col("total")
@@ -198,12 +202,12 @@ def acceptance_sweep(df: DataFrame, taus, cand: str = "cand") -> DataFrame:
     )
 
 
-def pareto(df: DataFrame, taus, cand: str = "cand") -> DataFrame:
+def pareto(df: DataFrame, taus, cand: str = "cand", weight: str | None = None) -> DataFrame:
     """Sweep rows plus one row (null tau) with the point of the throughput policy."""
-    sweep = acceptance_sweep(df, taus, cand)
-    point = df.select(throughput_choice(cand).alias("c")).agg(
-        F.lit(1.0).alias("accept_rate"), F.avg("c.p").alias("reliability_acc"),
-        F.avg(F.col("c.p") * F.col("c.eff")).alias("tput_acc"),
+    sweep = acceptance_sweep(df, taus, cand, weight)
+    point = df.select(throughput_choice(cand).alias("c"), *[weight for _ in range(bool(weight))]).agg(
+        F.lit(1.0).alias("accept_rate"), weighted_mean("c.p", weight).alias("reliability_acc"),
+        weighted_mean(F.col("c.p") * F.col("c.eff"), weight).alias("tput_acc"),
     ).select(
         F.lit("throughput").alias("series"), F.lit(None).cast("double").alias("tau"), "accept_rate",
         "reliability_acc", "tput_acc", F.col("tput_acc").alias("tput_agg"),
