@@ -27,6 +27,7 @@ PRIOR_CHARS = 100
 # A document is rejected above q50 + SPREAD * (q90 - q50) of held-out trusted documents of its language.
 SPREAD = 16.0
 HELD_OUT = 5
+CHUNK_CHARS = 200_000
 LEAST_HELD_OUT = 5
 
 
@@ -90,8 +91,10 @@ def gram_counts(trusted: DataFrame, alphabet: Alphabet, order: int = ORDER) -> D
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
-                grams, _ = alphabet.grams([t for t, x in zip(texts, langs) if x == lang], order)
-                held.setdefault(lang, []).append(np.unique(grams, return_counts=True))
+                own = [t for t, x in zip(texts, langs) if x == lang]
+                for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(np.cumsum([len(t) for t in own]) // CHUNK_CHARS)) + 1):
+                    grams, _ = alphabet.grams([own[i] for i in part], order)
+                    held.setdefault(lang, []).append(np.unique(grams, return_counts=True))
                 if len(held[lang]) > 16:
                     held[lang] = [_compact(held[lang])]
         for lang, parts in held.items():
@@ -147,7 +150,7 @@ class _Table:
     """Hash table from n-grams to numbers: arrays with open addressing, filled and searched many keys at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros(1 << self.bits)
         left, at = np.arange(len(keys)), self._home(keys)
@@ -226,9 +229,11 @@ def _score_broadcast(docs: DataFrame, models: dict[str, _Model], alphabet: Alpha
         size, lang = texts.str.len().to_numpy(), langs.to_numpy()
         for name, model in models.items():
             rows = np.flatnonzero((lang == name) & (size > 0))
-            if len(rows):
-                grams, first = alphabet.grams(texts.iloc[rows].tolist(), order)
-                out[rows] = np.add.reduceat(np.log(model.probabilities(grams)), first)
+            # A few texts at a time: arrays of all n-grams of a batch would take most of a worker's memory.
+            for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(size[rows]) // CHUNK_CHARS)) + 1):
+                if len(part):
+                    grams, first = alphabet.grams(texts.iloc[part].tolist(), order)
+                    out[part] = np.add.reduceat(np.log(model.probabilities(grams)), first)
         return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
     empty = F.lit("")
