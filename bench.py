@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -15,7 +16,7 @@ HEADLINE = [
     "A1_snr_error_curve", "A9_column_profile", "A15_elevation_means", "W1_running_error_rate", "W3_trailing_means",
     "R1_threshold_argmax_fallback", "R2_throughput", "R8_olla_replay", "R9_allocator_replay", "R11_policy_summary",
     "R13_acceptance_sweep", "L1_empirical_lut_filled", "L2_model_lut", "J10_nearest_snr_cqi", "E3_reliability",
-    "E6_areas", "E7_tradeoff", "M1_pass_model", "ST3_per_second",
+    "E6_areas", "E7_tradeoff", "M1_pass_model", "M10_recommend_with_model", "ST3_per_second",
 ]
 
 
@@ -27,7 +28,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = os.environ.get("BENCH_ONLY", "").split()
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"), "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
     })
     spark.sparkContext.setLogLevel("ERROR")
     queries, seconds = registered(), {}

@@ -214,7 +214,7 @@ _LAGS = {f"{c}_{lag}": (c, lag) for c in ("bler", "mcs", "tbs") for lag in (10,
 
 @query("W3_trailing_means", f"WITH {TX} SELECT {KEY_SQL}, " + ", ".join(
     f"avg({'CAST(round(bler * 100) AS INTEGER)' if c == 'bler' else c}) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS {lag - 1} PRECEDING) AS {name}" for name, (c, lag) in _LAGS.items()
-) + " FROM tx", " ".join(_LAGS), digits=9)
+) + " FROM tx", " ".join(_LAGS))
 def trailing_means(spark, sf_dir):
     # Whole percents, whose sums are exact.
     percent = F.round(F.col("bler") * 100).cast("int").alias("bler")

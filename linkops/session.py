@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,21 @@ def build_session(app: str = "linkops", master: str | None = None, **conf) -> Sp
     }
     for key, value in settings.items():
         builder = builder.config(key, str(value))
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package, wherever the driver was started.
+
+    Workers of this machine get the folder; a cluster needs the package installed, or its wheel or zip added with
+    ``spark.sparkContext.addPyFile``.
+    """
+    home = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    held = environment.get("PYTHONPATH", "")
+    if home not in held.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in (home, held) if p)
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:
