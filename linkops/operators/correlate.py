@@ -164,6 +164,14 @@ def _match_block(window_us: int, lag: int, size: int, keys):
     return run
 
 
+def _halo_of(numbered: DataFrame, blocks: DataFrame, lag: int, size: int) -> DataFrame:
+    """The rows of the given blocks with the ``lag`` rows before each; no other row is copied."""
+    first = F.greatest(F.col("_block") - F.lit(-(-lag // size)), F.lit(0))
+    wanted = blocks.select("_block", F.explode(F.sequence(first, F.col("_block"))).alias("_own"))
+    rows = numbered.withColumn("_own", F.floor(F.col("_row") / F.lit(size)).cast("bigint")).join(small_side(wanted), "_own")
+    return rows.where(F.col("_row") >= F.col("_block") * size - lag).withColumn("_halo", F.col("_block") != F.col("_own")).drop("_own")
+
+
 def consuming_matches(tx: DataFrame, fb: DataFrame, window_ms: float = 50, keys=LINK_KEYS, order=LOG_ORDER,
                       block_rows: int = 100_000, halo_rows: int = 2_000):
     """One-to-one matching where feedback retires a transmission. Returns ``(numbered events, matches)``.
@@ -181,9 +189,7 @@ def consuming_matches(tx: DataFrame, fb: DataFrame, window_ms: float = 50, keys=
     slim = numbered.select("_row", "_us", "_tx", *keys)
     width, lag, todo, parts = int(window_ms * 1000), halo_rows, None, []
     while True:
-        blocks = halo_blocks(slim, lag, block_rows)
-        if todo is not None:
-            blocks = blocks.join(F.broadcast(todo), "_block", "left_semi")
+        blocks = halo_blocks(slim, lag, block_rows) if todo is None else _halo_of(slim, todo, lag, block_rows)
         found = materialize(
             blocks.groupBy("_block").applyInPandas(_match_block(width, lag, block_rows, keys), _MATCHES), "matches"
         )
@@ -192,7 +198,7 @@ def consuming_matches(tx: DataFrame, fb: DataFrame, window_ms: float = 50, keys=
         if open_blocks.isEmpty():
             break
         # Such a block runs again whole.
-        parts[-1] = found.join(F.broadcast(open_blocks), "_block", "left_anti")
+        parts[-1] = found.join(small_side(open_blocks), "_block", "left_anti")
         todo, lag = materialize(open_blocks, "open"), lag * 8
     matches = parts[0]
     for part in parts[1:]:
