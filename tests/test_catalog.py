@@ -8,7 +8,8 @@ KEYS = """S2_pdsch_events S4_measurement_reports J1_first_feedback J4_nearest_me
 A1_snr_error_curve A9_column_profile W2_cumulative W3_trailing_means W5_windowed_error_rate_compat
 R1_threshold_argmax_fallback R4_guardrailed_throughput R8_olla_replay R9_allocator_replay R11_policy_summary
 R13_acceptance_sweep L1_empirical_lut_filled L2_model_lut J10_nearest_snr_cqi J11_exact_lookup
-E3_reliability E6_areas E8_tradeoff_by_slice M5_calibrated_threshold ST3_per_second""".split()
+E3_reliability E6_areas E8_tradeoff_by_slice M5_calibrated_threshold ST3_per_second ST2_feedback_join ST2_consuming_feedback
+ST7_violation_rate ST6_offset_loop A18_label_pivot A20_lut_pivot R12_elevation_series R14_pareto J15_nearest_rows""".split()
 
 
 @pytest.fixture(scope="module")
