@@ -295,6 +295,11 @@ def positional_zip(spark, sf_dir):
     return zipped.withColumn("position", F.col("position").cast("bigint"))
 
 
+@query("A26_distinct_modulations", """SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS "values", count(DISTINCT o_orderpriority) AS count FROM orders""")
+def distinct_modulations(spark, sf_dir):
+    return metrics.distinct_set(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
 @query("A26_difference_summary", """WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS position, p_retailprice AS x FROM part),
 b AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS position, s_acctbal AS y FROM supplier)
 SELECT count(*) AS rows, min(x) AS left_min, max(x) AS left_max, min(y) AS right_min, max(y) AS right_max, avg(x - y) AS mean_difference,

@@ -11,7 +11,7 @@ from ..operators.candidates import candidates
 from ..session import scratch_path
 from ..sources import luts, sinks
 from .registry import query
-from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, p_sql, pass_probability, scored, scored_contexts, table, transmissions
+from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, p_sql, pass_probability, scored_contexts, table, transmissions
 
 SNR_BIN = 0.1
 MIN_CELL = 1
@@ -162,6 +162,14 @@ def lut_pivot(spark, sf_dir):
     return metrics.lut_pivot(_empirical(spark, sf_dir), "cqi_code", "snr_code", _SNR_CODES)
 
 
+@query("S14_snr_lut_reader", f"WITH {EMPIRICAL} SELECT snr_code, max(mcs) AS mcs FROM emp GROUP BY 1")
+def snr_lut_reader(spark, sf_dir):
+    path = scratch_path(spark, "snr-lut")
+    best = _empirical(spark, sf_dir).groupBy("snr_code").agg(F.max("mcs").alias("MCS"))
+    sinks.write_small_csv(best.select((F.col("snr_code") / 10).alias("snr_bin"), "MCS"), path, ["snr_bin"])
+    return luts.read_snr_lut(spark, path)
+
+
 @query("S14_lut_reader", f"WITH {EMPIRICAL} SELECT * FROM emp")
 def lut_reader(spark, sf_dir):
     path = scratch_path(spark, "lut")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import radio
@@ -236,6 +236,12 @@ def modal_value(df: DataFrame, column: str) -> DataFrame:
     return counts.agg(F.max_by(column, F.struct(F.col("_n"), -F.col(column))).alias(column))
 
 
+def distinct_set(df: DataFrame, column: str, out: str = "values") -> DataFrame:
+    """The sorted distinct values of a category column as one text; for columns of few values, such as modulations."""
+    values = F.array_sort(F.collect_set(F.col(column).cast("string")))
+    return df.agg(F.array_join(values, ",").alias(out), F.count_distinct(column).alias("count"))
+
+
 def difference_summary(pairs: DataFrame) -> DataFrame:
     """Range of each side and mean, max and min of the difference of zipped tables."""
     return pairs.agg(

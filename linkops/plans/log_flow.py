@@ -64,8 +64,3 @@ def finish(measured: DataFrame, unmatched: str = "dtx") -> DataFrame:
         "rnti": radio.rnti_text("rnti"),
     })
     return keyed.withColumnsRenamed({"ts": "pdsch_timestamp"}).drop("block", "pos", "ack")
-
-
-def snr_report(transmissions: DataFrame, width: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Error and throughput curves per SNR bin."""
-    return metrics.snr_error_curve(transmissions, width=width), metrics.snr_throughput_curve(transmissions, width=width)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import radio
 from ..operators import features
-from ..sources import logs
 
 
 def log_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -26,11 +25,6 @@ def live_sinr(lines: DataFrame) -> DataFrame:
     )
 
 
-def stamped_events(lines: DataFrame) -> DataFrame:
-    """Transmission lines that carry their own timestamp; a stream has no earlier line to take one from."""
-    return lines.select("value", logs.line_timestamp(F.col("value")).alias("ts")).where(F.col("ts").isNotNull())
-
-
 def per_second(df: DataFrame, ts: str = "ts", delay: str = "10 seconds", width: str = "1 second") -> DataFrame:
     """Throughput and trueput per tumbling window; windows close when the watermark passes them."""
     rates = df.withColumns({"_t": radio.throughput_mbps("tbs"), "_g": radio.trueput_mbps("tbs", "ack_status")})
