@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import small_side, staging
 from .common import fresh, materialize, scratch_path, small_batches
 
-ORDER = 5
+ORDER = 4
 CHAR_BITS = 12
 UNKNOWN, START, FIRST = 0, 1, 2
 # A model with at most this many entries is sent to all tasks; a larger one is joined shard by shard.
@@ -25,7 +25,7 @@ BROADCAST_ENTRIES = 2_000_000
 # Characters at the mean of the language that every document is taken to have besides its own.
 PRIOR_CHARS = 100
 # A document is rejected above q50 + SPREAD * (q90 - q50) of held-out trusted documents of its language.
-SPREAD = 16.0
+SPREAD = 20.0
 HELD_OUT = 5
 CHUNK_CHARS = 200_000
 LEAST_HELD_OUT = 5
