@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import small_side, staged
 from .common import fresh, materialize, small_batches
 from .components import components
+from .pretokens import forget
 
 WIDTH = 3
 THRESHOLD = (90, 100)
@@ -78,6 +79,7 @@ def sketch(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THR
     edge = part_edge(threshold)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             n, node, low, u = [], [], [], []
             for text in batch.column(1).to_pylist():

@@ -19,22 +19,30 @@ _COMMON = re.compile(f"[\\t\\n\\r\\x20-\\x7e¡-©«¬®-±´¶-¸»¿×÷{_LETTE
 BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
 
-# Pieces a worker remembers besides the shared ones; it starts anew when they are full.
+# Pieces a worker remembers besides the shared ones, in two halves.
 WORKER_PIECES = 1_000_000
 
 
 class Pieces(dict):
-    """Piece to value: first the shared table, then this worker's own cache, then the tokenizer."""
+    """Piece to value: first the shared table, then this worker's own cache, then the tokenizer.
+
+    When the newer half of the cache is full, it becomes the older one, and what was in that is forgotten unless it was
+    asked for meanwhile.
+    """
 
     def __init__(self, encode: Callable, shared: dict | None = None, limit: int = WORKER_PIECES):
         super().__init__(shared or {})
-        self.encode, self.shared, self.limit = encode, shared or {}, limit + len(shared or {})
+        self.encode, self.shared, self.older, self.limit = encode, shared or {}, {}, max(1, limit // 2) + len(shared or {})
 
     def __missing__(self, piece: str):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
             self.update(self.shared)
-        value = self[piece] = self.encode(piece)
+        value = self.older.get(piece)
+        if value is None:
+            value = self.encode(piece)
+        self[piece] = value
         return value
 
 
@@ -84,3 +92,9 @@ def worker_pieces(key: tuple, encode: Callable, shared: dict | None = None) -> P
     if key not in _PIECES:
         _PIECES[key] = Pieces(encode, shared)
     return _PIECES[key]
+
+
+def forget() -> None:
+    """Drop the caches of this worker. Operators that need its memory call it when their tasks begin, since workers
+    outlive the stage that filled them."""
+    _PIECES.clear()

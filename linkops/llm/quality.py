@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import small_side, staging
 from .common import fresh, materialize, scratch_path, small_batches
+from .pretokens import forget
 
 ORDER = 4
 CHAR_BITS = 12
@@ -64,6 +65,7 @@ def trusted_alphabet(trusted: DataFrame) -> Alphabet:
     """The most frequent characters of trusted text, as many as ``CHAR_BITS`` can name."""
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(0x110000, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -87,6 +89,7 @@ def gram_counts(trusted: DataFrame, alphabet: Alphabet, order: int = ORDER) -> D
     """``lang, gram, n`` over all trusted texts; each task adds up before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: dict[str, list] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import small_side, staged
 from .common import fresh, materialize, small_batches
+from .pretokens import forget
 
 LENGTH = 200
 BLOCK = 1 << 20
@@ -107,6 +108,7 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
     """``rank, whole, key, at`` of all runs of ``key, bytes``; ``at`` packs first start, number of starts and mark."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             parts = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
