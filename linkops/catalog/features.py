@@ -363,15 +363,23 @@ def top_values_per_row(spark, sf_dir):
     return sampling.top_values_per_row(li, "id", ["l_discount", "l_quantity", "l_tax"], 2)
 
 
-@query("O5_random_sample")
+@query("O5_random_sample", "SELECT least(1000, count(*)) AS rows, least(1000, count(*)) AS different, 0::BIGINT AS foreign_rows, true AS repeatable FROM lineitem")
 def random_sample(spark, sf_dir):
-    return sampling.sample_rows(transmissions(spark, sf_dir).select(*ROW_KEY, "snr"), 1000, ROW_KEY)
+    """Size and distinctness of a sample, rows of it that are not in the table, and whether drawing again gives it."""
+    rows = transmissions(spark, sf_dir).select(*ROW_KEY, "snr")
+    picked, again = (sampling.sample_rows(x, 1000, ROW_KEY) for x in (rows, rows.repartition(5)))
+    foreign, same = picked.join(rows, ROW_KEY, "left_anti").count(), picked.exceptAll(again).isEmpty()
+    return picked.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*ROW_KEY).alias("different")).select(
+        "rows", "different", F.lit(foreign).cast("bigint").alias("foreign_rows"), F.lit(same).alias("repeatable")
+    )
 
 
-@query("O6_random_split")
+@query("O6_random_split", "SELECT count(*) AS rows, true AS near_share FROM lineitem")
 def random_split(spark, sf_dir):
+    """All rows have a side, and the test side is a fifth within five standard deviations."""
     split = sampling.random_split(transmissions(spark, sf_dir), 0.2, ROW_KEY)
-    return split.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    n, test = F.count("split"), F.sum((F.col("split") == "test").cast("long"))
+    return split.agg(n.alias("rows"), (F.abs(test - 0.2 * n) <= 5 * F.sqrt(0.16 * n)).alias("near_share"))
 
 
 @query("O7_exact_split", f"""WITH {TX}, n AS (SELECT mcs, count(*) AS n FROM tx GROUP BY mcs)
