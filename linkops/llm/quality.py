@@ -6,7 +6,9 @@ shift and a shorter n-gram a mask. Character ``UNKNOWN`` stands for all characte
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,8 @@ UNKNOWN, START, FIRST = 0, 1, 2
 BROADCAST_ENTRIES = 2_000_000
 # Characters at the mean of the language that every document is taken to have besides its own.
 PRIOR_CHARS = 100
-# A document is rejected above q50 + SPREAD * (q90 - q50) of held-out trusted documents of its language.
-SPREAD = 20.0
+# A document is rejected above this quantile of held-out trusted documents of its language.
+LEVEL = 0.999
 HELD_OUT = 5
 CHUNK_CHARS = 200_000
 LEAST_HELD_OUT = 5
@@ -282,12 +284,12 @@ def _score_joined(docs: DataFrame, probabilities: DataFrame, weights: DataFrame,
     return joined.select(*docs.columns, F.col("_sum").alias(out))
 
 
-def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, spread: float = SPREAD, prior: int = PRIOR_CHARS,
+def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, level: float = LEVEL, prior: int = PRIOR_CHARS,
             most: int = BROADCAST_ENTRIES) -> DataFrame:
     """``docs`` with ``perplexity``, ``threshold`` and ``kept``.
 
     Trusted are all documents whose label says quality 1 and not toxic; four fifths of them (by a hash of the id)
-    train a model per language, the rest give the quantiles that set its threshold. Perplexity is per character, with
+    train a model per language, the rest give the quantile ``level`` that is its threshold. Perplexity is per character, with
     ``prior`` characters at the language's mean added, so that a short text is not rejected for one odd word.
     Documents without text, and languages with no model or fewer than five held-out documents, have no perplexity or
     no threshold and are kept. Null languages are one language. Rows, repeated ones too, and other columns stay;
@@ -298,14 +300,14 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, spread: floa
     (total,) = fresh(base, "_log_p")
     smooth = lambda n: (-F.col(total) + F.col("mean") * prior) / (n + F.lit(prior))
     with staging(docs.sparkSession):
-        score, limits = _fit(base, labels, order, total, smooth, spread, most)
+        score, limits = _fit(base, labels, order, total, smooth, level, most)
     scored = score(base).join(F.broadcast(limits), F.coalesce(base["lang"], F.lit("")) == F.col("_limit_lang"), "left")
     scored = scored.withColumn("perplexity", F.exp(smooth(F.char_length("text"))))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return scored.withColumn("kept", kept).select(*base.columns, "perplexity", "threshold", "kept")
 
 
-def _fit(base: DataFrame, labels: DataFrame, order: int, total: str, smooth, spread: float, most: int):
+def _fit(base: DataFrame, labels: DataFrame, order: int, total: str, smooth, level: float, most: int):
     """The scorer of the trained model, and one row per language with its mean and threshold."""
     spark = base.sparkSession
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
@@ -322,15 +324,35 @@ def _fit(base: DataFrame, labels: DataFrame, order: int, total: str, smooth, spr
         score = lambda rows: _score_joined(rows, p, w, alphabet, order, total)
     rest = materialize(score(trusted.where(held)).where(F.col(total).isNotNull()).select("lang", F.char_length("text").alias("n"), total), "held-out")
     means = rest.groupBy("lang").agg((-F.sum(total) / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("docs"))
-    quantiles = rest.join(F.broadcast(means), "lang").groupBy("lang", "mean", "docs").agg(  # one row per language
-        F.percentile_approx(smooth(F.col("n")), [0.5, 0.9], 10_000).alias("q")
+    value = smooth(F.col("n"))
+    found = rest.join(F.broadcast(means), "lang").groupBy("lang", "mean", "docs").agg(  # one row per language
+        F.percentile_approx(value, level, 10_000).alias("quantile"), F.avg(value).alias("centre"), F.stddev_samp(value).alias("width")
     )
-    limit = F.col("q")[0] + F.lit(spread) * (F.col("q")[1] - F.col("q")[0])
-    limits = quantiles.select("lang", "mean", F.when(F.col("docs") >= LEAST_HELD_OUT, F.exp(limit)).alias("threshold"))
-    rows = [tuple(r) for r in limits.collect()]  # one row per language
+    rows = [(r["lang"], r["mean"], _threshold(r, level)) for r in found.collect()]  # one row per language
     return score, spark.createDataFrame(rows, "_limit_lang string, mean double, threshold double")
 
 
+def _threshold(held, level: float) -> float | None:
+    """Perplexity that a trusted document stays below with probability ``level``: the quantile of the held-out ones.
+
+    Too few documents to have that quantile give their largest value instead, which more than one in ``1 / (1 - level)``
+    trusted documents exceed. There the bound of one more normal value, by Student's t, serves if it is higher.
+    """
+    if held["docs"] < LEAST_HELD_OUT:
+        return None
+    limit, docs = held["quantile"], held["docs"]
+    if docs * (1 - level) < 1:
+        limit = max(limit, held["centre"] + _student(level, docs - 1) * held["width"] * math.sqrt(1 + 1 / docs))
+    return math.exp(limit)
+
+
+def _student(level: float, freedom: int) -> float:
+    """Quantile of Student's t from that of the normal distribution (Cornish and Fisher's series)."""
+    z = NormalDist().inv_cdf(level)
+    terms = (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
+    return z + sum(term / freedom**i for i, term in enumerate(terms, 1))
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """Stored for as long as the result is of use."""
     path = scratch_path(df.sparkSession, "language-model")

@@ -129,6 +129,30 @@ def test_scores_equal_brute_force_both_ways(spark):
     assert q.quality(docs.limit(0), labels).count() == 0 and q.quality(docs, labels.limit(0)).where("NOT kept").count() == 0
 
 
+def test_labelled_junk_goes_and_trusted_text_stays(spark):
+    from linkops.llm.quality import quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality(docs.select("doc_id", "lang", "text"), labels).join(labels, "doc_id").collect()
+    junk = [r["kept"] for r in rows if r["quality"] == 0]
+    trusted = [r["kept"] for r in rows if r["quality"] == 1 and not r["toxic"]]
+    assert sum(junk) <= 0.05 * len(junk) and trusted.count(False) <= 0.01 * len(trusted)
+
+
+def test_thresholds_are_quantiles():
+    import numpy as np
+
+    from linkops.llm.quality import _student, _threshold
+
+    held = {"docs": 2000, "quantile": 1.5, "centre": 1.0, "width": 5.0}
+    assert _threshold(held, 0.999) == math.exp(1.5) and _threshold(held | {"docs": 4}, 0.999) is None
+    # Of many samples of eight, the limit leaves out few of the next values; the largest of eight leaves out one in nine.
+    x = np.random.default_rng(3).normal(size=(20_000, 9))
+    limits = [math.log(_threshold({"docs": 8, "quantile": r.max(), "centre": r.mean(), "width": r.std(ddof=1)}, 0.999)) for r in x[:, :8]]
+    assert (x[:, 8] > limits).mean() < 0.002
+    assert _student(0.999, 7) == pytest.approx(4.785, rel=0.01) and _student(0.999, 30) == pytest.approx(3.385, rel=0.001)
+
+
 def test_hash_table_finds_all_keys():
     import numpy as np
 
