@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, render
+from .common import ascii_lower, fresh, render
 
 # The wording of public licences and of common one-line notices, one sentence per identifier.
 SENTENCES = {
@@ -45,6 +45,11 @@ _ENDS = r"([.!?])[ \t\r\n]+"
 _LINES = r"\n([ \t\r]*[^a-z \t\r])"
 _REST = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 _CUT = "\x1e"
+# Wrapped texts: only . ! ? and lines without words end a sentence for certain; a colon and other line ends may end it.
+_COLON = r":[ \t\r\n]+"
+_BLANK = r"\n[^A-Za-z0-9\x{80}-\x{10FFFF}\n\x1e]*(?=\n)"
+_GAPS = r"[^a-z0-9\x{80}-\x{10FFFF}\x1e\x1f]+"
+_MAYBE = "\x1f"
 
 
 def normalised(sentence: Column) -> Column:
@@ -58,9 +63,21 @@ def _normal(text: str) -> str:
     return re.sub(r"[^a-z0-9\u0080-\U0010ffff]+", " ", text.translate({c: c + 32 for c in range(65, 91)})).strip(" ")
 
 
+def _wrapped(whole: Column, known: dict[str, str]) -> Column:
+    """Known sentences in order, each a run of whole lines, whatever their ends and comment marks; the longest counts."""
+    text = F.regexp_replace(F.regexp_replace(whole, _ENDS, f"$1{_CUT}"), _BLANK, _CUT)
+    text = F.regexp_replace(F.regexp_replace(text, _LINES, f"{_MAYBE}$1"), _COLON, _MAYBE)
+    text = F.concat(F.lit(_CUT), F.regexp_replace(ascii_lower(text), _GAPS, " "), F.lit(_CUT))
+    any_of = "|".join(k.replace(" ", r"[ \x1f]+") for k in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(text, F.lit(rf"[\x1e\x1f] ?({any_of})(?= ?[\x1e\x1f])"), F.lit(1))
+    return F.transform(found, lambda s: F.regexp_replace(s, r"[ \x1f]+", " "))
+
+
 def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
     """``docs`` with ``n_sentences``, ``sentence_ids`` (known sentences in order) and ``licences`` (sorted names of
     the rules whose identifiers follow one another in that sequence; unknown sentences between them do not matter).
+    Sentences are looked for with and without their line cuts, so texts in any wrapping and in comments count;
+    ``n_sentences`` counts with the cuts.
 
     All work is on the row itself, so nothing is shuffled and any key, repeated or null, keeps its rows. The known
     sentences are a hash set in the plan; they are part of the rules, not of the data. Null or empty texts have no
@@ -73,12 +90,20 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
     parts = F.filter(F.split(ascii_lower(cut), _CUT), lambda s: F.trim(s) != "")
     words = F.filter(F.transform(parts, normalised), lambda s: s.isin(list(known)))
     to_id = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    sequence = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    found = [F.when(F.contains(sequence, F.lit(f",{','.join(ids)},")), F.lit(name)) for name, _, ids in rules]
     base = docs.drop("n_sentences", "sentence_ids", "licences")
+    (lines,) = fresh(base, "_line_ids")
+
+    def found(ids: str) -> list[Column]:
+        sequence = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
+        return [F.when(F.contains(sequence, F.lit(f",{','.join(own)},")), F.lit(name)) for name, _, own in rules]
+
     return (
-        base.withColumns({"n_sentences": F.size(parts).cast("long"), "sentence_ids": F.transform(words, lambda s: to_id[s])})
-        .withColumn("licences", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))))
+        base.withColumns({
+            "n_sentences": F.size(parts).cast("long"), lines: F.transform(words, lambda s: to_id[s]),
+            "sentence_ids": F.transform(_wrapped(whole, known), lambda s: to_id[s]),
+        })
+        .withColumn("licences", F.array_sort(F.array_distinct(F.array_compact(F.array(*found(lines), *found("sentence_ids"))))))
+        .drop(lines)
     )
 
 

@@ -66,6 +66,69 @@ def test_licences(spark):
     assert scan(docs.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "mit": """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.""",
+    "apache-2.0": """Copyright 2020 Someone
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language.""",
+    "gpl-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.""",
+}
+
+
+def test_wrapped_licences(spark):
+    from linkops.llm.licences import scan
+
+    layouts = {"plain": "", "hash": "# ", "star": " * ", "slashes": "// "}
+    rows = [(f"{name} {layout}", "\n".join(mark + line for line in text.split("\n")), name) for name, text in WRAPPED.items() for layout, mark in layouts.items()]
+    rows += [("crlf", WRAPPED["mit"].replace("\n", "\r\n"), "mit"), ("gnu", "This work is licensed under the GNU\nGeneral Public License, version 3.", "gpl-3.0"),
+             ("before", "int x;\n" + WRAPPED["gpl-3.0"], "gpl-3.0"), ("apart", "Released under\n\nthe MIT License.", None), ("within", "Not released under the\nMIT License.", None),
+             ("notice", "Licensed under the Apache License, Version 2.0\n(the \"License\"); you may not use this file except in compliance with the License.", "apache-2.0")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id string, text string, want string, _line_ids int")
+    out = scan(docs)
+    assert {c: t for c, t in out.dtypes if c in docs.columns} == dict(docs.dtypes)
+    assert {r["doc_id"]: r["licences"] for r in out.collect()} == {k: [w] if w else [] for k, _, w in rows}
+
+
 # --- quality ---------------------------------------------------------------------------------------
 
 def brute_model(texts, alphabet, order):
