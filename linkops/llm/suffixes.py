@@ -1,8 +1,9 @@
-"""Exact repeated substrings by distributed prefix doubling on chosen positions.
+"""Exact repeated substrings by minimiser grouping, in place of distributed prefix doubling.
 
 Prefix doubling ranks all positions by their first bytes, sorts pairs (rank here, rank half a length further on), and
 ranks again, until a position is unique or the length is past the threshold. Every position in every round would move
-many times the text, so the rounds here name what they can by position classes:
+many times the text (by estimate; no doubling run was measured). There are no rounds at growing lengths here, but three
+fixed steps that name what they can by position classes:
 
 1. Half the threshold. A string of ``length`` bytes has ``half + 1`` strings of half that length; the smallest of their
    fingerprints is its rank. Neighbouring strings mostly have the same smallest one, so a document falls into *runs*
