@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licences
+from . import decontam, lexical, licences
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,22 @@ def suffix_dedup(spark, sf_dir):
     from .suffixes import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest_only=True)
+
+
+@_query("op11_whitening")
+def whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@_query("op12_simhash")
+def simhash(spark, sf_dir):
+    from .simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op13_lexical_search", lexical.sql())
+def lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

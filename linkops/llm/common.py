@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 
-__all__ = ["ascii_lower", "fresh", "materialize", "render", "scratch_path", "small_batches", "table"]
+__all__ = ["ascii_lower", "batch_rows", "fresh", "materialize", "render", "scratch_path", "small_batches", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,3 +48,15 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Actions inside the block send at most ``rows`` rows at once to Python; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)

@@ -31,7 +31,7 @@ def docs(spark):
     return sorted((r["doc_id"], r["text"], r["source"]) for r in rows)
 
 
-@pytest.mark.parametrize("key", ["op1_decontamination", "op4_licence_scan"])
+@pytest.mark.parametrize("key", ["op1_decontamination", "op4_licence_scan", "op13_lexical_search"])
 def test_query_equals_sql(spark, queries, key):
     import __spark_entry__ as entry
     from compare import compare, duck
@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, queries, key):
 
 
 def test_every_operator_is_registered(queries):
-    assert [sum(k.startswith(f"op{n}_") for k in queries) for n in range(1, 11)] == [1] * 10 and "pipeline" in queries
+    assert [sum(k.startswith(f"op{n}_") for k in queries) for n in range(1, 14)] == [1] * 13 and "pipeline" in queries
 
 
 def test_chat(spark, queries):
@@ -101,6 +101,20 @@ def test_neighbours_reach_the_recall(spark, queries):
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
+def test_simhash(spark, queries, docs):
+    from test_simhash import brute
+
+    got = sorted((tuple(r) for r in queries["op12_simhash"](spark, SF).collect()), key=str)
+    assert got == brute([(i, t) for i, t, _ in docs])
+
+
+def test_whitening(spark, queries):
+    from test_whitening import check
+
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    check(queries["op11_whitening"](spark, SF).collect(), rows)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as p
     from linkops.llm.common import materialize
