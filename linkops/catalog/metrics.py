@@ -214,14 +214,30 @@ _LAGS = {f"{c}_{lag}": (c, lag) for c in ("bler", "mcs", "tbs") for lag in (10,
 
 @query("W3_trailing_means", f"WITH {TX} SELECT {KEY_SQL}, " + ", ".join(
     f"avg({'CAST(round(bler * 100) AS INTEGER)' if c == 'bler' else c}) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS {lag - 1} PRECEDING) AS {name}" for name, (c, lag) in _LAGS.items()
-) + " FROM tx", " ".join(_LAGS))
+) + " FROM tx")
 def trailing_means(spark, sf_dir):
-    # Whole percents, whose sums are exact.
+    # Whole numbers, so that both engines divide the same exact sums.
     percent = F.round(F.col("bler") * 100).cast("int").alias("bler")
     tx = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", percent, "mcs", "tbs")
     return ordered.trailing(tx, ["ue_id"], ORDER, _LAGS).select(*ROW_KEY, *_LAGS)
 
 
+_FRACTIONS = (10, 1000, 5000)
+
+
+@query("W3_trailing_means_of_fractions", f"WITH {TX} SELECT {KEY_SQL}, " + ", ".join(
+    f"CAST(sum(CAST(round(bler * 100) AS INTEGER)) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS {lag - 1} PRECEDING) AS BIGINT) AS percents_{lag}" for lag in _FRACTIONS
+) + " FROM tx")
+def trailing_means_of_fractions(spark, sf_dir):
+    """Means of a double column, times the rows of their frames: sums in whole percents, which have no rounding."""
+    tx = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "bler")
+    numbered = ordered.running_sums(tx, ["ue_id"], ORDER, {"n": F.lit(1)})
+    means = ordered.trailing(numbered, ["ue_id"], ORDER, {f"m_{lag}": ("bler", lag) for lag in _FRACTIONS})
+    return means.select(*ROW_KEY, *[
+        F.rint(F.col(f"m_{lag}") * F.least("n", F.lit(lag)) * 100).cast("long").alias(f"percents_{lag}") for lag in _FRACTIONS
+    ])
+
+
 @query("W4_padded_rolling", f"""WITH {TX}, g AS (SELECT floor(ele_angle) AS ele_bin, avg(mcs) AS m FROM tx GROUP BY 1),
 r AS (SELECT ele_bin, row_number() OVER (ORDER BY ele_bin) AS rn, avg(m) OVER (ORDER BY ele_bin ROWS 4 PRECEDING) AS a FROM g)
 SELECT ele_bin, CASE WHEN rn >= 5 THEN a ELSE (SELECT a FROM r WHERE rn = 5) END AS m FROM r""", "m")
@@ -230,7 +246,7 @@ def padded_rolling(spark, sf_dir):
     return ordered.padded_rolling(bins, "ele_bin", ["m"], 5)
 
 
-@query("W5_windowed_error_rate", f"""WITH {TX} SELECT {KEY_SQL}, avg(1 - blkerr) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING) AS bler_window FROM tx""", "bler_window")
+@query("W5_windowed_error_rate", f"""WITH {TX} SELECT {KEY_SQL}, avg(1 - blkerr) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING) AS bler_window FROM tx""")
 def windowed_error_rate(spark, sf_dir):
     tx = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "blkerr")
     return ordered.windowed_error_rate(tx, ["ue_id"], ORDER, 1000, F.col("blkerr") == 0).select(*ROW_KEY, "bler_window")
@@ -239,7 +255,7 @@ def windowed_error_rate(spark, sf_dir):
 @query("W5_windowed_error_rate_compat", f"""WITH {TX}, s AS (
   SELECT {KEY_SQL}, row_number() OVER w - 1 AS n, sum(1 - blkerr) OVER (PARTITION BY ue_id ORDER BY {ORDER_SQL} ROWS BETWEEN 1001 PRECEDING AND 1 PRECEDING) AS wide FROM tx
   WINDOW w AS (PARTITION BY ue_id ORDER BY {ORDER_SQL}))
-SELECT {KEY_SQL}, CASE WHEN n > 1000 THEN wide / 1000 WHEN n > 0 THEN wide / n END AS bler_window FROM s""", "bler_window")
+SELECT {KEY_SQL}, CASE WHEN n > 1000 THEN wide / 1000 WHEN n > 0 THEN wide / n END AS bler_window FROM s""")
 def windowed_error_rate_compat(spark, sf_dir):
     tx = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "blkerr")
     return ordered.windowed_error_rate(tx, ["ue_id"], ORDER, 1000, F.col("blkerr") == 0, compat=True).select(*ROW_KEY, "bler_window")

@@ -7,9 +7,12 @@ border is at most one row per chunk (running totals) or ``lag - 1`` rows per blo
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .joins import null_safe_join
@@ -111,21 +114,96 @@ def segments(pdf, keys) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)]))
 
 
+class _Prefix:
+    """Running sums of values inside a block. The sum of any frame is a difference of two of them, whatever its length.
+
+    Whole numbers are added exactly. A double is cut into a multiple of ``2 ** -bits``, whose sums are exact too, and
+    a rest that is smaller than the largest value by the bits that are left, so the difference of two long sums does
+    not lose what a short frame holds. NaN and infinities are counted apart instead of spoiling all later sums.
+    """
+
+    def __init__(self, name: str, value: Column, kind, stats, rows: int):
+        self.name, self.bits = name, None
+        nulls, most, odd = stats
+        self.nulls, self.odd = bool(nulls), bool(odd)
+        self.whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        if self.whole:
+            wide = most is not None and most * rows >= 1 << 62
+            clean = value.cast("decimal(38,0)") if wide else value.cast("bigint")
+            self.parts = {"q": F.coalesce(clean, F.lit(0))}
+        else:
+            x = value.cast("double")
+            finite = F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.coalesce(x, F.lit(0.0)))
+            size = math.frexp(most)[1] if most else 0
+            self.bits = max(-1000, min(1000, 61 - size - rows.bit_length()))
+            q = F.floor(finite * F.lit(2.0 ** self.bits) + 0.5)
+            self.parts = {"q": q, "r": finite - q * F.lit(2.0 ** -self.bits)}
+            if self.odd:
+                self.parts |= {"nan": F.isnan(x).cast("bigint"), "up": (x == float("inf")).cast("bigint"), "down": (x == float("-inf")).cast("bigint")}
+                self.parts = {k: F.coalesce(c, F.lit(0)) for k, c in self.parts.items()}
+        if self.nulls:
+            self.parts["n"] = value.isNotNull().cast("bigint")
+
+    def columns(self, window) -> dict[str, Column]:
+        inside = window.rowsBetween(Window.unboundedPreceding, 0)
+        return {f"_{part}_{self.name}": F.sum(c).over(inside) for part, c in self.parts.items()}
+
+    def _frame(self, part: str, window, lag: int, start: int) -> Column:
+        run = F.col(f"_{part}_{self.name}")
+        return (F.lag(run, start).over(window) if start else run) - F.coalesce(F.lag(run, lag + start).over(window), F.lit(0))
+
+    def count(self, window, lag: int, start: int) -> Column:
+        """Values in the frame; null or 0 where it has none."""
+        if self.nulls:
+            return self._frame("n", window, lag, start)
+        return F.least(F.col("_place") - F.lit(start), F.lit(lag))
+
+    def sum(self, window, lag: int, start: int) -> Column:
+        total = self._frame("q", window, lag, start)
+        if self.whole:
+            return total
+        total = total * F.lit(2.0 ** -self.bits) + self._frame("r", window, lag, start)
+        if not self.odd:
+            return total
+        nan, up, down = (self._frame(part, window, lag, start) > 0 for part in ("nan", "up", "down"))
+        return F.when(nan | (up & down), F.lit(float("nan"))).when(up, F.lit(float("inf"))).when(down, F.lit(float("-inf"))).otherwise(total)
+
+
+def _prefixes(df: DataFrame, series, order, columns, reach: int, block_rows: int | None) -> tuple[DataFrame, dict[str, _Prefix], Window]:
+    """Blocks with a halo of ``reach`` rows, running sums of ``columns`` in each, and the window of a block's series."""
+    numbered = row_numbers(chunked(df, series, order)).drop("_chunk", "_idx")
+    size = max(block_rows or 100_000, 1)
+    kinds, aggs = {f.name: f.dataType for f in df.schema}, []
+    for c in columns:
+        finite = F.abs(F.col(c).cast("double"))
+        good = finite < float("inf")  # NaN is larger than all numbers
+        aggs += [F.count_if(F.col(c).isNull()), F.max(F.when(good, finite)), F.count_if(~good)]
+    row = numbered.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
+    stats = {c: row[3 * i:3 * i + 3] for i, c in enumerate(columns)}
+    window = Window.partitionBy("_block", *series).orderBy("_row")
+    held = {c: _Prefix(c, F.col(c), kinds[c], stats[c], size + reach) for c in columns}
+    blocks = halo_blocks(numbered, reach, size).withColumn("_place", F.row_number().over(window))
+    return blocks.withColumns({n: c for p in held.values() for n, c in p.columns(window).items()}), held, window
+
+
 def trailing(df: DataFrame, series, order, lags: dict[str, tuple[str, int]], start: int = 0,
              block_rows: int | None = None) -> DataFrame:
     """Trailing means: output name to (column, lag). The frame is the ``lag`` rows ending ``start`` rows ago.
 
-    Shorter prefixes average what is there (a minimum of one value).
+    Shorter prefixes average what is there (a minimum of one value). Every mean is a difference of two running sums,
+    so its cost does not depend on the lag.
     """
     series = list(series)
-    reach = max(lag for _, lag in lags.values()) - 1 + start
-    blocks = with_halo(df, series, order, reach, block_rows)
-    window = Window.partitionBy("_block", *series).orderBy("_row")
-    out = blocks.withColumns({
-        name: F.avg(column).over(window.rowsBetween(-(lag - 1) - start, -start))
-        for name, (column, lag) in lags.items()
-    })
-    return out.where(~F.col("_halo")).drop("_halo", "_block", "_row")
+    reach = max(lag for _, lag in lags.values()) + start
+    columns = list(dict.fromkeys(column for column, _ in lags.values()))
+    blocks, held, window = _prefixes(df, series, order, columns, reach, block_rows)
+
+    def mean(column: str, lag: int) -> Column:
+        n = held[column].count(window, lag, start)
+        return F.when(n > 0, (held[column].sum(window, lag, start) / n).cast("double"))
+
+    out = blocks.withColumns({name: mean(column, lag) for name, (column, lag) in lags.items()})
+    return out.where(~F.col("_halo")).select(*df.columns, *lags)
 
 
 def windowed_error_rate(df: DataFrame, series, order, window_slots: int, error: Column,
@@ -136,20 +214,14 @@ def windowed_error_rate(df: DataFrame, series, order, window_slots: int, error:
     """
     series = list(series)
     rows = df.withColumn("_err", error.cast("bigint"))
-    reach = window_slots + 1
-    blocks = with_halo(rows, series, order, reach)
-    window = Window.partitionBy("_block", *series).orderBy("_row")
-    recent = F.sum("_err").over(window.rowsBetween(-window_slots, -1))
-    seen = F.count("_err").over(window.rowsBetween(-window_slots, -1))
+    blocks, held, window = _prefixes(rows, series, order, ["_err"], window_slots + 2, None)
+    err = held["_err"]
+    seen = err.count(window, window_slots, 1)
+    rate = F.when(seen > 0, err.sum(window, window_slots, 1) / seen)
     if compat:
-        wider = F.sum("_err").over(window.rowsBetween(-window_slots - 1, -1))
-        seen_wider = F.count("_err").over(window.rowsBetween(-window_slots - 1, -1))
-        rate = F.when(seen_wider > window_slots, wider / F.lit(window_slots)).otherwise(recent / seen)
-    else:
-        rate = recent / seen
-    return (
-        blocks.withColumn(out, F.when(seen > 0, rate)).where(~F.col("_halo")).drop("_err", "_halo", "_block", "_row")
-    )
+        over = err.count(window, window_slots + 1, 1) > window_slots
+        rate = F.when(over, err.sum(window, window_slots + 1, 1) / F.lit(window_slots)).otherwise(rate)
+    return blocks.withColumn(out, rate).where(~F.col("_halo")).select(*df.columns, out)
 
 
 def padded_rolling(df: DataFrame, order: str, columns, width: int, series=()) -> DataFrame:
