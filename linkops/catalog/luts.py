@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import radio
-from ..functions.expr import linspace
-from ..operators import lut, metrics
+from ..functions.expr import code, linspace
+from ..operators import isotonic, lut, metrics
 from ..operators.candidates import candidates
 from ..session import scratch_path
 from ..sources import luts, sinks
@@ -250,6 +250,24 @@ def monotone_lut(spark, sf_dir):
     return lut.monotone(_empirical(spark, sf_dir))
 
 
+# Least squares by the formula of the least over the left ends of the largest mean over the right ends.
+@query("M4_isotonic_pass_rate", f"""WITH {TX}, c AS (SELECT {_code('snr')} AS snr_code, mcs, count(*) AS n, sum(label_pass) AS t FROM tx GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER w AS cn, sum(t) OVER w AS ct, row_number() OVER w AS i FROM c WINDOW w AS (PARTITION BY snr_code ORDER BY mcs)),
+m AS (SELECT a.snr_code, a.i AS a, b.i AS b, (b.ct - a.ct + a.t) / (b.cn - a.cn + a.n) AS mean FROM r a JOIN r b ON a.snr_code = b.snr_code AND a.i <= b.i),
+x AS (SELECT r.snr_code, r.i, m.a, max(mean) AS most FROM r JOIN m ON r.snr_code = m.snr_code AND m.a <= r.i AND m.b >= r.i GROUP BY ALL),
+f AS (SELECT snr_code, i, min(most) AS fit FROM x GROUP BY 1, 2)
+SELECT snr_code, mcs, CAST(n AS DOUBLE) AS weight, fit FROM r JOIN f USING (snr_code, i)""")
+def isotonic_pass_rate(spark, sf_dir):
+    tx = transmissions(spark, sf_dir).select(code("snr", 0.1).alias("snr_code"), "mcs", "label_pass")
+    return isotonic.isotonic_fit(tx, ["snr_code"], "mcs", "label_pass", increasing=False)
+
+
+@query("M4_isotonic_grid")
+def isotonic_grid(spark, sf_dir):
+    tx = transmissions(spark, sf_dir).select(code("snr", 0.1).alias("snr_code"), F.col("cqi").alias("cqi_code"), "p")
+    return isotonic.isotonic_grid(tx, "snr_code", "cqi_code", "p", tolerance=1e-6)
+
+
 # --- polynomial tables -----------------------------------------------------------------------------
 
 # A cubic of (snr, cqi) used as a given model.
@@ -270,17 +288,26 @@ def _axes(spark, sf_dir):
     return {"snr": linspace(row[0], row[1], 5), "cqi": linspace(row[2], row[3], 5)}, [row[1] - row[0], float(row[3] - row[2])]
 
 
-@query("J15_nearest_rows", f"""WITH {TX}, b AS (SELECT min(snr) AS s0, max(snr) AS s1, min(cqi) AS c0, max(cqi) AS c1 FROM tx),
-v AS (SELECT CAST(i * 5 + j AS INTEGER) AS vertex, s0 + (s1 - s0) / 4 * i AS vs, c0 + (c1 - c0) / 4 * j AS vc, s1 - s0 AS ws, c1 - c0 AS wc FROM b, range(0, 5) r(i), range(0, 5) q(j)),
+_NEAREST = f"""b AS (SELECT min(snr) AS s0, max(snr) AS s1, min(cqi) AS c0, max(cqi) AS c1 FROM tx),
+v AS (SELECT CAST(i * 5 + j AS INTEGER) AS vertex, i, j, s0 + (s1 - s0) / 4 * i AS vs, c0 + (c1 - c0) / 4 * j AS vc, s1 - s0 AS ws, c1 - c0 AS wc FROM b, range(0, 5) r(i), range(0, 5) q(j)),
 d AS (SELECT vertex, mcs, sqrt(((snr - vs) / ws) ** 2 + ((cqi - vc) / wc) ** 2) AS d, {KEY_SQL} FROM tx, v),
-r AS (SELECT *, row_number() OVER (PARTITION BY vertex ORDER BY d, {KEY_SQL}) AS rn FROM d)
-SELECT vertex, sum(mcs / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS value, count(*) AS neighbours FROM r WHERE rn <= 200 GROUP BY 1""", "value", digits=4)
+r AS (SELECT *, row_number() OVER (PARTITION BY vertex ORDER BY d, {KEY_SQL}) AS rn FROM d),
+k AS (SELECT vertex, sum(mcs / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS value, count(*) AS neighbours FROM r WHERE rn <= 200 GROUP BY 1)"""
+
+
+@query("J15_nearest_rows", f"WITH {TX}, {_NEAREST} SELECT * FROM k", "value", digits=4)
 def nearest_rows(spark, sf_dir):
     axes, scales = _axes(spark, sf_dir)
     return lut.nearest_rows(transmissions(spark, sf_dir), ["snr", "cqi"], "mcs", axes, scales, ROW_KEY, 200)
 
 
-@query("L6_interpolation_lut")
+@query("L6_interpolation_lut", f"""WITH {TX}, {_NEAREST},
+g AS (SELECT s0 + 0.5::DOUBLE * n AS snr, CAST(c0 + m AS DOUBLE) AS cqi FROM b, range(0, CAST(ceil((s1 + 0.25 - s0) / 0.5) AS BIGINT)) x(n), range(0, CAST(ceil(c1 + 0.5 - c0) AS BIGINT)) y(m)),
+n AS (SELECT i, s0 + (s1 - s0) / 4 * i AS s, c0 + (c1 - c0) / 4 * i AS c FROM b, range(0, 5) r(i)),
+ls AS (SELECT snr, a.i, product((snr - o.s) / (a.s - o.s)) AS l FROM (SELECT DISTINCT snr FROM g), n a JOIN n o ON a.i <> o.i GROUP BY ALL),
+lc AS (SELECT cqi, a.i AS j, product((cqi - o.c) / (a.c - o.c)) AS l FROM (SELECT DISTINCT cqi FROM g), n a JOIN n o ON a.i <> o.i GROUP BY ALL)
+SELECT snr, cqi, CAST(least(greatest(round_even(sum(value * ls.l * lc.l), 0), 0), 27) AS INTEGER) AS mcs
+FROM g JOIN ls USING (snr) JOIN lc USING (cqi) JOIN v ON v.i = ls.i AND v.j = lc.j JOIN k USING (vertex) GROUP BY snr, cqi""")
 def interpolation_lut(spark, sf_dir):
     axes, scales = _axes(spark, sf_dir)
     values = lut.nearest_rows(transmissions(spark, sf_dir), ["snr", "cqi"], "mcs", axes, scales, ROW_KEY, 200)

@@ -288,37 +288,79 @@ def grid_vertices(axes: dict[str, list[float]]):
         yield index, [nodes[i] for nodes, i in zip(axes.values(), index)]
 
 
-def nearest_rows(df: DataFrame, features, target: str, axes: dict[str, list[float]], scales, row_key,
-                 k: int = 200, distance_bins: int = 1024) -> DataFrame:
-    """Inverse-distance mean of ``target`` over the k rows nearest to each grid vertex.
+# Cells of the space partition behind ``nearest_rows``, over all axes together.
+CELLS = 32_768
+
 
-    A histogram of distances per vertex (map-side sums, fixed size) gives a radius that holds at least k rows;
-    only rows inside it are ranked, and the rank limit works on the map side first. Ties go to the lowest key.
+def nearest_cells(rows: DataFrame, features, cells, points, scales, k: int) -> DataFrame:
+    """``vertex, <cells>`` of every cell that can hold one of the ``k`` rows nearest to a vertex.
+
+    Of each cell only its number of rows and the range of its features are known. Cells are taken by their farthest
+    corner until ``k`` rows are inside; no row farther than that corner counts, so no cell whose nearest corner is
+    beyond it matters. Distances of corners round like those of rows, each step being monotone, so none is missed.
     """
+    boxes = rows.groupBy(*cells).agg(
+        F.count(F.lit(1)).alias("_n"), *[g(f).alias(f"_{end}{i}") for i, f in enumerate(features) for end, g in (("lo", F.min), ("hi", F.max))],
+    )
     entries = F.array(*[
-        F.struct(F.lit(i).alias("vertex"), F.array(*[F.lit(float(x)) for x in point]).alias("at"))
-        for i, (_, point) in enumerate(grid_vertices(axes))
+        F.struct(F.lit(i).alias("vertex"), F.array(*[F.lit(float(x)) for x in point]).alias("at")) for i, point in enumerate(points)
     ])
-    spread = df.select(*features, target, *row_key, F.explode(entries).alias("_v"))
-    squares = [
-        ((F.col(f) - F.element_at("_v.at", i + 1)) / F.lit(float(s or 1.0))) ** 2
-        for i, (f, s) in enumerate(zip(features, scales))
+    met = materialize(boxes, "cells").withColumn("_v", F.explode(entries))
+
+    def corner(i: int, scale: float, pick) -> Column:
+        at = F.element_at("_v.at", i + 1)
+        below, above = _scaled(F.col(f"_lo{i}"), at, scale), _scaled(F.col(f"_hi{i}"), at, scale)
+        return pick(below, above)
+
+    inside = lambda a, b: F.when((a <= 0) & (b >= 0), 0.0).otherwise(F.least(F.abs(a), F.abs(b)))
+    outside = lambda a, b: F.greatest(F.abs(a), F.abs(b))
+    near = _length([corner(i, s, inside) for i, s in enumerate(scales)])
+    far = _length([corner(i, s, outside) for i, s in enumerate(scales)])
+    ranged = met.select(F.col("_v.vertex").alias("vertex"), *cells, "_n", near.alias("_near"), far.alias("_far"))
+    closer = Window.partitionBy("vertex").orderBy("_far").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = ranged.withColumn("_upto", F.sum("_n").over(closer)).where(F.col("_upto") >= k)
+    reach = enough.groupBy("vertex").agg(F.min("_far").alias("_reach"))  # one row per vertex
+    return ranged.join(F.broadcast(reach), "vertex", "left").where(
+        F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach"))
+    ).select("vertex", *cells)
+
+
+def _scaled(value: Column, at: Column, scale: float) -> Column:
+    return (value - at) / F.lit(float(scale or 1.0))
+
+
+def _length(sides: list[Column]) -> Column:
+    return F.sqrt(reduce(lambda a, b: a + b, [s ** 2 for s in sides]))
+
+
+def nearest_rows(df: DataFrame, features, target: str, axes: dict[str, list[float]], scales, row_key,
+                 k: int = 200, cells: int = CELLS) -> DataFrame:
+    """Inverse-distance mean of ``target`` over the k rows nearest to each grid vertex.
+
+    Rows are counted into the cells of a grid over the scaled features; a search over these cells names the few that
+    can hold a neighbour of a vertex, and only their rows are looked at: as many as ``k`` asks for, whatever the
+    number of rows and vertices. Ties go to the lowest key; a vertex with fewer than k rows has them all. Rows without
+    a feature or the target take no part.
+    """
+    features, points = list(features), [point for _, point in grid_vertices(axes)]
+    per_axis = max(1, int(cells ** (1 / len(features)) + 1e-9))
+    ids = [f"_cell{i}" for i in range(len(features))]
+    index = [
+        F.least(F.greatest(F.floor(_scaled(F.col(f), F.lit(float(nodes[0])), s) * per_axis), F.lit(0)), F.lit(per_axis - 1)).cast("int").alias(c)
+        for f, nodes, s, c in zip(features, axes.values(), scales, ids)
     ]
-    distance = F.sqrt(reduce(lambda a, b: a + b, squares))
-    measured = spread.select(F.col("_v.vertex").alias("vertex"), target, *row_key, distance.alias("_d"))
-    reach = math.sqrt(len(features)) + 1.0
-    step = reach / distance_bins
-    bin_of = F.least(F.floor(F.col("_d") / F.lit(step)), F.lit(distance_bins)).cast("int")
-    histogram = measured.groupBy("vertex", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("vertex").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    radius = (
-        histogram.withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-        .where(F.col("_before") < k).groupBy("vertex").agg(F.max("bin").alias("_limit"))
-    )
-    inside = measured.withColumn("_bin", bin_of).join(F.broadcast(radius), "vertex").where(F.col("_bin") <= F.col("_limit"))
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], target, *row_key).dropna(subset=[*features, target])
+    rows = rows.select("*", *index)
+    wanted = materialize(nearest_cells(rows, features, ids, points, scales, k), "nearest-cells")
+    # A cell is wanted by few vertices; they travel as a list, so a row is looked up once.
+    at = F.array(*[F.array(*[F.lit(float(x)) for x in point]) for point in points])
+    asked = wanted.groupBy(*ids).agg(F.collect_list("vertex").alias("_asked"))
+    near = rows.join(small_side(materialize(asked, "asked-cells")), ids).withColumn("vertex", F.explode("_asked"))
+    vertex = F.element_at(at, F.col("vertex") + 1)
+    distance = _length([_scaled(F.col(f), F.element_at(vertex, i + 1), s) for i, (f, s) in enumerate(zip(features, scales))])
+    measured = near.select("vertex", target, *row_key, distance.alias("_d"))
     rank = F.row_number().over(Window.partitionBy("vertex").orderBy("_d", *row_key))
     weight = 1 / (F.col("_d") + F.lit(1e-6))
-    return inside.withColumn("_rank", rank).where(F.col("_rank") <= k).groupBy("vertex").agg(
+    return measured.withColumn("_rank", rank).where(F.col("_rank") <= k).groupBy("vertex").agg(
         (F.sum(weight * F.col(target)) / F.sum(weight)).alias("value"), F.count(F.lit(1)).alias("neighbours")
     )
-
