@@ -30,6 +30,8 @@ CLASSES = 16
 # A token of at least this share of the documents, and of FREQUENT_LEAST, is frequent; the shared set of them stays
 # below FREQUENT_MOST.
 FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.001, 2_000, 1_000_000
+# Counters of a task that looks for frequent tokens: a power of two, far above the tokens of a set over the share.
+BUCKETS = 1 << 20
 # A bucket of at most PAIR_SETS gives its pairs; larger ones are compared inside tasks, BLOCK_SETS with as many others.
 PAIR_SETS, BLOCK_SETS = 64, 1_000
 # Rounds that compare a bucket's members with one of them only, before all pairs that are still apart.
@@ -98,29 +100,48 @@ def sketch(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THR
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema), "sketch")
 
 
+def _parts(batch: pa.RecordBatch) -> np.ndarray:
+    """Tokens of the part of all sets of a batch of ``low, u``, one set after the other."""
+    low, u = batch.column(0), batch.column(1).to_numpy()
+    size = np.diff(low.offsets.to_numpy())
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) < np.repeat(u, size)
+    return low.flatten().to_numpy()[inside]
+
+
 def frequent_tokens(nodes: DataFrame, share: float = FREQUENT_SHARE) -> np.ndarray:
-    """Sorted tokens of the part that at least ``share`` of the sets have; tasks report what is frequent in them."""
+    """Sorted tokens of the part that at least ``share`` of the sets have.
+
+    A task first counts into ``BUCKETS`` counters by the tokens' last bits, whatever the number of tokens, and reports
+    the buckets that are well filled there. Only tokens of buckets that are well filled in all are then counted.
+    """
     total = max(nodes.count(), int(FREQUENT_LEAST / share))
     least = share * total
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, sets = np.empty(0, np.int64), np.empty(0, np.int64), 0
+    def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        counts, sets = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            low, u = batch.column(0), batch.column(1).to_numpy()
-            flat, at = low.values.to_numpy(), low.offsets.to_numpy()
-            parts = [flat[a:a + k] for a, k in zip(at, u)]
-            new, n = np.unique(np.concatenate([np.empty(0, np.int64), *parts]), return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            counts += np.bincount(_parts(batch) & (BUCKETS - 1), minlength=BUCKETS)
             sets += batch.num_rows
-            if len(keys) > 4_000_000:  # what is rare so far cannot reach half the share in this task by itself
-                keep = counts >= max(2, share * sets / 4)
-                keys, counts = keys[keep], counts[keep]
-        keep = counts >= max(4, share * sets / 2)
-        yield pa.RecordBatch.from_pydict({"token": keys[keep], "n": counts[keep]})
-
-    found = nodes.select("low", "u").mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = materialize(found.where(F.col("n") >= least / 2), "frequent")
+        # What stays below half the share in every task does not reach the half that is asked for below by itself.
+        full = np.flatnonzero(counts >= max(1, share * sets / 2))
+        yield pa.RecordBatch.from_pydict({"bucket": full, "n": counts[full]})
+
+    rows = nodes.select("low", "u")
+    filled = rows.mapInArrow(loads, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least / 2)
+    hot = np.zeros(BUCKETS, bool)  # the buckets are at most as many as a set has tokens, times two, over the share
+    hot[filled.select("bucket").toPandas()["bucket"].to_numpy(np.int64)] = True
+    shared = nodes.sparkSession.sparkContext.broadcast(np.packbits(hot))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            tokens = _parts(batch)
+            token, n = np.unique(tokens[hot[tokens & (BUCKETS - 1)]], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"token": token, "n": n})
+
+    found = rows.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = materialize(found.where(F.col("n") >= least), "frequent")
     if found.count() > FREQUENT_MOST:
         return frequent_tokens(nodes, share * 4)
     return np.sort(found.select("token").toPandas()["token"].to_numpy(np.int64))

@@ -8,9 +8,13 @@ library, so that its Unicode tables and special-token rules decide.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
+
 # Letters and marks on which ``re`` and the library agree; no blank but tab, line ends and space.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _COMMON = re.compile(f"[\\t\\n\\r\\x20-\\x7e¡-©«¬®-±´¶-¸»¿×÷{_LETTERS}]*")
@@ -95,6 +99,11 @@ def worker_pieces(key: tuple, encode: Callable, shared: dict | None = None) -> P
 
 
 def forget() -> None:
-    """Drop the caches of this worker. Operators that need its memory call it when their tasks begin, since workers
-    outlive the stage that filled them."""
+    """Drop the caches of this worker and give back the memory that they and earlier tasks leave. Operators that need its
+    memory call it when their tasks begin, since workers outlive the stage that filled them."""
     _PIECES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)

@@ -160,3 +160,20 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     want = {(q, i) for q, _, i in brute_nearest(single, asked, 5)}
     assert len(few & want) > 0.6 * len(want)
     assert neighbours.nearest(table.limit(0), queries.limit(0)).count() == 0
+
+
+def test_frequent_tokens_are_exact(spark, monkeypatch):
+    """Counted over all sets, though tasks count into few buckets first; only the first ``u`` tokens of a set count."""
+    from linkops.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 1)
+    monkeypatch.setattr(jaccard, "BUCKETS", 64)
+    pick, sets = random.Random(12), []
+    for i in range(400):
+        tokens = sorted({int(pick.paretovariate(0.4)) * 7 for _ in range(pick.randrange(0, 40))})
+        sets.append((tokens, pick.randrange(0, len(tokens) + 1)))
+    df = spark.createDataFrame(sets, "low array<long>, u int").repartition(7)
+    counts = Counter(t for low, u in sets for t in low[:u])
+    for share in (0.01, 0.05, 0.3):
+        assert jaccard.frequent_tokens(df, share).tolist() == sorted(t for t, n in counts.items() if n >= share * 400)
+    assert jaccard.frequent_tokens(df.where("false"), 0.05).tolist() == []
