@@ -11,7 +11,7 @@ from ..operators import candidates, evaluate, lut, metrics, modelling, policy, s
 from ..session import scratch_path
 from ..sources import sinks
 from .registry import query
-from .tables import ROW_KEY, TX, transmissions
+from .tables import MCS, ROW_KEY, TX, transmissions
 
 FEATURES = ["snr", "cqi", "mcs"]
 # Labelled rows a model is fitted on at most, chosen by a hash; scoring always takes all rows.
@@ -176,24 +176,69 @@ def linear_fit_quality(spark, sf_dir):
     return modelling.fit_quality(best, "optimal_mcs", F.lit(fit["intercept"]) + F.lit(fit["slope"]) * F.col("bler")).select("rows", "r2", "rmse")
 
 
-@query("M8_quadratic_fit")
+def _least_squares_sql(source: str, y: str, axes: dict[str, str], degree: int) -> str:
+    """CTEs ``ranges`` (one row: centre and half width of each axis) and ``fit`` (one row: list ``c`` of coefficients in
+    scaled variables, in the order of the exponents): moments of the scaled terms and Gauss-Jordan steps on them."""
+    names, terms = list(axes), modelling.exponents(len(axes), degree)
+    n = len(terms)
+    ranges = ", ".join(f"(min({x}) + max({x})) / 2 AS {a}_c, (max({x}) - min({x})) / 2 AS {a}_w" for a, x in axes.items())
+    power = lambda e: " * ".join(["1.0::DOUBLE", *[f"z{i}" for i, p in enumerate(e) for _ in range(p)]])
+    moments = ", ".join(
+        "[" + ", ".join([*[f"sum({power(tuple(a + b for a, b in zip(s, t)))})" for t in terms], f"sum({power(s)} * y)"]) + "]" for s in terms
+    )
+    scaled = ", ".join(f"({axes[a]} - {a}_c) / {a}_w AS z{i}" for i, a in enumerate(names))
+    step = f"""list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 2}), lambda j:
+      CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END))"""
+    return f"""ranges AS (SELECT {ranges} FROM {source}), zs AS (SELECT {scaled}, CAST({y} AS DOUBLE) AS y FROM {source}, ranges),
+gauss(k, m) AS (SELECT 1, [{moments}] FROM zs UNION ALL SELECT k + 1, {step} FROM gauss WHERE k <= {n}),
+fit AS (SELECT list_transform(m, lambda r: r[{n + 1}]) AS c FROM gauss WHERE k = {n + 1})"""
+
+
+def _polynomial_sql(axes: dict[str, str], degree: int) -> str:
+    """Value of the fit of ``_least_squares_sql`` at columns named like the axes."""
+    pieces = []
+    for i, e in enumerate(modelling.exponents(len(axes), degree)):
+        pieces.append(" * ".join([f"c[{i + 1}]", *[f"(({x} - {a}_c) / {a}_w)" for (a, x), p in zip(axes.items(), e) for _ in range(p)]]))
+    return " + ".join(pieces)
+
+
+_ELE, _PAIR = {"ele": "ele_angle"}, {"snr": "snr", "cqi": "cqi"}
+
+
+@query("M8_quadratic_fit", f"""WITH RECURSIVE {TX}, {_least_squares_sql('tx', 'snr', _ELE, 2)}
+SELECT ele_angle, {_polynomial_sql(_ELE, 2)} AS snr FROM (SELECT CAST(v AS DOUBLE) AS ele_angle FROM range(0, 91) g(v)), fit, ranges""", "snr")
 def quadratic_fit(spark, sf_dir):
-    terms = modelling.fit_polynomial(transmissions(spark, sf_dir), ["ele_angle"], "snr", 2)
+    fit = modelling.polynomial_fit(transmissions(spark, sf_dir), ["ele_angle"], "snr", 2)
     grid = lut.step_grid(spark, {"ele_angle": (0.0, 90.0, 1.0)})
-    return grid.withColumn("snr", lut.polynomial(terms, ["ele_angle"]))
+    return grid.withColumn("snr", fit.column())
+
+
+# Best MCS by expected throughput; equal products go to the lowest MCS.
+_BEST_SQL = f"""{TX}, {MCS}, w AS (SELECT snr, m.mcs, round(1 / (1 + exp(-(0.6::DOUBLE * (snr - (m.mcs * 0.9::DOUBLE - 9.0::DOUBLE))))), 9) * m.eff AS t FROM (SELECT DISTINCT snr FROM tx) CROSS JOIN mcs_table m),
+best AS (SELECT snr, arg_max(mcs, (t, -mcs)) AS best FROM w GROUP BY 1), labelled AS (SELECT tx.snr, CAST(tx.cqi AS DOUBLE) AS cqi, best.best FROM tx JOIN best USING (snr))"""
+
+
+@query("M8_cubic_fit_all_rows", f"""WITH RECURSIVE {_BEST_SQL}, {_least_squares_sql('labelled', 'best', _PAIR, 3)},
+e AS (SELECT CAST(best AS DOUBLE) AS y, {_polynomial_sql(_PAIR, 3)} AS f FROM labelled, fit, ranges)
+SELECT count(*) AS rows, 1 - sum((y - f) ** 2) / (count(*) * var_pop(y)) AS r2, sqrt(sum((y - f) ** 2) / count(*)) AS rmse, avg(abs(y - f)) AS mae FROM e""", "r2 rmse mae")
+def cubic_fit_all_rows(spark, sf_dir):
+    rows = _best(spark, sf_dir)
+    return modelling.fit_quality(rows, "best", modelling.polynomial_fit(rows, ["snr", "cqi"], "best", 3).column())
 
 
 @query("M8_cubic_fit_quality")
 def cubic_fit(spark, sf_dir):
     rows = _best(spark, sf_dir)
-    terms = modelling.fit_polynomial(rows.where("split = 'train'"), ["snr", "cqi"], "best", 3)
-    return modelling.fit_quality(rows.where("split = 'test'"), "best", lut.polynomial(terms, ["snr", "cqi"]))
+    fit = modelling.polynomial_fit(rows.where("split = 'train'"), ["snr", "cqi"], "best", 3)
+    return modelling.fit_quality(rows.where("split = 'test'"), "best", fit.column())
 
 
-@query("L5_fitted_polynomial_lut")
+@query("L5_fitted_polynomial_lut", f"""WITH RECURSIVE {_BEST_SQL}, {_least_squares_sql('labelled', 'best', _PAIR, 3)}, b AS (SELECT min(snr) AS lo, max(snr) AS hi FROM tx),
+g AS (SELECT lo + i * 0.2::DOUBLE AS snr, CAST(q AS DOUBLE) AS cqi FROM b, range(0, CAST(ceil((hi + 0.1::DOUBLE - lo) / 0.2::DOUBLE) AS BIGINT)) r(i), range(0, 16) c(q))
+SELECT snr, cqi, CAST(least(greatest(round_even({_polynomial_sql(_PAIR, 3)}, 0), 0), 27) AS INTEGER) AS mcs FROM g, fit, ranges""", "snr")
 def fitted_polynomial_lut(spark, sf_dir):
     rows = _best(spark, sf_dir)
-    terms = modelling.fit_polynomial(rows, ["snr", "cqi"], "best", 3)
+    fit = modelling.polynomial_fit(rows, ["snr", "cqi"], "best", 3)
     low, high = rows.agg(F.min("snr"), F.max("snr")).first()
     grid = lut.step_grid(spark, {"snr": (low, high, 0.2), "cqi": (0.0, 15.0, 1.0)})
-    return lut.polynomial_lut(grid, lut.polynomial(terms, ["snr", "cqi"]))
+    return lut.polynomial_lut(grid, fit.column())

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -60,36 +63,99 @@ def _unscale(terms, centers, widths) -> dict[tuple[int, ...], float]:
     return total
 
 
-def fit_polynomial(df: DataFrame, features, target: str, degree: int) -> dict[tuple[int, ...], float]:
-    """Least squares by normal equations: two aggregations over the data, then a solve of at most 20 x 20.
+# Factors that the driver reduces by itself; more are first reduced by tasks. A degree gives ever more terms.
+FACTORS = 256
+
+
+def _reduced(factors) -> np.ndarray:
+    """Upper triangular factor of matrices laid on top of each other; their orthogonal factors are of no use."""
+    return np.linalg.qr(np.vstack(list(factors)), mode="r")
+
+
+def triangular_factor(rows: DataFrame, build: Callable[[list[np.ndarray]], np.ndarray], width: int) -> np.ndarray:
+    """R of the QR factorization of a tall matrix, ``build`` making its rows from the columns of a batch.
+
+    Each task reduces its rows to one small factor, batch by batch, and the factors are reduced like rows. R has the
+    condition of the matrix, not its square as a table of moments has.
+    """
 
-    Variables are scaled to [-1, 1] for the solve; the result is in the original ones, keyed by exponents.
+    def emit(r: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if r is not None:
+            yield pa.RecordBatch.from_pydict({"r": pa.array([r.ravel()], pa.list_(pa.float64()))})
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                part = build([batch.column(i).to_numpy() for i in range(batch.num_columns)])
+                held = _reduced([part] if held is None else [held, part])
+        yield from emit(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            parts = [np.array(r).reshape(-1, width) for r in batch.column(0).to_pylist()]
+            if parts:
+                held = _reduced(parts if held is None else [held, *parts])
+        yield from emit(held)
+
+    factors, parts = rows.mapInArrow(factor, "r array<double>"), rows.rdd.getNumPartitions()
+    while parts > FACTORS:
+        parts = -(-parts // FACTORS)
+        factors = factors.repartition(parts).mapInArrow(merge, "r array<double>")
+    found = [np.array(r["r"]).reshape(-1, width) for r in factors.collect()]
+    return _reduced(found) if found else np.zeros((0, width))
+
+
+@dataclass(frozen=True)
+class PolynomialFit:
+    """Least-squares polynomial in variables scaled to [-1, 1]: ``scaled`` maps exponents to coefficients."""
+
+    features: tuple[str, ...]
+    centers: tuple[float, ...]
+    widths: tuple[float, ...]
+    scaled: dict[tuple[int, ...], float]
+
+    def terms(self) -> dict[tuple[int, ...], float]:
+        """Coefficients in the original variables."""
+        return _unscale(self.scaled, self.centers, self.widths)
+
+    def column(self) -> Column:
+        """Value of the polynomial, computed in the scaled variables, where nothing cancels."""
+        z = [(F.col(f) - F.lit(c)) / F.lit(w) for f, c, w in zip(self.features, self.centers, self.widths)]
+        total = F.lit(0.0)
+        for powers, coefficient in self.scaled.items():
+            factors = [v for v, power in zip(z, powers) for _ in range(power)]
+            total = total + reduce(lambda acc, v: acc * v, factors, F.lit(float(coefficient)))
+        return total
+
+
+def polynomial_fit(df: DataFrame, features, target: str, degree: int) -> PolynomialFit:
+    """Least squares by a tall-skinny QR factorization: one pass for the ranges, one for the factor.
+
+    Rows with a missing value take no part. Where the data do not determine all terms (few different values), the
+    smallest coefficients that fit best are taken; no rows give zeros.
     """
     features = list(features)
-    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y")).dropna()
-    ranges = rows.agg(*[g(f) for f in features for g in (F.min, F.max)]).first()
-    centers = [(ranges[2 * i] + ranges[2 * i + 1]) / 2 for i in range(len(features))]
-    widths = [((ranges[2 * i + 1] - ranges[2 * i]) / 2) or 1.0 for i in range(len(features))]
-    scaled = rows.select("_y", *[
-        ((F.col(f) - F.lit(c)) / F.lit(w)).alias(f"z{i}") for i, (f, c, w) in enumerate(zip(features, centers, widths))
-    ])
+    rows = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], F.col(target).cast("double").alias("y")).dropna()
+    ranges = rows.agg(*[g(f"x{i}") for i in range(len(features)) for g in (F.min, F.max)]).first()
+    centers = tuple(((ranges[2 * i] or 0.0) + (ranges[2 * i + 1] or 0.0)) / 2 for i in range(len(features)))
+    widths = tuple((((ranges[2 * i + 1] or 0.0) - (ranges[2 * i] or 0.0)) / 2) or 1.0 for i in range(len(features)))
     terms = exponents(len(features), degree)
-    names = [f"z{i}" for i in range(len(features))]
-    # A product of two terms depends only on the summed exponents, so each moment is taken once.
-    needed = sorted({tuple(a + b for a, b in zip(s, t)) for s in terms for t in terms})
-    # Each row yields its powers as an array; sums per position are combined on the map side.
-    table = F.array(*[F.array(*[F.lit(float(p)) for p in e]) for e in needed])
-    power = F.transform(table, lambda e: reduce(
-        lambda acc, i: acc * F.pow(F.col(names[i]), F.element_at(e, i + 1)), range(len(names)), F.lit(1.0)
-    ))
-    long = scaled.select("_y", F.posexplode(power).alias("pos", "x"))
-    sums = {r["pos"]: r for r in long.groupBy("pos").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("_y")).alias("xy")).collect()}
-    at = {e: sums[i]["x"] for i, e in enumerate(needed)}
-    with_y = {e: sums[i]["xy"] for i, e in enumerate(needed)}
-    gram = np.array([[at[tuple(a + b for a, b in zip(s, t))] for t in terms] for s in terms])
-    right = np.array([with_y[t] for t in terms])
-    solution = np.linalg.lstsq(gram, right, rcond=None)[0]
-    return _unscale(dict(zip(terms, solution)), centers, widths)
+
+    def build(columns: list[np.ndarray]) -> np.ndarray:
+        z = [(x - c) / w for x, c, w in zip(columns, centers, widths)]
+        products = [reduce(np.multiply, [v ** p for v, p in zip(z, powers)]) for powers in terms]
+        return np.stack([*products, columns[-1]], axis=1)
+
+    r = triangular_factor(rows, build, len(terms) + 1)
+    solution = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=None)[0] if len(r) else np.zeros(len(terms))
+    return PolynomialFit(tuple(features), centers, widths, dict(zip(terms, solution.tolist())))
+
+
+def fit_polynomial(df: DataFrame, features, target: str, degree: int) -> dict[tuple[int, ...], float]:
+    """Coefficients of :func:`polynomial_fit` in the original variables, keyed by exponents."""
+    return polynomial_fit(df, features, target, degree).terms()
 
 
 def polynomial_formula(terms, features) -> str:
