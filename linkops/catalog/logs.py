@@ -217,7 +217,32 @@ def first_feedback(spark, sf_dir):
     return correlate.first_feedback(tx, fb, EVENT_WINDOW_MS).drop("file", "block", "rnti", "harq_id")
 
 
-@query("J2_consuming_feedback")
+# One step for each event of a link, all links at once: what waits for feedback, the first feedback of this instant, and
+# what the event settles.
+CONSUMED = f"""{EV},
+a AS (SELECT ue_id, pos, epoch_us(ts) AS us, true AS is_tx FROM etx UNION ALL SELECT ue_id, pos, epoch_us(ts), false FROM efb),
+e AS (SELECT *, row_number() OVER (PARTITION BY ue_id ORDER BY us, pos) AS n FROM a),
+s(ue_id, n, waiting, answer, tx_pos, fb_pos, retired) AS (
+  SELECT DISTINCT ue_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(us BIGINT, pos BIGINT)[]), CAST(NULL AS STRUCT(us BIGINT, pos BIGINT)),
+    CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false FROM e
+  UNION ALL
+  SELECT ue_id, n,
+    CASE WHEN is_tx THEN list_append(live, struct_pack(us := us, pos := pos)) WHEN taken IS NULL THEN live ELSE list_filter(live, lambda r: r.pos <> taken) END,
+    CASE WHEN is_tx OR answer.us = us THEN answer ELSE struct_pack(us := us, pos := pos) END,
+    CASE WHEN NOT is_tx THEN taken WHEN answer.us = us THEN pos END,
+    CASE WHEN NOT is_tx AND taken IS NOT NULL THEN pos WHEN is_tx AND answer.us = us THEN answer.pos END,
+    NOT is_tx AND taken IS NOT NULL
+  FROM (SELECT *, list_filter(live, lambda r: r.us // 10000 = live[len(live)].us // 10000)[1].pos AS taken FROM (
+    SELECT s.ue_id, e.n, e.us, e.pos, e.is_tx, s.answer, list_filter(s.waiting, lambda r: e.us - r.us <= {EVENT_WINDOW_MS * 1000}) AS live
+    FROM s JOIN e ON e.ue_id = s.ue_id AND e.n = s.n + 1))),
+matched AS (SELECT tx_pos, fb_pos, retired FROM s WHERE fb_pos IS NOT NULL)"""
+_SENT = "t.pos, t.ts, t.ue_id, t.ue_id AS rnti, 0 AS harq_id, t.mcs, t.tbs, t.nrtx"
+
+
+@query("J2_consuming_feedback", f"""WITH RECURSIVE {CONSUMED}
+SELECT {_SENT}, f.ts AS harq_timestamp, f.ack, (epoch_us(f.ts) - epoch_us(t.ts)) / 1000.0::DOUBLE AS time_diff_ms
+FROM etx t JOIN matched m ON m.tx_pos = t.pos JOIN efb f ON f.pos = m.fb_pos
+UNION ALL SELECT {_SENT}, NULL, NULL, NULL FROM etx t WHERE t.pos NOT IN (SELECT tx_pos FROM matched WHERE retired)""", "time_diff_ms")
 def consuming_feedback(spark, sf_dir):
     tx, fb = _tx_fb(spark, sf_dir)
     return correlate.consuming_feedback(tx, fb, EVENT_WINDOW_MS).drop("file", "block")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import correlate, replay
+from ..operators import replay
 from ..session import scratch_path
 from ..streaming import feedback, metrics, state
-from .logs import written_log
+from .logs import CONSUMED, written_log
 from .registry import query
 from .tables import (
     EV,
@@ -99,20 +99,18 @@ def feedback_join(spark, sf_dir):
     )
 
 
-@query("ST2_consuming_feedback", f"WITH {EV} SELECT count(*) AS rows, 0::BIGINT AS differing FROM etx")
+@query("ST2_consuming_feedback", f"""WITH RECURSIVE {CONSUMED}
+SELECT t.pos AS tx_seq, m.fb_pos AS fb_seq FROM etx t LEFT JOIN matched m ON m.tx_pos = t.pos AND m.retired""")
 def consuming_feedback(spark, sf_dir):
-    """Streamed consuming feedback to the end of its input; rows where it differs from the batch form are counted."""
+    """Streamed consuming feedback to the end of its input: every transmission with the feedback that retired it."""
     e = events(spark, sf_dir).where(F.col("event_type").isin("click", "purchase"))
     rows = e.select(
         F.col("ue_id").cast("long").alias("series"), "ts", F.unix_micros("ts").alias("us"), F.col("pos").alias("seq"),
         (F.col("event_type") == "click").alias("is_tx"),
     )
     stream = _table_stream(rows, "links", "ts", _after(rows, "90 days", series=-1, is_tx=True))
-    out = _drain(state.consuming_feedback(stream, EVENT_WINDOW_MS, "1 hour"), "consumed").where(F.col("series") >= 0)
-    batch = correlate.consuming_feedback(event_transmissions(spark, sf_dir), event_feedback(spark, sf_dir), EVENT_WINDOW_MS)
-    both = out.join(batch.select(F.col("pos").alias("tx_seq"), "harq_timestamp", F.lit(True).alias("known")), "tx_seq", "full")
-    differs = F.col("known").isNull() | F.col("series").isNull() | (F.col("fb_seq").isNull() != F.col("harq_timestamp").isNull())
-    return both.agg(F.count(F.lit(1)).alias("rows"), F.sum(differs.cast("long")).alias("differing"))
+    out = _drain(state.consuming_feedback(stream, EVENT_WINDOW_MS, "1 hour"), "consumed")
+    return out.where(F.col("series") >= 0).select("tx_seq", "fb_seq")
 
 
 @query("ST3_per_second", f"""WITH {EV}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, sum(tbs) AS tbs, count(*) AS rows FROM etx GROUP BY 1)
