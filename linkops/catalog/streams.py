@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import replay
 from ..session import scratch_path
-from ..streaming import feedback, metrics, state
+from ..streaming import feedback, metrics, sinks, state
 from .logs import CONSUMED, written_log
 from .registry import query
 from .tables import (
@@ -145,6 +145,24 @@ def streamed_features(spark, sf_dir):
     return out.groupBy("mcs").agg(F.count(F.lit(1)).alias("rows"), F.sum("label_pass").alias("passes"))
 
 
+@query("ST5_resumed_features", f"WITH {TX} SELECT mcs, count(*) AS rows, CAST(sum(CAST(bler <= target_bler AND blkerr = 1 AS INTEGER)) AS BIGINT) AS passes FROM tx GROUP BY 1")
+def resumed_features(spark, sf_dir):
+    """Features of slots that arrive in two parts, by a query that ends after the first and goes on from its checkpoint."""
+    raw = transmissions(spark, sf_dir).select(
+        F.col("snr").cast("string").alias("SNR"), F.col("mcs").cast("string").alias("MCS"), F.col("bler").cast("string").alias("BLER"),
+        F.col("target_bler").cast("string").alias("Targetbler"), F.col("blkerr").cast("string").alias("BLKErr"),
+        F.pmod(F.xxhash64(*ROW_KEY), F.lit(3)).alias("part"),
+    )
+    arrived, path, check = (scratch_path(spark, label) for label in ("arrived", "resumed", "resumed-state"))
+    for part in (F.col("part") == 0, F.col("part") > 0):
+        raw.where(part).drop("part").write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(raw.drop("part").schema).option("maxFilesPerTrigger", 2).parquet(arrived)
+        out = metrics.featurize(stream)
+        sinks.keyed_writer(out, path, check).trigger(availableNow=True).start().awaitTermination()
+    found = sinks.read_keyed(spark, path, out.schema)
+    return found.groupBy("mcs").agg(F.count(F.lit(1)).alias("rows"), F.sum("label_pass").alias("passes"))
+
+
 @query("ST6_offset_loop", "SELECT count(*) AS rows, 0::BIGINT AS differing FROM lineitem")
 def offset_loop(spark, sf_dir):
     """Streamed offset loop; rows where it differs from the batch replay are counted."""

@@ -1,54 +1,139 @@
 """Per-link state on the stream: rolling error rate, offset loop, allocator, consuming feedback.
 
-Needs the RocksDB state store provider.
+Needs the RocksDB state store provider. State ends: with ``idle``, a link that has sent nothing for so long, by the
+watermark, leaves the store, and starts anew if it comes back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.radio import MCS_MAX
 from ..operators.replay import ALLOCATOR_MAX
 
+# Block results of one page of the ring behind a rolling rate.
+PAGE = 1_024
 
-class _RollingError(StatefulProcessor):
-    """Rate over the last W block results per key."""
 
-    def __init__(self, width: int):
-        self.width = width
+class _Link(StatefulProcessor):
+    """State of one link with an idle timer: ``idle_ms`` after the link's last row it is forgotten (None: never)."""
+
+    columns: tuple[str, ...] = ()
+    idle_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "bits array<int>")
+        self.handle = handle
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def advance(self, key, frame: pd.DataFrame) -> pd.DataFrame:
+        """Result rows of the new rows of a link, which are in order."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq")
-        bits = [int(b) for b in self.recent.get()[0]] if self.recent.exists() else []
-        out = []
-        for seq, error in zip(frame["seq"], frame["error"]):
-            out.append((key[0], int(seq), sum(bits) / len(bits) if bits else None))
-            bits = (bits + [int(error)])[-self.width:]
-        self.recent.update((bits,))
-        yield pd.DataFrame(out, columns=["series", "seq", "bler"])
+        if self.idle_ms is not None:
+            end = int(frame["at_ms"].max()) + self.idle_ms
+            set_ = list(self.handle.listTimers())
+            if not set_ or max(set_) < end:
+                for timer in set_:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(end)
+        yield self.advance(key, frame)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        yield self.nothing()
+
+    def nothing(self) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(dtype="Int64") for c in self.columns})
 
     def close(self) -> None:
         pass
 
 
-class _OffsetLoop(StatefulProcessor):
+class _RollingError(_Link):
+    """Rate over the last W block results per key, from a running sum.
+
+    The results stand in a ring of pages of bits. New rows add to the sum what they bring and take off what they push
+    out of the window, so a batch touches the pages at the two ends of the window only, however wide it is.
+    """
+
+    columns = ("series", "seq", "bler")
+
+    def __init__(self, width: int, idle_ms: int | None = None):
+        self.width, self.idle_ms = width, idle_ms
+        self.slots = (-(-width // PAGE) + 1) * PAGE
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", "seen long, errors long")
+        self.pages = handle.getMapState("pages", "page int", "bits binary")
+
+    def _page(self, page: int) -> np.ndarray:
+        if not self.pages.containsKey((page,)):
+            return np.zeros(PAGE, np.uint8)
+        return np.unpackbits(np.frombuffer(bytes(self.pages.getValue((page,))[0]), np.uint8))
+
+    def _read(self, first: int, n: int) -> np.ndarray:
+        """Bits of ``n`` results from the result numbered ``first`` on."""
+        if n <= 0:
+            return np.zeros(0, np.uint8)
+        start = first // PAGE
+        held = [self._page(p % (self.slots // PAGE)) for p in range(start, (first + n - 1) // PAGE + 1)]
+        return np.concatenate(held)[first - start * PAGE:][:n]
+
+    def _write(self, first: int, bits: np.ndarray) -> None:
+        for page in range(first // PAGE, (first + len(bits) - 1) // PAGE + 1):
+            slot, begin = page % (self.slots // PAGE), page * PAGE
+            held = self._page(slot)
+            low, high = max(first, begin), min(first + len(bits), begin + PAGE)
+            held[low - begin:high - begin] = bits[low - first:high - first]
+            self.pages.updateValue((slot,), (np.packbits(held).tobytes(),))
+
+    def advance(self, key, frame: pd.DataFrame) -> pd.DataFrame:
+        new, width = frame["error"].to_numpy().astype(np.int64), self.width
+        seen, total = (int(v) for v in self.sums.get()) if self.sums.exists() else (0, 0)
+        gone = np.zeros(len(new), np.int64)
+        first, last = max(0, width - seen), min(len(new), width)  # from there on rows push out, first old and then new ones
+        if first < last:
+            gone[first:last] = self._read(seen + first - width, last - first)
+        gone[width:] = new[:max(0, len(new) - width)]
+        sums = total + np.concatenate(([0], np.cumsum(new - gone)))
+        count = np.minimum(seen + np.arange(len(new)), width)
+        kept = min(len(new), width)
+        self._write(seen + len(new) - kept, new[len(new) - kept:].astype(np.uint8))
+        self.sums.update((seen + len(new), int(sums[-1])))
+        rate = pd.Series(np.where(count > 0, sums[:-1] / np.maximum(count, 1), np.nan)).astype(object)
+        return pd.DataFrame({"series": key[0], "seq": frame["seq"].to_numpy(), "bler": rate.where(rate.notna(), None)})
+
+    def forget(self) -> None:
+        self.sums.clear()
+        self.pages.clear()
+
+
+class _OffsetLoop(_Link):
     """Row count and failures so far; together they fix the offset."""
 
-    def __init__(self, step: float, target: float, initial: float):
-        self.step, self.target, self.initial = step, target, initial
+    columns = ("series", "seq", "mcs")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def __init__(self, step: float, target: float, initial: float, idle_ms: int | None = None):
+        self.step, self.target, self.initial, self.idle_ms = step, target, initial, idle_ms
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.counts = handle.getValueState("counts", "rows long, failures long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("seq")
+    def advance(self, key, frame: pd.DataFrame) -> pd.DataFrame:
         n, failures = self.counts.get() if self.counts.exists() else (0, 0)
         out, up = [], self.step * self.target
         for seq, cqi, mask in zip(frame["seq"], frame["cqi"], frame["mask"]):
@@ -58,28 +143,31 @@ class _OffsetLoop(StatefulProcessor):
             n += 1
             out.append((key[0], int(seq), mcs))
         self.counts.update((n, failures))
-        yield pd.DataFrame(out, columns=["series", "seq", "mcs"])
+        return pd.DataFrame(out, columns=list(self.columns))
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.counts.clear()
 
 
-class _Allocator(StatefulProcessor):
-    def __init__(self, machine, initial: int):
-        self.machine, self.initial = machine, initial
+class _Allocator(_Link):
+    """The index given last."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    columns = ("series", "seq", "alloc_cqi")
+
+    def __init__(self, machine, initial: int, idle_ms: int | None = None):
+        self.machine, self.initial, self.idle_ms = machine, initial, idle_ms
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.index = handle.getValueState("index", "value int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("seq")
+    def advance(self, key, frame: pd.DataFrame) -> pd.DataFrame:
         state = self.index.get()[0] if self.index.exists() else self.initial
         values = self.machine.replay([frame["cqi"].to_numpy(), frame["bler"].to_numpy()], 0, int(state))
         self.index.update((min(int(values[-1]), ALLOCATOR_MAX),))
-        yield pd.DataFrame({"series": key[0], "seq": frame["seq"].to_numpy(), "alloc_cqi": values})
+        return pd.DataFrame({"series": key[0], "seq": frame["seq"].to_numpy(), "alloc_cqi": values})
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.index.clear()
 
 
 class _Consume(StatefulProcessor):
@@ -125,30 +213,40 @@ class _Consume(StatefulProcessor):
         pass
 
 
-def _stateful(df: DataFrame, processor, schema: str, mode: str = "Append", time_mode: str = "None") -> DataFrame:
-    return df.groupBy("series").transformWithStateInPandas(processor, schema, mode, time_mode)
+def _stateful(df: DataFrame, columns, processor: _Link, schema: str, delay: str | None) -> DataFrame:
+    """Rows of every link through ``processor``. With an idle timer the frame needs an event time ``ts``, whose
+    watermark lags by ``delay``."""
+    if processor.idle_ms is None:
+        return df.select(*columns).groupBy("series").transformWithStateInPandas(processor, schema, "Append", "None")
+    rows = df.withWatermark("ts", delay or "0 seconds").select(*columns, "ts", F.unix_millis("ts").alias("at_ms"))
+    return rows.groupBy("series").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
-def rolling_error_rate(df: DataFrame, width: int) -> DataFrame:
+def rolling_error_rate(df: DataFrame, width: int, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """``series, seq, error`` to the error rate of the last ``width`` rows before each row."""
-    return _stateful(df.select("series", "seq", "error"), _RollingError(width), "series long, seq long, bler double")
+    return _stateful(df, ["series", "seq", "error"], _RollingError(width, idle_ms), "series long, seq long, bler double", delay)
 
 
-def offset_loop(df: DataFrame, step: float = 0.25, target: float = 0.1, initial: float = 0.0) -> DataFrame:
+def offset_loop(df: DataFrame, step: float = 0.25, target: float = 0.1, initial: float = 0.0,
+                idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """``series, seq, cqi, mask`` to the MCS of the offset loop."""
-    return _stateful(df.select("series", "seq", "cqi", "mask"), _OffsetLoop(step, target, initial), "series long, seq long, mcs int")
+    processor = _OffsetLoop(step, target, initial, idle_ms)
+    return _stateful(df, ["series", "seq", "cqi", "mask"], processor, "series long, seq long, mcs int", delay)
 
 
-def allocator(df: DataFrame, target: float, initial: int = 1) -> DataFrame:
+def allocator(df: DataFrame, target: float, initial: int = 1, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """``series, seq, cqi, bler`` to the allocated CQI index."""
     from ..operators.replay import allocator_machine
 
-    machine = allocator_machine(target, initial)
-    return _stateful(df.select("series", "seq", "cqi", "bler"), _Allocator(machine, initial), "series long, seq long, alloc_cqi int")
+    processor = _Allocator(allocator_machine(target, initial), initial, idle_ms)
+    return _stateful(df, ["series", "seq", "cqi", "bler"], processor, "series long, seq long, alloc_cqi int", delay)
 
 
 def consuming_feedback(df: DataFrame, window_ms: int = 50, delay: str = "1 second") -> DataFrame:
-    """``series, ts, us, seq, is_tx`` to matches; unmatched transmissions leave with a null feedback."""
+    """``series, ts, us, seq, is_tx`` to matches; unmatched transmissions leave with a null feedback.
+
+    What waits for feedback is dropped by a timer when its window has passed, so no link stays in the store.
+    """
     marked = df.withWatermark("ts", delay)
     return marked.groupBy("series").transformWithStateInPandas(
         _Consume(window_ms), "series long, tx_seq long, fb_seq long", "Append", "EventTime"
