@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_side, staged
-from .common import fresh, materialize, small_batches
+from .common import batch_rows, fresh, materialize
 from .components import components
 from .pretokens import forget
 
@@ -34,6 +34,8 @@ FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 0.001, 2_000, 1_000_000
 BUCKETS = 1 << 20
 # A bucket of at most PAIR_SETS gives its pairs; larger ones are compared inside tasks, BLOCK_SETS with as many others.
 PAIR_SETS, BLOCK_SETS = 64, 1_000
+# Sets of a block, and tokens, that are compared with all others of two blocks at once; whole sets sent to Python at once.
+SLAB_SETS, SLAB_TOKENS, SET_ROWS = 256, 1_024, 128
 # Rounds that compare a bucket's members with one of them only, before all pairs that are still apart.
 STARS = 3
 
@@ -267,43 +269,47 @@ def _possible(x, y, threshold):
 def _overlaps(rows: list[tuple], possible: np.ndarray) -> np.ndarray:
     """Common tokens of the possible pairs of rows; other cells are of no use."""
     m = len(rows)
+    out = np.zeros((m, m), np.float32)  # whole numbers far below the 24 bits that it holds exactly
     if possible.sum() <= 40 * m:
-        out = np.zeros((m, m), np.int64)
         for i, j in zip(*np.nonzero(possible)):
             x, y = rows[i][5], rows[j][5]
             out[i, j] = len(x) + len(y) - len(np.union1d(x, y))
         return out
     tokens, at, n = np.unique(np.concatenate([r[5] for r in rows]), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(m), [len(r[5]) for r in rows])
+    owner = np.repeat(np.arange(m, dtype=np.int32), [len(r[5]) for r in rows])
     shared = n[at] > 1
     column = np.cumsum(n > 1) - 1
     at, owner = column[at[shared]], owner[shared]
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    out = np.zeros((m, m), np.float32)
-    for begin in range(0, int((n > 1).sum()), 4096):
-        low, high = np.searchsorted(at, (begin, begin + 4096))
-        part = np.zeros((m, 4096), np.float32)
+    for begin in range(0, int((n > 1).sum()), SLAB_TOKENS):
+        low, high = np.searchsorted(at, (begin, begin + SLAB_TOKENS))
+        part = np.zeros((m, SLAB_TOKENS), np.float32)
         part[owner[low:high], at[low:high] - begin] = 1
         out += part @ part.T
-    return out.astype(np.int64)
+    return out
 
 
 def _bucket_links(rows: list[tuple], same_block: bool, threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between members with different labels, at most one less than there are members."""
+    """Links between members with different labels, at most one less than there are members. Pairs are judged a slab of
+    rows at a time; of all pairs there are only one bit and one overlap."""
     part, whole = threshold
     node, n, pos, label, block = (np.array([r[k] for r in rows]) for k in range(5))
-    total = n[:, None] + n[None, :]
-    room = n[:, None] - -(-part * total // (part + whole))
-    fits = pos[:, None] <= room  # of the row beside the column; the other way round is its transpose
-    possible = (label[:, None] != label[None, :]) & fits & fits.T & np.triu(np.ones(total.shape, bool), 1)
-    possible &= np.minimum(n[:, None], n[None, :]) * whole >= np.maximum(n[:, None], n[None, :]) * part
-    if not same_block:
-        possible &= block[:, None] != block[None, :]
+    n, pos, at = n.astype(np.int64), pos.astype(np.int64), np.arange(len(rows))
+    slabs = [slice(k, min(k + SLAB_SETS, len(rows))) for k in range(0, len(rows), SLAB_SETS)]
+    possible = np.zeros((len(rows), len(rows)), bool)
+    for own in slabs:
+        total = n[own, None] + n[None, :]
+        common = -(-part * total // (part + whole))
+        fits = (label[own, None] != label[None, :]) & (at[own, None] < at[None, :])
+        fits &= (pos[own, None] <= n[own, None] - common) & (pos[None, :] <= n[None, :] - common)
+        fits &= np.minimum(n[own, None], n[None, :]) * whole >= np.maximum(n[own, None], n[None, :]) * part
+        if not same_block:
+            fits &= block[own, None] != block[None, :]
+        possible[own] = fits
     if not possible.any():
         return []
     both = _overlaps(rows, possible)
-    linked = possible & (whole * both >= part * (total - both))
     root = {int(x): int(x) for x in label}
 
     def find(x: int) -> int:
@@ -313,11 +319,15 @@ def _bucket_links(rows: list[tuple], same_block: bool, threshold: tuple[int, int
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(linked)):
-        a, b = find(int(label[i])), find(int(label[j]))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    for own in slabs:
+        common = both[own].astype(np.int64)
+        linked = possible[own] & (whole * common >= part * (n[own, None] + n[None, :] - common))
+        for i, j in zip(*np.nonzero(linked)):
+            i += own.start
+            a, b = find(int(label[i])), find(int(label[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
     return out
 
 
@@ -430,17 +440,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: tuple[int
     links. A row with a null id has the component of its set and never names one; if none of them has an id, null.
     Every row of a repeated id is a set of its own. An empty table gives no rows; other columns are not looked at.
     """
-    small_batches(docs.sparkSession)
-    rows = sketch(docs, width, threshold)
-    filled = rows.where(F.col("n") > 0)
-    classes = filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    classes = materialize(classes, "classes")
-    # A class is looked at once: by its smallest id, or by any row if it has none.
-    copies = small_side(classes.where(F.col("rows") > 1).select("node", "first"))
-    single = filled.join(copies.select("node"), "node", "left_anti")
-    own = filled.join(copies, "node").where(F.col("doc_id").eqNullSafe(F.col("first"))).drop("first").dropDuplicates(["node"])
-    nodes = single.unionByName(own.select(*single.columns)).where(F.col("doc_id").isNotNull())
-    labels = set_links(docs.where(F.col("doc_id").isNotNull()), nodes, width, threshold)
+    with batch_rows(docs.sparkSession, SET_ROWS):
+        rows = sketch(docs, width, threshold)
+        filled = rows.where(F.col("n") > 0)
+        classes = filled.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+        classes = materialize(classes, "classes")
+        # A class is looked at once: by its smallest id, or by any row if it has none.
+        copies = small_side(classes.where(F.col("rows") > 1).select("node", "first"))
+        single = filled.join(copies.select("node"), "node", "left_anti")
+        own = filled.join(copies, "node").where(F.col("doc_id").eqNullSafe(F.col("first"))).drop("first").dropDuplicates(["node"])
+        nodes = single.unionByName(own.select(*single.columns)).where(F.col("doc_id").isNotNull())
+        labels = set_links(docs.where(F.col("doc_id").isNotNull()), nodes, width, threshold)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     found = named.join(least, "label").select("node", "component_id")
