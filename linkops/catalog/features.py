@@ -382,6 +382,17 @@ def random_split(spark, sf_dir):
     return split.agg(n.alias("rows"), (F.abs(test - 0.2 * n) <= 5 * F.sqrt(0.16 * n)).alias("near_share"))
 
 
+_MD5_SHARE = "CAST('0x' || substr(md5(concat_ws('|', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query("O6_portable_split", f"""SELECT CASE WHEN {_MD5_SHARE} < 0.2::DOUBLE THEN 'test' ELSE 'train' END AS split, count(*) AS rows,
+  CAST(sum(l_orderkey) AS BIGINT) AS orders, CAST(sum(l_partkey) AS BIGINT) AS parts FROM lineitem GROUP BY 1""")
+def portable_split(spark, sf_dir):
+    """The rows of either side of a split that SQL draws by the same hash, by count and sums of keys."""
+    split = sampling.random_split(table(spark, sf_dir, "lineitem"), 0.2, ROW_KEY[:4], portable=True)
+    return split.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").alias("orders"), F.sum("l_partkey").alias("parts"))
+
+
 @query("O7_exact_split", f"""WITH {TX}, n AS (SELECT mcs, count(*) AS n FROM tx GROUP BY mcs)
 SELECT mcs, 'test' AS split, greatest(1, CAST(floor(n * 0.2::DOUBLE) AS BIGINT)) AS rows FROM n
 UNION ALL SELECT mcs, 'train', n - greatest(1, CAST(floor(n * 0.2::DOUBLE) AS BIGINT)) FROM n""")

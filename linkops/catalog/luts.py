@@ -153,13 +153,13 @@ def keyed_dedup(spark, sf_dir):
     return lut.merge_luts(_coarse(spark, sf_dir), _empirical(spark, sf_dir).withColumn("mcs", F.lit(0)))
 
 
-# The SNR grid of the transmissions: -9.5 to 15 in half steps.
+# The SNR grid of the given tables, for the SQL twin: -9.5 to 15 in half steps. The query takes what the table has.
 _SNR_CODES = list(range(-95, 151, 5))
 
 
 @query("A20_lut_pivot", f"WITH {EMPIRICAL} SELECT cqi_code, " + ", ".join(f'avg(mcs) FILTER (snr_code = {c}) AS "{c}"' for c in _SNR_CODES) + " FROM emp GROUP BY 1")
 def lut_pivot(spark, sf_dir):
-    return metrics.lut_pivot(_empirical(spark, sf_dir), "cqi_code", "snr_code", _SNR_CODES)
+    return metrics.lut_pivot(_empirical(spark, sf_dir), "cqi_code", "snr_code")
 
 
 @query("S14_snr_lut_reader", f"WITH {EMPIRICAL} SELECT snr_code, max(mcs) AS mcs FROM emp GROUP BY 1")

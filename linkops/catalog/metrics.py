@@ -149,13 +149,14 @@ def best_mcs_per_snr(spark, sf_dir):
     return metrics.best_mcs_per_snr(transmissions(spark, sf_dir), ["cqi", "bler"], ["target_bler"], ORDER)
 
 
+# The types of the given tables, for the SQL twin; the query takes what the table has.
 _PART_TYPES = ["SMALL", "ECONOMY", "LARGE", "MEDIUM", "PROMO", "STANDARD"]
 
 
 @query("A18_label_pivot", "SELECT p_size AS size, " + ", ".join(f"count(*) FILTER (p_type = '{t}') AS {t}" for t in _PART_TYPES) + " FROM part GROUP BY 1")
 def label_pivot(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), "p_type")
-    return metrics.label_pivot(part, "size", "p_type", _PART_TYPES)
+    return metrics.label_pivot(part, "size", "p_type")
 
 
 @query("A19_time_bin_pivot", """WITH t AS (SELECT epoch_us(CAST(l_shipdate AS TIMESTAMP)) / 1e6::DOUBLE AS t, l_returnflag FROM lineitem), s AS (SELECT min(t) AS lo, max(t) AS hi FROM t)

@@ -116,6 +116,75 @@ def feature_importance(spark, sf_dir):
     return rows.agg(F.count_distinct("feature").cast("int").alias("features"), F.sum("gain").alias("gain"))
 
 
+@query("M9_feature_splits")
+def feature_splits(spark, sf_dir):
+    """Gain and number of splits of every feature, from the table of nodes that the model is stored as."""
+    model = _model(spark, sf_dir)
+    path = _FITTED[(spark.sparkContext.applicationId, sf_dir)]
+    return modelling.split_importance(spark, model, path, FEATURES)
+
+
+# Newton steps of a logistic regression over the different contexts: coefficients of 1, snr, cqi and mcs.
+_LOGISTIC_SQL = f"""{TX},
+c AS (SELECT 1.0::DOUBLE AS x0, snr AS x1, CAST(cqi AS DOUBLE) AS x2, CAST(mcs AS DOUBLE) AS x3, count(*) AS n, CAST(sum(label_pass) AS DOUBLE) AS s FROM tx GROUP BY ALL),
+newton(k, b) AS (SELECT 0, [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]
+  UNION ALL SELECT k + 1, list_transform(range(1, 5), lambda i: b[i] + m[i][5]) FROM (
+  {{solved}}) WHERE k < 25),
+fit AS (SELECT b FROM newton WHERE k = 25)"""
+
+
+def _logistic_sql() -> str:
+    w = "n * p * (1 - p)"
+    rows = ", ".join("[" + ", ".join([*[f"sum({w} * x{i} * x{j})" for j in range(4)], f"sum((s - n * p) * x{i})"]) + "]" for i in range(4))
+    inner = f"SELECT k, b, [{rows}] AS m FROM (SELECT *, 1 / (1 + exp(-(b[1] * x0 + b[2] * x1 + b[3] * x2 + b[4] * x3))) AS p FROM newton, c) GROUP BY k, b"
+    for at in range(1, 5):
+        inner = f"""SELECT k, b, list_transform(range(1, 5), lambda i: list_transform(range(1, 6), lambda j:
+    CASE WHEN i = {at} THEN m[{at}][j] / m[{at}][{at}] ELSE m[i][j] - m[i][{at}] * m[{at}][j] / m[{at}][{at}] END)) AS m FROM ({inner})"""
+    return _LOGISTIC_SQL.replace("{solved}", inner)
+
+
+_P_SQL = "1 / (1 + exp(-(b[1] + b[2] * snr + b[3] * cqi + b[4] * mcs)))"
+
+
+def _logistic(spark, sf_dir):
+    """Logistic pass model over all transmissions, stored once per session and data."""
+    key = (spark.sparkContext.applicationId, sf_dir, "all rows")
+    if key not in _FITTED:
+        path = scratch_path(spark, "logistic-model")
+        rows = transmissions(spark, sf_dir)
+        modelling.save_model(modelling.train_pass_model(rows, FEATURES, ROW_KEY, kind="logistic", tolerance=1e-14), path)
+        _FITTED[key] = path
+    return modelling.load_model(_FITTED[key])
+
+
+@query("M1_logistic_all_rows", f"""WITH RECURSIVE {_logistic_sql()}, p AS (SELECT label_pass AS y, greatest(least({_P_SQL}, 1 - 1e-9), 1e-9) AS p FROM tx, fit)
+SELECT b[1] AS intercept, b[2] AS snr, b[3] AS cqi, b[4] AS mcs, (SELECT -avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) FROM p) AS logloss FROM fit""", "intercept snr cqi mcs logloss", digits=5)
+def logistic_all_rows(spark, sf_dir):
+    """Coefficients of the logistic model over all rows, and its loss on them."""
+    model = _logistic(spark, sf_dir)
+    rows = modelling.score(model, transmissions(spark, sf_dir).drop("p"), FEATURES)
+    fit = model.stages[-1]  # four numbers
+    named = zip(["intercept", *FEATURES], [fit.intercept, *fit.coefficients.toArray().tolist()])
+    return evaluate.log_loss(rows).select(*[F.lit(float(v)).alias(n) for n, v in named], "logloss")
+
+
+@query("M10_logistic_scoring", f"WITH RECURSIVE {_logistic_sql()} SELECT mcs, count(*) AS rows, avg({_P_SQL}) AS p FROM tx, fit GROUP BY 1", "p", digits=5)
+def logistic_scoring(spark, sf_dir):
+    scored = modelling.score(_logistic(spark, sf_dir), transmissions(spark, sf_dir).drop("p"), FEATURES)
+    return scored.groupBy("mcs").agg(F.count(F.lit(1)).alias("rows"), F.avg("p").alias("p"))
+
+
+@query("M11_logistic_round_trip", f"WITH RECURSIVE {_logistic_sql()} SELECT CAST(cqi AS INTEGER) AS cqi, avg({_P_SQL}) AS p FROM tx, fit GROUP BY 1", "p", digits=5)
+def logistic_round_trip(spark, sf_dir):
+    """Scores of a model that was stored with its metadata, read again and given its features from there."""
+    path = scratch_path(spark, "model")
+    modelling.save_model(_logistic(spark, sf_dir), path)
+    sinks.write_metadata(spark, {"features": FEATURES, "threshold": 0.5, "calibrate_target": 0.1}, f"{path}-meta")
+    meta = sinks.read_metadata(spark, f"{path}-meta")
+    scored = modelling.score(modelling.load_model(path), transmissions(spark, sf_dir).drop("p"), meta["features"])
+    return scored.groupBy("cqi").agg(F.avg("p").alias("p"))
+
+
 @query("M10_batch_scoring", "SELECT count(*) AS rows, 0::BIGINT AS outside FROM lineitem")
 def batch_scoring(spark, sf_dir):
     scored = _scored(spark, sf_dir)

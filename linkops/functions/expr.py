@@ -62,3 +62,9 @@ def linspace(start: float, stop: float, n: int) -> list[float]:
         return [float(start)]
     step = (stop - start) / (n - 1)
     return [float(start + i * step) for i in range(n - 1)] + [float(stop)]
+
+
+def md5_fraction(key, seed: int) -> Column:
+    """Number in [0, 1) from the first 32 bits of the MD5 of seed and key columns, joined by ``|``."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))

@@ -207,14 +207,17 @@ def time_bin_pivot(df: DataFrame, time: str, label: str, values, bins: int = 50)
     )
 
 
-def label_pivot(df: DataFrame, row: str, column: str, values) -> DataFrame:
-    """Row counts as a matrix, missing cells 0."""
-    return df.groupBy(row).pivot(column, list(values)).count().na.fill(0)
+def label_pivot(df: DataFrame, row: str, column: str, values=None) -> DataFrame:
+    """Row counts as a matrix, missing cells 0. One column for each label of the data, or for each of ``values``, which
+    leaves out all others. A table with more labels than ``spark.sql.pivotMaxValues`` is an error."""
+    pivot = df.groupBy(row).pivot(column) if values is None else df.groupBy(row).pivot(column, list(values))
+    return pivot.count().na.fill(0)
 
 
-def lut_pivot(lut: DataFrame, row: str, column: str, values, value: str = "mcs") -> DataFrame:
-    """Mean MCS with one column per listed key of the second axis."""
-    return lut.groupBy(row).pivot(column, list(values)).agg(F.avg(value))
+def lut_pivot(lut: DataFrame, row: str, column: str, values=None, value: str = "mcs") -> DataFrame:
+    """Mean MCS with one column per key of the second axis, or per listed key."""
+    pivot = lut.groupBy(row).pivot(column) if values is None else lut.groupBy(row).pivot(column, list(values))
+    return pivot.agg(F.avg(value))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, classes=None) -> DataFrame:

@@ -11,10 +11,15 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier,
+    LogisticRegression,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_fraction
@@ -195,8 +200,9 @@ def with_features(df: DataFrame, features) -> DataFrame:
 
 def train_pass_model(df: DataFrame, features, key, label: str = "label_pass", kind: str = "gbt", depth: int = 8,
                      rounds: int = 100, rate: float = 0.05, subsample: float = 0.8, bins: int = 256,
-                     validation: float = 0.2, balance: bool = False, seed: int = 42) -> PipelineModel:
-    """P(pass | context, MCS): boosted trees with early stopping on a hashed validation share, or logistic regression."""
+                     validation: float = 0.2, balance: bool = False, seed: int = 42, tolerance: float = 1e-6) -> PipelineModel:
+    """P(pass | context, MCS): boosted trees with early stopping on a hashed validation share, or logistic regression
+    down to ``tolerance``."""
     rows = with_features(df, features).withColumn("_label", F.col(label).cast("double"))
     rows = rows.withColumn("_valid", hash_fraction(key, seed + 1) < validation)
     if balance:
@@ -208,7 +214,7 @@ def train_pass_model(df: DataFrame, features, key, label: str = "label_pass", ki
             subsamplingRate=subsample, maxBins=bins, validationIndicatorCol="_valid", seed=seed, predictionCol="_prediction",
         ).setRawPredictionCol("_raw").setProbabilityCol("_probability")
     else:
-        model = LogisticRegression(featuresCol="_features", labelCol="_label", rawPredictionCol="_raw",
+        model = LogisticRegression(featuresCol="_features", labelCol="_label", rawPredictionCol="_raw", tol=tolerance,
                                    probabilityCol="_probability", predictionCol="_prediction")
     if balance:
         model = model.setWeightCol("_weight")
@@ -293,6 +299,43 @@ def feature_importance(model: PipelineModel, features) -> list[tuple[str, float,
     return sorted(rows, key=lambda r: (-r[1], r[0]))
 
 
+def node_table(spark: SparkSession, model: PipelineModel, path: str) -> DataFrame:
+    """``tree, feature, gain, weight`` of every split of a tree model stored at ``path``: index of the feature, gain and
+    weight of the rows that came to the node."""
+    stage = next(s for s in model.stages if hasattr(s, "featureImportances"))
+    nodes = spark.read.parquet(f"{path}/stages/*_{stage.uid}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    stats = F.col("impurityStats")
+    # Boosted trees fit values and keep count, sum and squares; forests of classes keep the weight of each class.
+    weight = stats[0] if not _is_forest(stage) else F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    return nodes.where(F.col("split.featureIndex") >= 0).select("tree", F.col("split.featureIndex").alias("feature"), "gain", weight.alias("weight"))
+
+
+def _is_forest(stage) -> bool:
+    return isinstance(stage, RandomForestClassificationModel)
+
+
+def split_importance(spark: SparkSession, model: PipelineModel, path: str, features) -> DataFrame:
+    """``feature, gain, splits`` of a stored tree model: share of the gain, weighted by rows, and number of splits.
+
+    In a forest every tree counts alike, in boosted trees every split by its own weight. Features without a split have
+    zeros.
+    """
+    stage = next(s for s in model.stages if hasattr(s, "featureImportances"))
+    gained = node_table(spark, model, path).groupBy("tree", "feature").agg(
+        F.sum(F.col("gain") * F.col("weight")).alias("g"), F.count(F.lit(1)).alias("n"),
+    )
+    if _is_forest(stage):
+        whole = gained.groupBy("tree").agg(F.sum("g").alias("all"))
+        gained = gained.join(whole, "tree").withColumn("g", F.when(F.col("all") > 0, F.col("g") / F.col("all")).otherwise(0.0))
+    by_feature = gained.groupBy("feature").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+    total = by_feature.agg(F.sum("g").alias("total"))
+    names = spark.createDataFrame(list(enumerate(features)), "feature int, name string")  # a row for each feature
+    share = F.when(F.col("total") > 0, F.coalesce("g", F.lit(0.0)) / F.col("total")).otherwise(0.0)
+    return names.join(by_feature, "feature", "left").join(F.broadcast(total)).select(
+        F.col("name").alias("feature"), share.alias("gain"), F.coalesce("n", F.lit(0)).alias("splits"),
+    )
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import hash_fraction
+from ..functions.expr import hash_fraction, md5_fraction
 from ..session import small_side
 from .joins import null_safe_join
 from .ordered import running_sums
@@ -37,9 +37,15 @@ def sample_rows(df: DataFrame, n: int, key, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), *key).limit(n)
 
 
-def random_split(df: DataFrame, test_fraction: float, key, seed: int = 42, out: str = "split") -> DataFrame:
-    """``train``/``test`` per row from a hash of its key: one pass, no shuffle."""
-    return df.withColumn(out, F.when(hash_fraction(key, seed) < test_fraction, "test").otherwise("train"))
+def random_split(df: DataFrame, test_fraction: float, key, seed: int = 42, out: str = "split",
+                 portable: bool = False) -> DataFrame:
+    """``train``/``test`` per row from a hash of its key: one pass, no shuffle.
+
+    ``portable`` hashes the key's texts by MD5, which any other engine can repeat; keys should be whole numbers or
+    strings then. A null key column is an empty text.
+    """
+    share = md5_fraction(key, seed) if portable else hash_fraction(key, seed)
+    return df.withColumn(out, F.when(share < test_fraction, "test").otherwise("train"))
 
 
 def exact_split(df: DataFrame, test_fraction: float, key, strata=(), seed: int = 42, out: str = "split") -> DataFrame:

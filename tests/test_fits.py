@@ -53,3 +53,26 @@ def test_missing_values_and_no_rows(spark):
     assert fit[(1,)] == pytest.approx(2.0) and fit[(0,)] == pytest.approx(0.0, abs=1e-12)
     assert set(modelling.fit_polynomial(df.where("false"), ["x"], "y", 2).values()) == {0.0}
     assert df.where(F.col("x") == 1).transform(lambda d: d.select(modelling.polynomial_fit(d, ["x"], "y", 2).column().alias("v"))).first()["v"] == pytest.approx(2.0)
+
+
+@pytest.mark.parametrize("kind", ["gbt", "forest"])
+def test_importance_from_the_stored_nodes(spark, tmp_path, kind):
+    """Gain as the model itself gives it, splits as its text shows them, and both as SQL over the stored table has them."""
+    import duckdb
+
+    df = spark.range(900).selectExpr("id", "id % 7 AS a", "id % 11 AS b", "0 AS c", "CAST((id % 7 > 3) != (id % 11 > 4) AS INT) AS label_pass")
+    if kind == "gbt":
+        model = modelling.train_pass_model(df, ["a", "b", "c"], ["id"], rounds=4, depth=3)
+    else:
+        model = modelling.train_classifier(df, ["a", "b", "c"], "label_pass", trees=5, depth=3)
+    path = f"{tmp_path}/model"
+    modelling.save_model(model, path)
+    got = {r["feature"]: (r["gain"], r["splits"]) for r in modelling.split_importance(spark, model, path, ["a", "b", "c"]).collect()}
+    want = {f: (g, s) for f, g, s in modelling.feature_importance(model, ["a", "b", "c"])}
+    assert got.keys() == want.keys() and got["c"] == (0.0, 0)
+    assert all(got[f][1] == want[f][1] and got[f][0] == pytest.approx(want[f][0], rel=1e-12) for f in want)
+    stage = "1" if kind == "gbt" else "2"
+    counted = duckdb.sql(
+        f"SELECT nodeData.split.featureIndex, count(*) FROM '{path}/stages/{stage}_*/data/*.parquet' WHERE nodeData.split.featureIndex >= 0 GROUP BY 1"
+    ).fetchall()
+    assert {"abc"[f]: n for f, n in counted} == {f: s for f, (_, s) in got.items() if s}
