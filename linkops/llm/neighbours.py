@@ -22,7 +22,7 @@ from .common import materialize, small_batches
 
 TREES, DEPTH, AXES = 160, 8, 16
 BITS = int(math.log2(2 * AXES))
-# A query ascends until its runs hold n ** POWER rows, and LEAST at least; more rows mean a better recall and more work.
+# A query ascends until its runs hold n ** POWER different rows, and LEAST at least; more rows mean a better recall and more work.
 POWER, LEAST = 0.75, 1_000
 # Queries whose vectors a task holds at once; more are searched for block by block.
 BLOCK = 20_000
@@ -88,7 +88,7 @@ def _prefix(level: int):
 
 
 def _levels(index: DataFrame, own: DataFrame, n: int, queries: int, wanted: float, trees: int) -> np.ndarray:
-    """The deepest level of each query at which its runs hold ``wanted`` rows; level 0 holds all."""
+    """The deepest level of each query at which its runs hold ``wanted`` rows, counted in each tree; level 0 holds all."""
 
     def rows_at(level: int, active: np.ndarray) -> np.ndarray:
         spark = index.sparkSession
@@ -119,6 +119,32 @@ def _levels(index: DataFrame, own: DataFrame, n: int, queries: int, wanted: floa
     return levels
 
 
+def _candidates(index: DataFrame, own: DataFrame, n: int, queries: int, wanted: float, trees: int) -> DataFrame:
+    """``cls, qs``: every row of the runs of each query, once. Where the runs of many trees hold the same rows, as in a
+    dense cluster, a query goes on ascending until ``wanted`` different rows are there, or all."""
+    spark = index.sparkSession
+    levels, open_, lists = _levels(index, own, n, queries, wanted, trees), np.arange(queries), None
+    while len(open_):
+        hits = None
+        for level in np.unique(levels[open_]).tolist():
+            some = spark.createDataFrame(open_[levels[open_] == level].reshape(-1, 1).tolist(), "q long")
+            runs = own.join(F.broadcast(some), "q").select("q", "tree", _prefix(level).alias("prefix"))
+            if not level:
+                runs = runs.where(F.col("tree") % trees == 0)
+            runs = runs.groupBy("tree", "prefix").agg(F.collect_list("q").alias("qs"))
+            hit = index.withColumn("prefix", _prefix(level)).join(runs, ["tree", "prefix"]).select("cls", "qs")
+            hits = hit if hits is None else hits.unionByName(hit)
+        part = hits.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
+        part = materialize(part, "candidates")
+        lists = part if lists is None else lists.unionByName(part)
+        found = part.select(F.explode("qs").alias("q")).groupBy("q").agg(F.count(F.lit(1)).alias("n")).toPandas()  # a row a query
+        rows = np.zeros(queries, np.int64)
+        rows[found["q"].to_numpy()] = found["n"].to_numpy() - 1  # but the query itself
+        open_ = open_[(rows[open_] < wanted) & (levels[open_] > 0)]
+        levels[open_] -= 1
+    return lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
+
+
 def _best(q: np.ndarray, cls: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
     order = np.lexsort((cls, -score, q))
     q, cls, score = q[order], cls[order], score[order]
@@ -192,17 +218,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_
             matrix[i, :len(v)] = v
         names = spark.createDataFrame(list(enumerate(held["cls"].tolist())), "q long, cls long")
         own = materialize(index.join(F.broadcast(names), "cls").select("q", "tree", "hash"), "query-hashes")
-        levels = _levels(index, own, n, len(held), max(LEAST, n ** power), trees)
-        lists = None
-        for level in np.unique(levels).tolist():
-            some = spark.createDataFrame(np.flatnonzero(levels == level).reshape(-1, 1).tolist(), "q long")
-            runs = own.join(F.broadcast(some), "q").select("q", "tree", _prefix(level).alias("prefix"))
-            if not level:
-                runs = runs.where(F.col("tree") % trees == 0)
-            runs = runs.groupBy("tree", "prefix").agg(F.collect_list("q").alias("qs"))
-            hit = index.withColumn("prefix", _prefix(level)).join(runs, ["tree", "prefix"]).select("cls", "qs")
-            lists = hit if lists is None else lists.unionByName(hit)
-        merged = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
+        merged = _candidates(index, own, n, len(held), max(LEAST, n ** power), trees)
         scored = _score(vectors.join(merged, "cls"), matrix, dims, k + 1)
         best = scored.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls")))
         best = best.where(F.col("at") <= k + 1).join(F.broadcast(names.withColumnRenamed("cls", "own")), "q")

@@ -177,3 +177,26 @@ def test_frequent_tokens_are_exact(spark, monkeypatch):
     for share in (0.01, 0.05, 0.3):
         assert jaccard.frequent_tokens(df, share).tolist() == sorted(t for t, n in counts.items() if n >= share * 400)
     assert jaccard.frequent_tokens(df.where("false"), 0.05).tolist() == []
+
+
+def test_recall_inside_and_outside_a_dense_cluster(spark):
+    """A third of 30,000 rows lies around one direction, the rest is near-isotropic; either has its recall."""
+    from linkops.llm.neighbours import nearest
+
+    pick, n, dim = np.random.default_rng(21), 30_000, 64
+    x = pick.standard_normal((n, dim))
+    centre = pick.standard_normal(dim)
+    x[: n // 3] = centre + 0.6 * x[: n // 3]
+    asked = np.concatenate([pick.choice(n // 3, 50, False), n // 3 + pick.choice(n - n // 3, 50, False)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    seen = unit[asked] @ unit.T
+    seen[np.arange(100), asked] = -2
+    want = np.argsort(-seen, axis=1)[:, :5]
+    import pandas as pd
+
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(table, table.where(table["vec_id"].isin(asked.tolist())), 5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = np.array([len(got[q] & set(w)) / 5 for q, w in zip(asked.tolist(), want.tolist())])
+    assert recall[:50].mean() >= 0.9 and recall[50:].mean() >= 0.9, (recall[:50].mean(), recall[50:].mean())
