@@ -270,7 +270,7 @@ def _score_joined(docs: DataFrame, probabilities: DataFrame, weights: DataFrame,
                 grams, n = np.unique(alphabet.grams([text], order)[0], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"key": [key] * len(grams), "lang": [lang] * len(grams), "gram": grams, "n": n})
 
-    key, mine = fresh(docs, "_text_key", "_text_lang")
+    key, mine, sum_key, sum_lang, sum_ = fresh(docs, "_text_key", "_text_lang", "_sum_key", "_sum_lang", "_sum")
     empty = F.lit("")
     keyed = docs.withColumns({key: F.xxhash64(F.coalesce("text", empty)), mine: F.coalesce("lang", empty)})
     texts = keyed.where(F.col("text") != "").select(F.col(key).alias("key"), F.col(mine).alias("lang"), "text").dropDuplicates(["key", "lang"])
@@ -279,9 +279,9 @@ def _score_joined(docs: DataFrame, probabilities: DataFrame, weights: DataFrame,
     needed = rows.select("lang", "gram").distinct().join(F.broadcast(known), "lang", "left_semi")  # one row per language
     p = resolve(needed, probabilities, weights, alphabet, order)
     sums = rows.join(p, ["lang", "gram"]).groupBy("key", "lang").agg(F.sum(F.col("n") * F.ln("p")).alias("sum"))
-    sums = sums.toDF("_sum_key", "_sum_lang", "_sum")
-    joined = keyed.join(sums, (F.col(key) == F.col("_sum_key")) & (F.col(mine) == F.col("_sum_lang")), "left")
-    return joined.select(*docs.columns, F.col("_sum").alias(out))
+    sums = sums.toDF(sum_key, sum_lang, sum_)
+    joined = keyed.join(sums, (F.col(key) == F.col(sum_key)) & (F.col(mine) == F.col(sum_lang)), "left")
+    return joined.select(*docs.columns, F.col(sum_).alias(out))
 
 
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, level: float = LEVEL, prior: int = PRIOR_CHARS,
@@ -297,12 +297,13 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, level: float
     """
     small_batches(docs.sparkSession)
     base = docs.drop("perplexity", "threshold", "kept")
-    (total,) = fresh(base, "_log_p")
-    smooth = lambda n: (-F.col(total) + F.col("mean") * prior) / (n + F.lit(prior))
+    total, limit_lang, limit_mean = fresh(base, "_log_p", "_limit_lang", "_limit_mean")
+    smooth = lambda n, mean="mean": (-F.col(total) + F.col(mean) * prior) / (n + F.lit(prior))
     with staging(docs.sparkSession):
         score, limits = _fit(base, labels, order, total, smooth, level, most)
-    scored = score(base).join(F.broadcast(limits), F.coalesce(base["lang"], F.lit("")) == F.col("_limit_lang"), "left")
-    scored = scored.withColumn("perplexity", F.exp(smooth(F.char_length("text"))))
+    limits = limits.toDF(limit_lang, limit_mean, "threshold")
+    scored = score(base).join(F.broadcast(limits), F.coalesce(F.col("lang"), F.lit("")) == F.col(limit_lang), "left")
+    scored = scored.withColumn("perplexity", F.exp(smooth(F.char_length("text"), limit_mean)))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return scored.withColumn("kept", kept).select(*base.columns, "perplexity", "threshold", "kept")
 
@@ -329,7 +330,7 @@ def _fit(base: DataFrame, labels: DataFrame, order: int, total: str, smooth, lev
         F.percentile_approx(value, level, 10_000).alias("quantile"), F.avg(value).alias("centre"), F.stddev_samp(value).alias("width")
     )
     rows = [(r["lang"], r["mean"], _threshold(r, level)) for r in found.collect()]  # one row per language
-    return score, spark.createDataFrame(rows, "_limit_lang string, mean double, threshold double")
+    return score, spark.createDataFrame(rows, "lang string, mean double, threshold double")
 
 
 def _threshold(held, level: float) -> float | None:

@@ -27,14 +27,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_side, staged
-from .common import fresh, materialize, small_batches
+from .common import batch_rows, fresh, materialize, small_batches
 from .pretokens import forget
 
 LENGTH = 200
 BLOCK = 1 << 20
-# Kinds of runs of one rank that are resolved in one task; ranks with more go through a shuffle start by start.
-GROUP_RUNS = 20_000
-CHUNK_BYTES = 4 << 20
+# Bytes under the runs of one rank that are resolved in one task; ranks with more go through a shuffle by the names of
+# their starts.
+GROUP_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 20
+# Runs with their bytes that are sent to Python at once; a run has at most a block.
+RUN_ROWS = 64
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -163,17 +166,14 @@ def _resolve(contexts: DataFrame, length: int) -> DataFrame:
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = mark = 0
+        size = 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if held and row[0] != held[-1][0]:
-                    mark = len(held)
-                    if size > CHUNK_BYTES:
-                        yield solve(held)
-                        held, size, mark = [], 0, 0
+                if held and row[0] != held[-1][0] and size > CHUNK_BYTES:
+                    yield solve(held)
+                    held, size = [], 0
                 held.append(row)
                 size += len(row[3])
-        del mark
         if held:
             yield solve(held)
 
@@ -181,23 +181,46 @@ def _resolve(contexts: DataFrame, length: int) -> DataFrame:
     return ordered.select("rank", "key", "at", "data").mapInArrow(spans, SPANS)
 
 
+def _progressions(name: np.ndarray, run: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places of equal names in a run as evenly spaced rows: index of the first, step and number of each."""
+    order = np.lexsort((place, name, run))
+    name, run, place = name[order], run[order], place[order]
+    same = np.r_[False, (run[1:] == run[:-1]) & (name[1:] == name[:-1])]
+    step = np.where(same, np.r_[0, np.diff(place)], 0)
+    new = np.flatnonzero(~same | (np.r_[False, same[:-1]] & (step != np.r_[0, step[:-1]])))
+    n = np.diff(np.r_[new, len(name)])
+    return order[new], np.where(n > 1, step[np.minimum(new + 1, len(step) - 1)], 0), n
+
+
 def _resolve_apart(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for ranks with very many runs: one row per start, dealt by its name."""
+    """The same for ranks with very many bytes, dealt by the names of their starts. Evenly spaced starts of one name are
+    one row, so a periodic run takes as many rows as its period has places, however long it is."""
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rank, key = batch.column(0).to_numpy(), batch.column(1)
-            name, run, place = _starts(rank, batch.column(3).to_pylist(), length)
-            first = batch.column(2).to_numpy() >> 22
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name.view(np.int64)), key.take(pa.array(run)), pa.array(first[run] + place)], names=["name", "key", "start"]
-            )
-
-    rows = contexts.select("rank", "key", "at", "data").mapInArrow(names, "name long, key long, start long")
-    many = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))).where(F.col("n") > 1)
-    return many.where(F.col("key").isNotNull()).select("key", "start", (F.col("start") + length).alias("stop"))
+            first, size, begin = batch.column(2).to_numpy() >> 22, 0, 0
+            data = batch.column(3).to_pylist()
+            for end in range(1, batch.num_rows + 1):
+                size += len(data[end - 1])
+                if end < batch.num_rows and size < CHUNK_BYTES:
+                    continue
+                name, run, place = _starts(batch.column(0).to_numpy()[begin:end], data[begin:end], length)
+                at, step, n = _progressions(name, run, place)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(name[at].view(np.int64)), batch.column(1).take(pa.array(run[at] + begin)),
+                    pa.array(first[begin + run[at]] + place[at]), pa.array(step.astype(np.int64)), pa.array(n.astype(np.int64)),
+                ], names=["name", "key", "start", "step", "n"])
+                begin, size = end, 0
+
+    rows = contexts.select("rank", "key", "at", "data").mapInArrow(names, "name long, key long, start long, step long, n long")
+    many = rows.withColumn("all", F.sum("n").over(Window.partitionBy("name"))).where((F.col("all") > 1) & F.col("key").isNotNull())
+    # Strings no farther apart than their length cover everything from the first to the last.
+    last = F.col("start") + (F.col("n") - 1) * F.col("step")
+    dense = F.array(F.struct(F.col("start"), (last + length).alias("stop")))
+    starts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.col("start") + i * F.col("step"))
+    apart = F.transform(starts, lambda s: F.struct(s.alias("start"), (s + length).alias("stop")))
+    spans = F.when(F.col("step") <= length, dense).otherwise(apart)
+    return many.select("key", F.explode(spans).alias("span")).select("key", "span.start", "span.stop")
 
 
 @staged
@@ -208,19 +231,20 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     same = Window.partitionBy("rank", "whole")
     first = F.row_number().over(same.orderBy("key", "at")) == 1
     runs = _runs(texts, length).repartition("rank").withColumns({"head": first, "equal": F.count(F.lit(1)).over(same)})
-    runs = runs.withColumns({"kinds": F.sum(F.col("head").cast("int")).over(ranked)})
+    under = F.shiftright("at", 1).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(length - 1)
+    runs = runs.withColumns({"kinds": F.sum(F.col("head").cast("int")).over(ranked), "size": F.sum(F.when(F.col("head"), under)).over(ranked)})
     again = F.col("at").bitwiseAND(F.lit(1)) == 1
     runs = runs.where((F.col("equal") > 1) | (F.col("kinds") > 1) | again)
-    runs = materialize(runs.select("rank", "key", "at", "head", (F.col("equal") > 1).alias("twice"), "kinds"), "runs")
+    runs = materialize(runs.select("rank", "key", "at", "head", (F.col("equal") > 1).alias("twice"), "kinds", "size"), "runs")
     start, count = F.shiftright("at", 22), F.shiftright("at", 1).bitwiseAND(F.lit((1 << 21) - 1))
     plain = runs.where("twice").select("key", start.alias("start"), (start + count + F.lit(length - 1)).alias("stop"))
     # One run of each kind shows its bytes; a kind that repeats as a whole needs no spans of its own.
     asked = runs.where(F.col("head") & ((F.col("kinds") > 1) | (again & ~F.col("twice"))))
-    asked = asked.groupBy("key").agg(F.collect_list(F.struct("rank", "at", "twice", "kinds")).alias("runs"))
+    asked = asked.groupBy("key").agg(F.collect_list(F.struct("rank", "at", "twice", "size")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank, key, at, kinds, data = [], [], [], [], []
+            rank, key, at, size, data = [], [], [], [], []
             for k, raw, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 raw = memoryview(raw.as_buffer())
                 for r in runs:
@@ -228,20 +252,21 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     rank.append(r["rank"])
                     key.append(None if r["twice"] else k)
                     at.append(r["at"])
-                    kinds.append(r["kinds"])
+                    size.append(r["size"])
                     data.append(bytes(raw[begin:begin + n + length - 1]))
             yield pa.RecordBatch.from_pydict({
                 "rank": pa.array(rank, pa.int64()), "key": pa.array(key, pa.int64()), "at": pa.array(at, pa.int64()),
-                "kinds": pa.array(kinds, pa.int64()), "data": pa.array(data, pa.binary()),
+                "size": pa.array(size, pa.int64()), "data": pa.array(data, pa.binary()),
             })
 
     shown = texts.join(asked, "key").select("key", "bytes", "runs").mapInArrow(
-        cut, "rank long, key long, at long, kinds long, data binary"
+        cut, "rank long, key long, at long, size long, data binary"
     )
     shown = materialize(shown, "run-bytes")
-    few = F.col("kinds") <= GROUP_RUNS
-    spans = plain.unionByName(_resolve(shown.where(few), length)).unionByName(_resolve_apart(shown.where(~few), length))
-    return materialize(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
+    few = F.col("size") <= GROUP_BYTES
+    with batch_rows(texts.sparkSession, RUN_ROWS):
+        spans = plain.unionByName(_resolve(shown.where(few), length)).unionByName(_resolve_apart(shown.where(~few), length))
+        return materialize(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -268,7 +293,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest_only: bool = Fa
     small_batches(docs.sparkSession)
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     base = docs.drop(*names)
-    key, raw, rows, spans, out = fresh(base, "_text", "_bytes", "_rows", "_spans", "_out")
+    key, raw, rows, spans, out, span_key, row_key = fresh(base, "_text", "_bytes", "_rows", "_spans", "_out", "_span_key", "_row_key")
     text = F.coalesce("text", F.lit("")).cast("binary")
     keyed = base.withColumn(key, F.xxhash64(text, F.octet_length(text)))
     counts = materialize(keyed.groupBy(key).agg(F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 1), "equal-texts")
@@ -294,10 +319,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest_only: bool = Fa
             made.append((len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), None if digest_only else kept))
         return pd.DataFrame(made, columns=names)
 
-    own = found.select(F.col("key").alias(f"{key}2"), F.col("spans").alias(spans))
-    more = small_side(counts.select(F.col(key).alias(f"{key}3"), rows))
-    joined = keyed.withColumn(raw, text).join(more, F.col(key) == F.col(f"{key}3"), "left")
-    joined = joined.join(own, F.col(key) == F.col(f"{key}2"), "left")
+    own = found.select(F.col("key").alias(span_key), F.col("spans").alias(spans))
+    more = small_side(counts.select(F.col(key).alias(row_key), rows))
+    joined = keyed.withColumn(raw, text).join(more, F.col(key) == F.col(row_key), "left")
+    joined = joined.join(own, F.col(key) == F.col(span_key), "left")
     done = joined.withColumn(out, removed(F.col(raw), F.col(spans), F.coalesce(F.col(rows), F.lit(1))))
     left = [c for c in base.columns if not (digest_only and c == "text")]
     return done.select(*left, *[F.col(f"{out}.{n}").alias(n) for n in names if not (digest_only and n == "kept")])

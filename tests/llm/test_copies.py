@@ -38,11 +38,12 @@ def passages(seed, n=60):
     return texts + [texts[0], texts[3], None, "", "a" * 700, "a" * 90, "ab" * 300, "x" * 199, "abc" * 60 + "q" + "abc" * 60]
 
 
-@pytest.mark.parametrize("seed, length, group, block", [(1, 40, 20_000, 1 << 20), (2, 41, 1, 64), (3, 200, 20_000, 300)])
+@pytest.mark.parametrize("seed, length, group, block", [(1, 40, 1 << 20, 1 << 20), (2, 41, 1, 64), (3, 200, 1 << 20, 300), (4, 40, 300, 1 << 20)])
 def test_repeats_equal_brute_force(spark, monkeypatch, seed, length, group, block):
     from linkops.llm import suffixes
 
-    monkeypatch.setattr(suffixes, "GROUP_RUNS", group)
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", group)
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", min(group, 5_000))
     monkeypatch.setattr(suffixes, "BLOCK", block)
     texts = passages(seed)
     rows = [(i if i % 7 else None, t, i) for i, t in enumerate(texts)]
@@ -51,6 +52,36 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed, length, group, bloc
     assert [got[i] for i in range(len(texts))] == brute_removed(texts, length)
 
 
+def test_progressions_hold_every_place_once():
+    from linkops.llm.suffixes import _progressions
+
+    pick = np.random.default_rng(5)
+    run = np.sort(pick.integers(0, 4, 3_000))
+    place = np.concatenate([np.arange(n) for n in np.bincount(run, minlength=4)])
+    name = np.where(run < 2, place % 3, pick.integers(0, 50, 3_000)).astype(np.uint64)
+    at, step, n = _progressions(name, run, place)
+    got = sorted((run[a], name[a], place[a] + i * s) for a, s, k in zip(at, step, n) for i in range(k))
+    assert got == sorted(zip(run, name, place))
+    assert sum(run[a] < 2 for a in at) == 6  # a periodic run takes a row for each place of its period
+
+
+def test_texts_of_one_repeated_character(spark):
+    """A thousand padded texts of different lengths share one rank; its bytes go through no single task."""
+    from linkops.llm.suffixes import remove_repeats
+
+    rows = [(i, "-" * (15_000 + 7 * i)) for i in range(1_000)] + [(5_000, "xy" * 9_000), (5_001, "z" * 200), (5_002, "w" * 201)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest_only=True).collect()}
+    assert all(got[i] == (len(t), len(t), 1) for i, t in rows if i != 5_001) and got[5_001] == (200, 0, 0)
+
+
+def test_repeats_beside_columns_of_any_name(spark):
+    from linkops.llm.suffixes import remove_repeats
+
+    docs = spark.createDataFrame([(1, "q" * 300)], "doc_id long, text string")
+    wide = docs.selectExpr("*", *[f"1 AS {c}" for c in ("_text", "_text2", "_text3", "_span_key", "_row_key", "_rows", "spans", "key")])
+    assert [r["n_removed"] for r in remove_repeats(wide).collect()] == [300]
+
+
 def test_repeats_keep_rows_and_bytes(spark):
     from linkops.llm.suffixes import remove_repeats
 

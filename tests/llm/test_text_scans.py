@@ -189,6 +189,11 @@ def test_scores_equal_brute_force_both_ways(spark):
             want = math.exp((-score(key[1]) + mean * q.PRIOR_CHARS) / (len(key[1]) + q.PRIOR_CHARS))
             assert r["perplexity"] == pytest.approx(want) and two[key]["perplexity"] == pytest.approx(want)
     assert [k[0] for k, r in one.items() if not r["kept"]] == [100]
+    extra = ("mean", "_limit_lang", "_limit_mean", "_sum", "_sum_key", "_sum_lang", "_text_key", "_log_p")
+    wide = docs.selectExpr("*", *[f"7 AS {c}" for c in extra])
+    for m in (q.BROADCAST_ENTRIES, 0):  # columns of any name stay beside the outputs
+        held = q.quality(wide, labels, most=m)
+        assert held.columns == [*wide.columns, "perplexity", "threshold", "kept"] and held.where("mean + _sum = 14").count() == len(rows)
     assert q.quality(docs.limit(0), labels).count() == 0 and q.quality(docs, labels.limit(0)).where("NOT kept").count() == 0
 
 
