@@ -174,6 +174,17 @@ def logistic_scoring(spark, sf_dir):
     return scored.groupBy("mcs").agg(F.count(F.lit(1)).alias("rows"), F.avg("p").alias("p"))
 
 
+@query("M10_recommend_logistic", f"""WITH RECURSIVE {_logistic_sql()}, {MCS},
+w AS (SELECT snr, cqi, m.mcs AS m, m.eff / (1 + exp(-(b[1] + b[2] * snr + b[3] * cqi + b[4] * m.mcs))) AS t FROM (SELECT DISTINCT snr, cqi FROM tx), mcs_table m, fit),
+best AS (SELECT snr, cqi, arg_max(m, (t, -m)) AS rec_mcs FROM w GROUP BY 1, 2), n AS (SELECT rec_mcs, count(*) AS count FROM tx JOIN best USING (snr, cqi) GROUP BY 1)
+SELECT rec_mcs, count, count * 100.0::DOUBLE / sum(count) OVER () AS percent FROM n""", "percent")
+def recommend_logistic(spark, sf_dir):
+    """Recommendations of the throughput policy by the logistic model, over distinct contexts."""
+    rows = transmissions(spark, sf_dir).drop("p", "mcs", "u")
+    packed = candidates.score_contexts(rows, ["snr", "cqi"], modelling.scorer(_logistic(spark, sf_dir), FEATURES))
+    return metrics.distribution(policy.recommend(packed, "throughput"), "rec_mcs")
+
+
 @query("M11_logistic_round_trip", f"WITH RECURSIVE {_logistic_sql()} SELECT CAST(cqi AS INTEGER) AS cqi, avg({_P_SQL}) AS p FROM tx, fit GROUP BY 1", "p", digits=5)
 def logistic_round_trip(spark, sf_dir):
     """Scores of a model that was stored with its metadata, read again and given its features from there."""

@@ -151,15 +151,17 @@ _OLLA_MCS = "CAST(least(greatest(round_even(s.cqi + ({up} * (s.i - 1) - 0.25::DO
 _UP = repr(0.25 * 0.1)
 
 
-@query("R8_olla_replay", f"""WITH RECURSIVE {TX}, {_SERIES},
+_OLLA = f"""{_SERIES},
 r AS (
   SELECT ue_id, i, {_OLLA_MCS.format(up=_UP + '::DOUBLE', k='0')} AS olla_mcs,
     CAST({p_of(_OLLA_MCS.format(up=_UP + '::DOUBLE', k='0'))} < 0.9::DOUBLE AS INTEGER) AS k FROM ser s WHERE i = 1
   UNION ALL
   SELECT s.ue_id, s.i, {_OLLA_MCS.format(up=_UP + '::DOUBLE', k='r.k')},
     r.k + CAST({p_of(_OLLA_MCS.format(up=_UP + '::DOUBLE', k='r.k'))} < 0.9::DOUBLE AS INTEGER)
-  FROM r JOIN ser s ON s.ue_id = r.ue_id AND s.i = r.i + 1)
-SELECT {KEY_SQL}, olla_mcs FROM r JOIN ser USING (ue_id, i)""")
+  FROM r JOIN ser s ON s.ue_id = r.ue_id AND s.i = r.i + 1)"""
+
+
+@query("R8_olla_replay", f"WITH RECURSIVE {TX}, {_OLLA} SELECT {KEY_SQL}, olla_mcs FROM r JOIN ser USING (ue_id, i)")
 def olla(spark, sf_dir):
     df = scored(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "cqi", "cand")
     return replay.olla(df, ["ue_id"], ORDER).select(*ROW_KEY, "olla_mcs")
@@ -209,7 +211,11 @@ def elevation_series(spark, sf_dir):
     return policy.elevation_series(_stacked(spark, sf_dir), weight="n")
 
 
-@query("R11_policy_comparison_with_olla")
+@query("R11_policy_comparison_with_olla", f"""WITH RECURSIVE {_STACK}, {_OLLA}, every AS (
+  SELECT policy, m, cp, ceff FROM st
+  UNION ALL SELECT 'baseline_cqi_olla', c.m, c.cp, c.ceff FROM r JOIN ser USING (ue_id, i) JOIN cand c USING ({KEY_SQL}) WHERE c.m = r.olla_mcs)
+SELECT policy, 1.0::DOUBLE AS accept_rate, 1 - avg(cp) AS violation, avg(cp * ceff) AS throughput_expected, avg(cp * ceff) AS throughput_realized, avg(m) AS avg_mcs
+FROM every GROUP BY policy""", "violation throughput_expected throughput_realized avg_mcs")
 def policy_comparison(spark, sf_dir):
     """Whole comparison plan with the offset loop and the table baseline."""
     rows = transmissions(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "snr", "cqi", "ele_angle")
