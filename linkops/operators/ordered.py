@@ -170,20 +170,30 @@ class _Prefix:
 
 
 def _prefixes(df: DataFrame, series, order, columns, reach: int, block_rows: int | None) -> tuple[DataFrame, dict[str, _Prefix], Window]:
-    """Blocks with a halo of ``reach`` rows, running sums of ``columns`` in each, and the window of a block's series."""
-    numbered = row_numbers(chunked(df, series, order)).drop("_chunk", "_idx")
+    """Rows with running sums of ``columns`` and a flag ``_halo``, and the window in which the sums run.
+
+    Where no series has more than ``block_rows`` rows, each is a block as it is, and one shuffle is all it takes. Else
+    blocks of consecutive rows get a halo of ``reach`` rows, so that a long series spreads over many tasks.
+    """
     size = max(block_rows or 100_000, 1)
-    kinds, aggs = {f.name: f.dataType for f in df.schema}, []
-    for c in columns:
+    kinds, aggs = {f.name: f.dataType for f in df.schema}, [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
         finite = F.abs(F.col(c).cast("double"))
         good = finite < float("inf")  # NaN is larger than all numbers
-        aggs += [F.count_if(F.col(c).isNull()), F.max(F.when(good, finite)), F.count_if(~good)]
-    row = numbered.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
-    stats = {c: row[3 * i:3 * i + 3] for i, c in enumerate(columns)}
-    window = Window.partitionBy("_block", *series).orderBy("_row")
-    held = {c: _Prefix(c, F.col(c), kinds[c], stats[c], size + reach) for c in columns}
-    blocks = halo_blocks(numbered, reach, size).withColumn("_place", F.row_number().over(window))
-    return blocks.withColumns({n: c for p in held.values() for n, c in p.columns(window).items()}), held, window
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls{i}"), F.max(F.when(good, finite)).alias(f"most{i}"), F.count_if(~good).alias(f"odd{i}")]
+    merged = [F.max("n").alias("n")]
+    for i in range(len(columns)):
+        merged += [F.sum(f"nulls{i}").alias(f"nulls{i}"), F.max(f"most{i}").alias(f"most{i}"), F.sum(f"odd{i}").alias(f"odd{i}")]
+    row = df.groupBy(*series).agg(*aggs).agg(*merged).first()
+    held = {c: _Prefix(c, F.col(c), kinds[c], (row[f"nulls{i}"], row[f"most{i}"], row[f"odd{i}"]), size + reach) for i, c in enumerate(columns)}
+    if (row["n"] or 0) <= size:
+        window = Window.partitionBy(*series).orderBy(*order)
+        blocks = df.withColumn("_halo", F.lit(False))
+    else:
+        window = Window.partitionBy("_block", *series).orderBy("_row")
+        blocks = halo_blocks(row_numbers(chunked(df, series, order)).drop("_chunk", "_idx"), reach, size)
+    sums = {n: c for p in held.values() for n, c in p.columns(window).items()}
+    return blocks.withColumns({"_place": F.row_number().over(window), **sums}), held, window
 
 
 def trailing(df: DataFrame, series, order, lags: dict[str, tuple[str, int]], start: int = 0,

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..session import materialize, small_side
 from .joins import null_safe_join
 
-# Bins of an interval, and of the first pass, which has about one for each power of two of either sign.
+# Bins of an interval, and of each power of two in the first pass.
 BINS = 4_096
+OCTAVE_BINS = 64
 _POWERS = 2_100
 
 
@@ -30,9 +31,10 @@ def _position(n: Column, q: Column, method: str) -> Column:
 
 
 def _power(x: Column) -> Column:
-    """Bin of a value by sign and power of two; rises with the value, infinities have bins of their own."""
-    size = F.floor(F.log2(F.abs(x))) + 1_075
-    return F.when(x == 0, 0).when(F.abs(x) == float("inf"), F.signum(x) * _POWERS).otherwise(F.signum(x) * size).cast("int")
+    """Bin of a value by sign and logarithm; rises with the value, infinities have bins of their own."""
+    size = F.floor((F.log2(F.abs(x)) + 1_075) * OCTAVE_BINS) + 1
+    far = F.lit(_POWERS * OCTAVE_BINS)
+    return F.when(x == 0, 0).when(F.abs(x) == float("inf"), F.signum(x) * far).otherwise(F.signum(x) * size).cast("int")
 
 
 def _share(x: Column, low: Column, high: Column) -> Column:
@@ -59,7 +61,7 @@ def ranked_values(rows: DataFrame, keys, wanted) -> DataFrame:
     keys = list(keys)
     bins = _counted(rows, keys, F.lit(0.0), _power(F.col("_x")))
     sizes = bins.groupBy(*keys).agg(F.sum("_n").alias("_n"))
-    asked = materialize(wanted(sizes).select(*keys, "_rank", F.lit(0.0).alias("_interval"), F.col("_rank").alias("_at")), "ranks")
+    asked = wanted(sizes).select(*keys, "_rank", F.lit(0.0).alias("_interval"), F.col("_rank").alias("_at"))
     out = None
     while True:
         met = null_safe_join(asked, bins, [*keys, "_interval"])
@@ -69,12 +71,14 @@ def ranked_values(rows: DataFrame, keys, wanted) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         asked = hit.where(F.col("_low") < F.col("_high"))
         # The intervals of a group do not overlap, so their lower ends name them.
-        intervals = materialize(asked.select(*keys, "_low", "_high").distinct(), "intervals")
-        if not intervals.limit(1).count():
+        intervals = asked.select(*keys, "_low", "_high").distinct()
+        if not asked.limit(1).count():
             return out
         inside = null_safe_join(rows, small_side(intervals), keys) if keys else rows.join(F.broadcast(intervals))  # an interval a rank
         inside = inside.where(F.col("_x").between(F.col("_low"), F.col("_high")))
-        inside = inside.select(*keys, "_x", F.col("_low").alias("_from"), F.col("_high").alias("_to"))
+        # A small part of the values, which is all that later passes have to read.
+        inside = materialize(inside.select(*keys, "_x", F.col("_low").alias("_from"), F.col("_high").alias("_to")), "inside")
+        rows = inside.select(*keys, "_x")
         bins = _counted(inside, keys, F.col("_from"), _share(F.col("_x"), F.col("_from"), F.col("_to")))
         asked = asked.select(*keys, "_rank", F.col("_low").alias("_interval"), "_at")
 
@@ -83,8 +87,8 @@ def grouped_quantiles(df: DataFrame, keys, value: str, qs, method: str = "linear
     """``(keys…, q, value)`` for every q in ``qs``.
 
     ``linear`` interpolates between ranks, ``nearest`` takes the closest rank, ``midpoint`` puts sample i at
-    (i - 1/2)/n and interpolates. Nulls and NaN are ignored. ``df`` is read once for each narrowing, two or three
-    times as a rule.
+    (i - 1/2)/n and interpolates. Nulls and NaN are ignored. ``df`` is read twice: for the first histogram,
+    and for the values in the bins of the wanted ranks.
     """
     keys = list(keys)
     x = F.col(value).cast("double") + 0.0  # negative zero is zero
@@ -94,10 +98,10 @@ def grouped_quantiles(df: DataFrame, keys, value: str, qs, method: str = "linear
     def wanted(sizes: DataFrame) -> DataFrame:
         asked = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
         asked = asked.withColumn("_pos", _position(F.col("_n"), F.col("q"), method))
-        held.append(materialize(asked.withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")}), "wanted"))
+        held.append(asked.withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")}))
         return held[0].select(*keys, F.explode(F.array("_lo", "_hi")).alias("_rank")).distinct()
 
-    values = small_side(materialize(ranked_values(rows, keys, wanted), "quantiles"))
+    values = small_side(ranked_values(rows, keys, wanted))  # over stored hits
     low = values.select(*keys, F.col("_rank").alias("_lo"), F.col("_value").alias("_a"))
     high = values.select(*keys, F.col("_rank").alias("_hi"), F.col("_value").alias("_b"))
     both = null_safe_join(null_safe_join(held[0], low, [*keys, "_lo"]), high, [*keys, "_hi"])

@@ -122,3 +122,15 @@ def test_nearest_rows_look_at_few_cells(spark):
     cells = lut.nearest_cells(rows, ["x", "y"], ["_cell0", "_cell1"], points, scales, 20)
     looked_at = rows.join(cells, ["_cell0", "_cell1"]).count()
     assert 25 * 20 <= looked_at <= 25 * 20 * 8  # not 250,000
+
+
+def test_short_series_are_blocks_as_they_are(spark):
+    """The same means whether series are cut into blocks or not, and without a series."""
+    pick = random.Random(7)
+    rows = [(i % 4, i, pick.choice([None, pick.uniform(-5, 5), float("nan") if i % 50 == 3 else 1.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "s int, i int, v double")
+    lags = {"a": ("v", 3), "b": ("v", 60)}
+    for series in (["s"], []):
+        whole, cut = ({r["i"]: (r["a"], r["b"]) for r in ordered.trailing(df, series, ["i"], lags, 1, block_rows=n).collect()} for n in (1_000, 32))
+        assert whole.keys() == cut.keys()
+        assert all(close(x, y, 5) if x is not None and y is not None else x is y for i in whole for x, y in zip(whole[i], cut[i]))
