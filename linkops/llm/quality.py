@@ -21,7 +21,7 @@ from .common import fresh, materialize, scratch_path, small_batches
 from .pretokens import forget
 
 ORDER = 4
-CHAR_BITS = 12
+CHAR_BITS = 15
 UNKNOWN, START, FIRST = 0, 1, 2
 # A model with at most this many entries is sent to all tasks; a larger one is joined shard by shard.
 BROADCAST_ENTRIES = 2_000_000

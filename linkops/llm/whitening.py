@@ -68,6 +68,8 @@ def fit_list(rows: DataFrame, column: str, scale: int = SCALE) -> DataFrame:
         held: list[bytes] = []
         for batch in batches:
             held.extend(batch.column(0).to_pylist())
+            if len({len(x) for x in held}) > 1:
+                raise ValueError(f"vectors of different lengths: {sorted({len(x) // 8 for x in held})}")
             for start in range(0, len(held) - PACK + 1, PACK):
                 yield pa.RecordBatch.from_pydict({"block": [b"".join(held[start:start + PACK])], "n": pa.array([PACK], pa.int64())})
             held = held[len(held) // PACK * PACK:]

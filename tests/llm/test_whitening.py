@@ -76,6 +76,8 @@ def test_extra_columns_and_other_names(spark):
 def test_vectors_of_different_lengths_are_an_error(spark):
     with pytest.raises(Exception, match="different lengths"):
         whiten(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], SCHEMA).coalesce(1))
+    with pytest.raises(Exception, match="different lengths"):  # met only after the shuffle
+        whiten(spark.createDataFrame([(1, [1.0] * 2), (2, [1.0] * 4)], SCHEMA).repartition(2, "vec_id"))
 
 
 def test_deviations_stay_exact_beyond_64_bits():
