@@ -21,24 +21,32 @@ def column_profile(df: DataFrame, columns, approx: bool = False) -> DataFrame:
     Quantiles are exact by default; ``approx`` uses a sketch instead.
     """
     columns = list(columns)
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "column_name", "column_value"
-    )
-    value = F.col("column_value")
-    aggs = [
-        F.count(F.lit(1)).alias("rows"),
-        (count_if(value.isNull()) / F.count(F.lit(1))).alias("missing_fraction"),
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
-    ]
+    # A column travels by its number, which is cheaper to group and join by than its name.
+    long = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("column_id", "column_value"))
     if approx:
-        aggs += [F.percentile_approx(value, q, 10_000).alias(n) for n, q in PROFILE_QUANTILES.items()]
-        return long.groupBy("column_name").agg(*aggs)
-    stats = long.groupBy("column_name").agg(*aggs)
-    ranks = grouped_quantiles(long, ["column_name"], "column_value", PROFILE_QUANTILES.values(), "nearest")
-    wide = ranks.groupBy("column_name").agg(*[
-        F.max(F.when(F.col("q") == q, value)).alias(n) for n, q in PROFILE_QUANTILES.items()
+        wide = long.groupBy("column_id").agg(*[F.percentile_approx("column_value", q, 10_000).alias(n) for n, q in PROFILE_QUANTILES.items()])
+    else:
+        ranks = grouped_quantiles(long, ["column_id"], "column_value", PROFILE_QUANTILES.values(), "nearest")
+        wide = ranks.groupBy("column_id").agg(*[
+            F.max(F.when(F.col("q") == q, F.col("column_value"))).alias(n) for n, q in PROFILE_QUANTILES.items()
+        ])
+    return _column_stats(df, columns).join(F.broadcast(wide), "column_id", "left").drop("column_id")  # a row a column
+
+
+def _column_stats(df: DataFrame, columns) -> DataFrame:
+    """One row per column from one aggregation over the rows as they are."""
+    aggs = []
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("double")
+        aggs += [count_if(value.isNull()).alias(f"null{i}"), F.avg(value).alias(f"mean{i}"), F.stddev_samp(value).alias(f"std{i}"),
+                 F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}")]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("column_id"), F.lit(c).alias("column_name"), "rows", (F.col(f"null{i}") / F.col("rows")).alias("missing_fraction"),
+                 *[F.col(f"{name}{i}").alias(name) for name in ("mean", "std", "min", "max")])
+        for i, c in enumerate(columns)
     ])
-    return stats.join(wide, "column_name", "left")
+    return row.where(F.col("rows") > 0).select(F.explode(cells).alias("cell")).select("cell.*")
 
 
 def rates(df: DataFrame, success_value: int = 1) -> DataFrame:
