@@ -119,6 +119,19 @@ def _levels(index: DataFrame, own: DataFrame, n: int, queries: int, wanted: floa
     return levels
 
 
+def _counts(queries: int):
+    """Lists of queries to the number of lists that each is in; a task reports every query once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(queries, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=queries)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"q": some, "n": total[some]})
+
+    return count
+
+
 def _candidates(index: DataFrame, own: DataFrame, n: int, queries: int, wanted: float, trees: int) -> DataFrame:
     """``cls, qs``: every row of the runs of each query, once. Where the runs of many trees hold the same rows, as in a
     dense cluster, a query goes on ascending until ``wanted`` different rows are there, or all."""
@@ -137,7 +150,7 @@ def _candidates(index: DataFrame, own: DataFrame, n: int, queries: int, wanted:
         part = hits.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
         part = materialize(part, "candidates")
         lists = part if lists is None else lists.unionByName(part)
-        found = part.select(F.explode("qs").alias("q")).groupBy("q").agg(F.count(F.lit(1)).alias("n")).toPandas()  # a row a query
+        found = part.select("qs").mapInArrow(_counts(queries), "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).toPandas()
         rows = np.zeros(queries, np.int64)
         rows[found["q"].to_numpy()] = found["n"].to_numpy() - 1  # but the query itself
         open_ = open_[(rows[open_] < wanted) & (levels[open_] > 0)]
