@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import hash_fraction
+from ..functions.expr import hash_fraction, round_share
 from ..operators import candidates, evaluate, lut, metrics, modelling, policy, sampling
-from ..session import scratch_path
+from ..session import materialize, scratch_path, spread
 from ..sources import sinks
 from .registry import query
 from .tables import MCS, ROW_KEY, TX, transmissions
@@ -73,12 +73,20 @@ def class_balance(spark, sf_dir):
     return weighted.groupBy("label_pass").agg(F.count(F.lit(1)).alias("rows"), F.avg("weight").alias("weight"))
 
 
-def _best(spark, sf_dir):
+def _with_best(rows):
     """Label of the class models: best MCS of the closed-form probability."""
-    df = candidates.candidates(
-        _rows(spark, sf_dir), lambda m: F.round(1 / (1 + F.exp(-(0.6 * (F.col("snr") - (m * 0.9 - 9.0))))), 9)
-    )
-    return df.withColumn("best", policy.throughput_choice()["mcs"]).drop("cand")
+    probability = lambda m: round_share(1 / (1 + F.exp(-(0.6 * (F.col("snr") - (m * 0.9 - 9.0))))))
+    df = candidates.candidates(rows, probability, unrolled=True)
+    return df.withColumn("best", policy.best_throughput()["mcs"]).drop("cand")
+
+
+def _best(spark, sf_dir):
+    return _with_best(_rows(spark, sf_dir))
+
+
+def _stored_best(spark, sf_dir):
+    """What the polynomial fits read, which is several times: stored, so that each label is worked out once."""
+    return materialize(_with_best(spread(_rows(spark, sf_dir).select("snr", "cqi", "split"))), "best")
 
 
 def _classifier(df, kind="forest"):
@@ -302,7 +310,7 @@ best AS (SELECT snr, arg_max(mcs, (t, -mcs)) AS best FROM w GROUP BY 1), labelle
 e AS (SELECT CAST(best AS DOUBLE) AS y, {_polynomial_sql(_PAIR, 3)} AS f FROM labelled, fit, ranges)
 SELECT count(*) AS rows, 1 - sum((y - f) ** 2) / (count(*) * var_pop(y)) AS r2, sqrt(sum((y - f) ** 2) / count(*)) AS rmse, avg(abs(y - f)) AS mae FROM e""", "r2 rmse mae")
 def cubic_fit_all_rows(spark, sf_dir):
-    rows = _best(spark, sf_dir)
+    rows = _stored_best(spark, sf_dir)
     return modelling.fit_quality(rows, "best", modelling.polynomial_fit(rows, ["snr", "cqi"], "best", 3).column())
 
 

@@ -15,6 +15,17 @@ def code(value, width: float) -> Column:
     return F.rint(col(value) / F.lit(float(width))).cast("bigint")
 
 
+def round_share(value: Column, digits: int = 9) -> Column:
+    """``round(value, digits)`` of a value from 0 to 1, bit by bit, for many values a row.
+
+    ``round`` goes by way of decimal text. Here a double is scaled and cut off; only what lies so close to a half that
+    scaling could err is left to ``round``.
+    """
+    scale = F.lit(10.0 ** digits)
+    near = F.abs(value * scale - F.floor(value * scale) - 0.5)  # NaN is larger than all numbers
+    return F.when((value >= 0) & near.between(1e-3, 0.6), F.floor(value * scale + 0.5) / scale).otherwise(F.round(value, digits))
+
+
 def decode(value, width: float) -> Column:
     """Grid code back to a clean float (rounded to 6 digits)."""
     return F.round(col(value) * F.lit(float(width)), 6)

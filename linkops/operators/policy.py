@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, col, floor_bin, linspace, weighted_mean
 from ..functions.radio import cqi_to_mcs
+from .candidates import matrix
 from .evaluate import thresholds_met
 
 FALLBACKS = ("min_zero", "argmax_p", "min_p", "first")
@@ -67,6 +70,25 @@ def throughput_choice(cand="cand") -> Column:
     return _argmax(_array(cand), _score)
 
 
+def best_throughput(cand="cand") -> Column:
+    """:func:`throughput_choice` in Arrow batches, for choices made once in each row."""
+    return F.arrow_udf(_best_throughput, "struct<mcs:int,p:double,eff:double>")(_array(cand))
+
+
+def _best_throughput(cand: pa.Array) -> pa.Array:
+    p, inside = matrix(cand, "p")
+    if not inside.size:
+        return pa.nulls(len(cand), cand.type.value_type)
+    flat = cand.flatten()
+    missing = np.ones(inside.shape, bool)
+    missing[inside] = flat.field("p").is_null().to_numpy(zero_copy_only=False)
+    with np.errstate(invalid="ignore"):
+        score = np.where(missing, -np.inf, p * matrix(cand, "eff")[0])  # NaN is larger than all numbers
+    pick = np.where(missing[:, 0], 0, score.argmax(axis=1))  # nothing is larger than a first one that is null
+    lengths = inside.sum(axis=1)
+    return flat.take(pa.array(np.cumsum(lengths) - lengths + pick, pa.int64(), mask=lengths == 0))
+
+
 def constrained_choice(tau, cand="cand", fallback: str = "argmax_p") -> Column:
     """Largest p x efficiency among p >= tau; otherwise the fallback."""
     best = _argmax(_array(cand), _score, lambda x: x["p"] >= F.lit(tau))
