@@ -111,10 +111,11 @@ def label_classifier(spark, sf_dir):
 @query("M4_monotone_scores")
 def monotone_scores(spark, sf_dir):
     model = _model(spark, sf_dir)
-    rows = transmissions(spark, sf_dir).drop("p", "mcs", "u")
-    packed = candidates.score_contexts(rows, ["snr", "cqi"], modelling.scorer(model, FEATURES))
-    lowered = packed.select(policy.threshold_choice(0.7, modelling.monotone_probability("cand"))["mcs"].alias("mcs"))
-    return metrics.distribution(lowered, "mcs")
+    rows = candidates.contexts(transmissions(spark, sf_dir), ["snr", "cqi"])
+    packed = candidates.score_contexts(materialize(rows, "contexts"), ["snr", "cqi"], modelling.scorer(model, FEATURES))
+    lowered = packed.withColumn("cand", modelling.monotone_probability("cand"))
+    chosen = lowered.select("n", policy.threshold_choice(0.7)["mcs"].alias("mcs"))
+    return metrics.distribution(chosen, "mcs", weight="n")
 
 
 @query("M9_feature_importance", "SELECT 3 AS features, 1.0::DOUBLE AS gain FROM lineitem LIMIT 1", "gain")

@@ -104,9 +104,9 @@ def error_by_mcs(df: DataFrame, min_count: int = 5) -> DataFrame:
     )
 
 
-def distribution(df: DataFrame, column: str) -> DataFrame:
-    """Counts and percentages of each value."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+def distribution(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
+    """Counts and percentages of each value. With ``weight`` a row stands for so many equal ones."""
+    counts = df.groupBy(column).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("count"))
     total = F.broadcast(counts.agg(F.sum("count").alias("_all")))  # one row
     return counts.join(total).withColumn("percent", F.col("count") / F.col("_all") * 100).drop("_all")
 

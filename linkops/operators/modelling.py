@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_fraction
+from .candidates import matrix, rebuilt
 
 
 # --- closed-form fits ------------------------------------------------------------------------------
@@ -239,16 +240,15 @@ def scorer(model: PipelineModel, features):
 
 def monotone_probability(cand: str = "cand") -> Column:
     """Candidates whose probability never rises with MCS: each keeps the least probability up to it."""
-    start = F.struct(
-        F.lit(float("inf")).alias("low"), F.array().cast("array<struct<mcs:int,p:double,eff:double>>").alias("kept")
-    )
+    return F.arrow_udf(_lowered, "array<struct<mcs:int,p:double,eff:double>>")(F.col(cand))
 
-    def step(acc, x):
-        low = F.least(acc["low"], x["p"])
-        entry = F.struct(x["mcs"].alias("mcs"), low.alias("p"), x["eff"].alias("eff"))
-        return F.struct(low.alias("low"), F.concat(acc["kept"], F.array(entry)).alias("kept"))
 
-    return F.aggregate(cand, start, step, lambda acc: acc["kept"])
+def _lowered(cand: pa.Array) -> pa.Array:
+    p, inside = matrix(cand, "p")
+    if inside.size:
+        # Nulls and NaN lower nothing; before the first number the least probability is infinite.
+        p = np.fmin.accumulate(np.fmin(p, np.inf), axis=1)
+    return rebuilt(cand, p[inside], np.zeros(int(inside.sum()), bool))
 
 
 # --- classifiers -----------------------------------------------------------------------------------
