@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import replay
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming import feedback, metrics, sinks, state
 from .logs import CONSUMED, written_log
 from .registry import query
@@ -167,8 +167,9 @@ def resumed_features(spark, sf_dir):
 def offset_loop(spark, sf_dir):
     """Streamed offset loop; rows where it differs from the batch replay are counted."""
     seq = F.xxhash64(*ROW_KEY)
-    df = scored(spark, sf_dir).select(seq.alias("seq"), F.col("ue_id").cast("long").alias("series"), "cqi", "cand")
-    masked = df.withColumn("mask", replay.success_mask(F.lit(0.9))).drop("cand")
+    df = scored(spark, sf_dir, unrolled=True).select(seq.alias("seq"), F.col("ue_id").cast("long").alias("series"), "cqi", "cand")
+    # Stored, since a range partitioning reads its input twice.
+    masked = materialize(df.withColumn("mask", replay.success_mask(F.lit(0.9))).drop("cand"), "masks")
     streamed = _drain(state.offset_loop(_table_stream(masked, "olla", "seq")), "offset")
     batch = replay.olla(df, ["series"], ["seq"]).select("series", "seq", "olla_mcs")
     both = streamed.join(batch, ["series", "seq"], "full")

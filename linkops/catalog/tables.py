@@ -50,9 +50,9 @@ def pass_probability(snr: Column, mcs: Column) -> Column:
     return F.floor(1e9 / (1 + F.exp(-(0.6 * (snr - (mcs * 0.9 - 9.0))))) + 0.5) / 1e9
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, unrolled: bool = False) -> DataFrame:
     """Transmissions with the candidate array."""
-    return candidates(spread(transmissions(spark, sf_dir)), lambda m: pass_probability(F.col("snr"), m))
+    return candidates(spread(transmissions(spark, sf_dir)), lambda m: pass_probability(F.col("snr"), m), unrolled=unrolled)
 
 
 def scored_contexts(spark: SparkSession, sf_dir: str, *keys) -> DataFrame:

@@ -13,12 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.radio import MCS_MAX
 from ..session import materialize, small_side
+from .candidates import matrix
 from .ordered import segments, with_halo
 
 
@@ -140,10 +143,18 @@ def replay(df: DataFrame, series, order, machine: Machine, out: str, block_rows:
 
 def success_mask(threshold: Column, cand: str = "cand") -> Column:
     """Bit m is set when the candidate with MCS m succeeds (p >= threshold)."""
-    return F.aggregate(
-        cand, F.lit(0),
-        lambda acc, x: acc + F.when(x["p"] >= threshold, F.call_function("shiftleft", F.lit(1), x["mcs"])).otherwise(0),
-    )
+    return F.arrow_udf(_met, "int")(F.col(cand), threshold.cast("double"))
+
+
+def _met(cand: pa.Array, threshold: pa.Array) -> pa.Array:
+    p, inside = matrix(cand, "p")
+    flat = cand.flatten()
+    known = np.zeros(inside.shape, bool)
+    known[inside] = flat.field("p").is_valid().to_numpy(zero_copy_only=False)
+    least = pc.cast(threshold, pa.float64()).to_numpy(zero_copy_only=False)[:, None]
+    met = known & threshold.is_valid().to_numpy(zero_copy_only=False)[:, None] & ((p >= least) | np.isnan(p))  # NaN is larger than all numbers
+    bits = np.left_shift(1, np.nan_to_num(matrix(cand, "mcs")[0]).astype(np.int32), dtype=np.int32)
+    return pa.array((met * bits).sum(axis=1, dtype=np.int32), mask=cand.is_null().to_numpy(zero_copy_only=False))
 
 
 def offset_loop(step: float = 0.25, target: float = 0.1, initial: float = 0.0) -> Machine:
@@ -206,7 +217,8 @@ def olla(df: DataFrame, series, order, step: float = 0.25, target: float = 0.1,
     The candidates of a row shrink to one bit per MCS before anything is shuffled; the array itself is dropped.
     """
     limit = F.lit(1.0 - target) if draw is None else draw
-    rows = df.withColumn("_mask", success_mask(limit, cand)).drop(cand)
+    # Stored, since a range partitioning reads its input twice.
+    rows = materialize(df.withColumn("_mask", success_mask(limit, cand)).drop(cand), "masks")
     return replay(rows, series, order, offset_loop(step, target, initial), out, block_rows).drop("_mask")
 
 
