@@ -6,6 +6,7 @@ watermark, leaves the store, and starts anew if it comes back.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.radio import MCS_MAX
-from ..operators.replay import ALLOCATOR_MAX
+from ..operators.ordered import segments
+from ..operators.replay import ALLOCATOR_MAX, allocator_machine
 
 # Block results of one page of the ring behind a rolling rate.
 PAGE = 1_024
+# Keys that links without an idle time are packed into.
+BUCKETS = 512
 
 
 class _Link(StatefulProcessor):
@@ -122,6 +126,17 @@ class _RollingError(_Link):
         self.pages.clear()
 
 
+def _offsets(cqi, mask, n: int, failures: int, step: float, target: float, initial: float) -> tuple[list[int], tuple[int, int]]:
+    """MCS of the next rows of a link, and its counts of rows and failures after them."""
+    out, up = [], step * target
+    for report, bits in zip(cqi.tolist(), mask.tolist()):
+        mcs = min(max(round(float(report) + (initial + up * n - step * failures)), 0), MCS_MAX)
+        failures += 1 - ((int(bits) >> mcs) & 1)
+        n += 1
+        out.append(mcs)
+    return out, (n, failures)
+
+
 class _OffsetLoop(_Link):
     """Row count and failures so far; together they fix the offset."""
 
@@ -135,15 +150,9 @@ class _OffsetLoop(_Link):
 
     def advance(self, key, frame: pd.DataFrame) -> pd.DataFrame:
         n, failures = self.counts.get() if self.counts.exists() else (0, 0)
-        out, up = [], self.step * self.target
-        for seq, cqi, mask in zip(frame["seq"], frame["cqi"], frame["mask"]):
-            offset = self.initial + up * n - self.step * failures
-            mcs = min(max(round(float(cqi) + offset), 0), MCS_MAX)
-            failures += 1 - ((int(mask) >> mcs) & 1)
-            n += 1
-            out.append((key[0], int(seq), mcs))
-        self.counts.update((n, failures))
-        return pd.DataFrame(out, columns=list(self.columns))
+        out, counts = _offsets(frame["cqi"].to_numpy(), frame["mask"].to_numpy(), n, failures, self.step, self.target, self.initial)
+        self.counts.update(counts)
+        return pd.DataFrame({"series": key[0], "seq": frame["seq"].to_numpy(), "mcs": out})
 
     def forget(self) -> None:
         self.counts.clear()
@@ -213,6 +222,44 @@ class _Consume(StatefulProcessor):
         pass
 
 
+class _Packed(StatefulProcessor):
+    """Links that are never forgotten, many to a key: their states lie in one value, read and written once a batch.
+
+    A call, its state and its output cost some 10 ms a link when each link is a key of its own. ``step`` makes the
+    output of a link's rows and its new state from its rows in order and its state (None: a new link).
+    """
+
+    def __init__(self, columns: tuple[str, ...], inputs: tuple[str, ...], step):
+        self.columns, self.inputs, self.step = columns, inputs, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.links = handle.getValueState("links", "states binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["unnamed", "series", "seq"], ignore_index=True)
+        held = self.links.get()
+        states = pickle.loads(bytes(held[0])) if held else {}
+        inputs, out = [frame[c].to_numpy() for c in self.inputs], []
+        unnamed, series = frame["unnamed"].to_numpy(), frame["series"].to_numpy()
+        for begin, end in segments(frame, ["unnamed", "series"]):
+            link = None if unnamed[begin] else int(series[begin])
+            values, states[link] = self.step([c[begin:end] for c in inputs], states.get(link))
+            out.append(values)
+        self.links.update((pickle.dumps(states),))
+        named = pd.Series(series, dtype="Int64").mask(unnamed)
+        yield pd.DataFrame(dict(zip(self.columns, (named, frame["seq"].to_numpy(), np.concatenate(out)))))
+
+    def close(self) -> None:
+        pass
+
+
+def _packed(df: DataFrame, step, inputs: tuple[str, ...], columns: tuple[str, ...], schema: str) -> DataFrame:
+    link = F.coalesce(F.col("series").cast("long"), F.lit(0))  # pandas has no null among whole numbers
+    rows = df.select(F.pmod(F.xxhash64("series"), F.lit(BUCKETS)).alias("bucket"), F.col("series").isNull().alias("unnamed"),
+                     link.alias("series"), "seq", *inputs)
+    return rows.groupBy("bucket").transformWithStateInPandas(_Packed(columns, inputs, step), schema, "Append", "None")
+
+
 def _stateful(df: DataFrame, columns, processor: _Link, schema: str, delay: str | None) -> DataFrame:
     """Rows of every link through ``processor``. With an idle timer the frame needs an event time ``ts``, whose
     watermark lags by ``delay``."""
@@ -224,22 +271,46 @@ def _stateful(df: DataFrame, columns, processor: _Link, schema: str, delay: str
 
 def rolling_error_rate(df: DataFrame, width: int, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """``series, seq, error`` to the error rate of the last ``width`` rows before each row."""
-    return _stateful(df, ["series", "seq", "error"], _RollingError(width, idle_ms), "series long, seq long, bler double", delay)
+    schema = "series long, seq long, bler double"
+    if idle_ms is not None or width > PAGE:
+        return _stateful(df, ["series", "seq", "error"], _RollingError(width, idle_ms), schema, delay)
+
+    def step(inputs, state):
+        last = np.zeros(0, np.int64) if state is None else np.frombuffer(state, np.uint8).astype(np.int64)
+        bits = np.concatenate((last, inputs[0].astype(np.int64)))
+        at, sums = np.arange(len(last), len(bits)), np.concatenate(([0], np.cumsum(bits)))
+        count = np.minimum(at, width)
+        rate = pd.Series(np.where(count > 0, (sums[at] - sums[at - count]) / np.maximum(count, 1), np.nan)).astype(object)
+        return rate.where(rate.notna(), None).to_numpy(), bits[max(0, len(bits) - width):].astype(np.uint8).tobytes()
+
+    return _packed(df, step, ("error",), _RollingError.columns, schema)
 
 
 def offset_loop(df: DataFrame, step: float = 0.25, target: float = 0.1, initial: float = 0.0,
                 idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """``series, seq, cqi, mask`` to the MCS of the offset loop."""
-    processor = _OffsetLoop(step, target, initial, idle_ms)
-    return _stateful(df, ["series", "seq", "cqi", "mask"], processor, "series long, seq long, mcs int", delay)
+    schema = "series long, seq long, mcs int"
+    if idle_ms is not None:
+        return _stateful(df, ["series", "seq", "cqi", "mask"], _OffsetLoop(step, target, initial, idle_ms), schema, delay)
+
+    def advance(inputs, state):
+        values, counts = _offsets(*inputs, *(state or (0, 0)), step, target, initial)
+        return np.array(values, np.int32), counts
+
+    return _packed(df, advance, ("cqi", "mask"), _OffsetLoop.columns, schema)
 
 
 def allocator(df: DataFrame, target: float, initial: int = 1, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
     """``series, seq, cqi, bler`` to the allocated CQI index."""
-    from ..operators.replay import allocator_machine
+    schema, machine = "series long, seq long, alloc_cqi int", allocator_machine(target, initial)
+    if idle_ms is not None:
+        return _stateful(df, ["series", "seq", "cqi", "bler"], _Allocator(machine, initial, idle_ms), schema, delay)
+
+    def step(inputs, state):
+        values = machine.replay(inputs, 0, initial if state is None else state)
+        return values, min(int(values[-1]), ALLOCATOR_MAX)
 
-    processor = _Allocator(allocator_machine(target, initial), initial, idle_ms)
-    return _stateful(df, ["series", "seq", "cqi", "bler"], processor, "series long, seq long, alloc_cqi int", delay)
+    return _packed(df, step, ("cqi", "bler"), _Allocator.columns, schema)
 
 
 def consuming_feedback(df: DataFrame, window_ms: int = 50, delay: str = "1 second") -> DataFrame:
