@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import radio
+from ..functions.expr import weighted_mean
 from ..operators import candidates, lut, policy, replay
 from ..operators.candidates import contexts
 from ..plans import decision_flow
+from ..session import spread
 from .luts import NEAREST_2D, _coarse
 from .registry import query
 from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, p_sql, pass_probability, scored, transmissions
@@ -163,7 +165,7 @@ r AS (
 
 @query("R8_olla_replay", f"WITH RECURSIVE {TX}, {_OLLA} SELECT {KEY_SQL}, olla_mcs FROM r JOIN ser USING (ue_id, i)")
 def olla(spark, sf_dir):
-    df = scored(spark, sf_dir).select(*ROW_KEY, "ts", "ue_id", "cqi", "cand")
+    df = scored(spark, sf_dir, unrolled=True).select(*ROW_KEY, "ts", "ue_id", "cqi", "cand")
     return replay.olla(df, ["ue_id"], ORDER).select(*ROW_KEY, "olla_mcs")
 
 
@@ -272,6 +274,7 @@ low AS (SELECT mcs, min(p) OVER (PARTITION BY {KEY_SQL} ORDER BY mcs) AS p FROM
 SELECT mcs, avg(p) AS p, count(DISTINCT p) AS distinct_p FROM low GROUP BY 1""", "p")
 def monotone_probability(spark, sf_dir):
     from ..operators.modelling import monotone_probability as lower
-    df = candidates.candidates(transmissions(spark, sf_dir), lambda m: pass_probability(F.col("snr"), F.pmod(m * 5, F.lit(28))))
-    rows = candidates.unpack(df.select(lower("cand").alias("cand")))
-    return rows.groupBy("mcs").agg(F.avg("p").alias("p"), F.count_distinct("p").alias("distinct_p"))
+    tx = spread(contexts(transmissions(spark, sf_dir), ["snr"]))
+    df = candidates.candidates(tx, lambda m: pass_probability(F.col("snr"), F.pmod(m * 5, F.lit(28))), unrolled=True)
+    rows = candidates.unpack(df.select("n", lower("cand").alias("cand")))
+    return rows.groupBy("mcs").agg(weighted_mean("p", "n").alias("p"), F.count_distinct("p").alias("distinct_p"))
