@@ -7,7 +7,9 @@ watermark, leaves the store, and starts anew if it comes back.
 from __future__ import annotations
 
 import pickle
+from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -179,44 +181,96 @@ class _Allocator(_Link):
         self.index.clear()
 
 
+class _Waiting:
+    """Transmissions of a link that wait for feedback, in the order in which they came."""
+
+    def __init__(self, rows):
+        self.rows = deque(rows)
+        self.ordered = all(a[0] <= b[0] for a, b in pairwise(self.rows))
+
+    def add(self, us: int, seq: int) -> None:
+        self.ordered = self.ordered and (not self.rows or self.rows[-1][0] <= us)
+        self.rows.append((us, seq))
+
+    def release(self, before_us: int) -> list[int]:
+        """Takes out those sent before a time; only rows that came late are not at the front."""
+        gone = []
+        if self.ordered:
+            while self.rows and self.rows[0][0] < before_us:
+                gone.append(self.rows.popleft()[1])
+        else:
+            gone = [seq for us, seq in self.rows if us < before_us]
+            self.__init__(r for r in self.rows if r[0] >= before_us)
+        return gone
+
+    def take(self) -> int:
+        """Takes out the first one of the newest 10 ms."""
+        newest = self.rows[-1][0] // 10_000
+        if self.ordered:
+            at = len(self.rows) - 1
+            while at and self.rows[at - 1][0] // 10_000 == newest:
+                at -= 1
+        else:
+            at = next(i for i, r in enumerate(self.rows) if r[0] // 10_000 == newest)
+        seq = self.rows[at][1]
+        del self.rows[at]
+        return seq
+
+
 class _Consume(StatefulProcessor):
-    """Pending transmissions per link; a timer releases those whose window has passed."""
+    """Pending transmissions of the links of a bucket, in one value; a timer releases those whose window has passed."""
 
     def __init__(self, window_ms: int):
         self.window = window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "us long, seq long")
+        self.pending = handle.getValueState("pending", "links binary")
 
-    def _release(self, key, kept, before_us):
-        out = [(key[0], seq, None) for us, seq in kept if us < before_us]
-        return out, [(us, seq) for us, seq in kept if us >= before_us]
+    def _load(self) -> dict:
+        held = self.pending.get()
+        return pickle.loads(bytes(held[0])) if held else {}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["us", "seq"])
-        kept, out, width = [tuple(r) for r in self.pending.get()], [], self.window * 1000
-        for us, seq, is_tx in zip(frame["us"], frame["seq"], frame["is_tx"]):
-            gone, kept = self._release(key, kept, int(us) - width)
-            out += gone
-            if is_tx:
-                kept.append((int(us), int(seq)))
-            elif kept:
-                newest = kept[-1][0] // 10_000
-                at = next(i for i, r in enumerate(kept) if r[0] // 10_000 == newest)
-                out.append((key[0], kept.pop(at)[1], int(seq)))
-        if kept:
-            self.pending.put(kept)
-            self.handle.registerTimer(kept[-1][0] // 1000 + self.window + 1)
+    def _save(self, links: dict) -> None:
+        links = {link: kept for link, kept in links.items() if kept}
+        if links:
+            self.pending.update((pickle.dumps(links),))
         else:
             self.pending.clear()
-        yield pd.DataFrame(out, columns=["series", "tx_seq", "fb_seq"]).astype({"tx_seq": "Int64", "fb_seq": "Int64"})
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["series", "tx_seq", "fb_seq"]).astype("Int64")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["unnamed", "series", "us", "seq"], ignore_index=True)
+        links, out, width, latest = self._load(), [], self.window * 1000, None
+        unnamed, series = frame["unnamed"].tolist(), frame["series"].tolist()
+        us, seq, is_tx = (frame[c].tolist() for c in ("us", "seq", "is_tx"))
+        for begin, end in segments(frame, ["unnamed", "series"]):
+            link = None if unnamed[begin] else series[begin]
+            waiting = _Waiting(links.get(link, ()))
+            for i in range(begin, end):
+                out += [(link, gone, None) for gone in waiting.release(int(us[i]) - width)]
+                if is_tx[i]:
+                    waiting.add(int(us[i]), int(seq[i]))
+                elif waiting.rows:
+                    out.append((link, waiting.take(), int(seq[i])))
+            links[link] = list(waiting.rows)
+            if waiting.rows:
+                latest = max(latest or 0, waiting.rows[-1][0] // 1000 + self.window + 1)
+        self._save(links)
+        if latest is not None:
+            self.handle.registerTimer(latest)
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.window * 1000
-        out, kept = self._release(key, [tuple(r) for r in self.pending.get()], limit)
-        self.pending.put(kept) if kept else self.pending.clear()
-        yield pd.DataFrame(out, columns=["series", "tx_seq", "fb_seq"]).astype({"tx_seq": "Int64", "fb_seq": "Int64"})
+        limit, links, out = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.window * 1000, self._load(), []
+        for link, kept in links.items():
+            waiting = _Waiting(kept)
+            out += [(link, gone, None) for gone in waiting.release(limit)]
+            links[link] = list(waiting.rows)
+        self._save(links)
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -253,10 +307,14 @@ class _Packed(StatefulProcessor):
         pass
 
 
-def _packed(df: DataFrame, step, inputs: tuple[str, ...], columns: tuple[str, ...], schema: str) -> DataFrame:
+def _bucketed(df: DataFrame, *columns: str) -> DataFrame:
     link = F.coalesce(F.col("series").cast("long"), F.lit(0))  # pandas has no null among whole numbers
-    rows = df.select(F.pmod(F.xxhash64("series"), F.lit(BUCKETS)).alias("bucket"), F.col("series").isNull().alias("unnamed"),
-                     link.alias("series"), "seq", *inputs)
+    return df.select(F.pmod(F.xxhash64("series"), F.lit(BUCKETS)).alias("bucket"), F.col("series").isNull().alias("unnamed"),
+                     link.alias("series"), *columns)
+
+
+def _packed(df: DataFrame, step, inputs: tuple[str, ...], columns: tuple[str, ...], schema: str) -> DataFrame:
+    rows = _bucketed(df, "seq", *inputs)
     return rows.groupBy("bucket").transformWithStateInPandas(_Packed(columns, inputs, step), schema, "Append", "None")
 
 
@@ -316,9 +374,10 @@ def allocator(df: DataFrame, target: float, initial: int = 1, idle_ms: int | Non
 def consuming_feedback(df: DataFrame, window_ms: int = 50, delay: str = "1 second") -> DataFrame:
     """``series, ts, us, seq, is_tx`` to matches; unmatched transmissions leave with a null feedback.
 
-    What waits for feedback is dropped by a timer when its window has passed, so no link stays in the store.
+    What waits for feedback is dropped by a timer when its window has passed, so no link stays in the store. Links share
+    ``BUCKETS`` keys.
     """
-    marked = df.withWatermark("ts", delay)
-    return marked.groupBy("series").transformWithStateInPandas(
+    marked = _bucketed(df.withWatermark("ts", delay), "ts", "us", "seq", "is_tx")
+    return marked.groupBy("bucket").transformWithStateInPandas(
         _Consume(window_ms), "series long, tx_seq long, fb_seq long", "Append", "EventTime"
     )

@@ -190,3 +190,80 @@ def test_live_sinr_goes_on_from_its_checkpoint(spark, tmp_path):
         sinks.keyed_writer(stream, out, check).trigger(availableNow=True).start().awaitTermination()
     got = sorted(r["dl_sinr"] for r in sinks.read_keyed(spark, out, stream.schema).collect())
     assert len(got) == 15 and got == sorted(v / 2 - 23 for v in want)
+
+
+def test_a_trigger_has_a_file_a_core(spark, tmp_path):
+    """Triggers keep the order of the rows, and none of them is read by one task."""
+    from linkops.catalog.streams import _table_stream
+
+    rows = spark.range(20_000).selectExpr("id * 7919 % 20000 AS at")
+    last = spark.createDataFrame([(50_000,)], "at long")
+    seen = []
+
+    def look(batch, _):
+        seen.append((batch.rdd.getNumPartitions(), sorted(r["at"] for r in batch.collect())))
+
+    stream = _table_stream(rows, "rows", "at", last, files=4)
+    stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").foreachBatch(look).trigger(availableNow=True).start().awaitTermination()
+    assert [at for _, part in seen for at in part] == [*range(20_000), 50_000]
+    assert len(seen) == 5 and all(tasks > 1 for tasks, _ in seen[:4])
+
+
+def consumed(rows, window_us):
+    """``tx: fb`` of rows of one link in order, by looking at all that waits."""
+    waiting, out = [], {}
+    for us, seq, is_tx in sorted(rows):
+        out |= {s: None for u, s in waiting if u < us - window_us}
+        waiting = [r for r in waiting if r[0] >= us - window_us]
+        if is_tx:
+            waiting.append((us, seq))
+        elif waiting:
+            at = next(i for i, r in enumerate(waiting) if r[0] // 10_000 == waiting[-1][0] // 10_000)
+            out[waiting.pop(at)[1]] = seq
+    return out | {s: None for _, s in waiting}
+
+
+def test_links_of_consuming_feedback_share_keys(spark, rocks, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "BUCKETS", 4)
+    pick, links, batches = random.Random(5), {}, []
+    for k in range(4):
+        batch = []
+        for link in [*range(60), None]:
+            for _ in range(12):
+                us, seq, is_tx = k * 1_000_000 + pick.randrange(0, 900_000, 3_000), len(links), pick.random() < 0.6
+                links[seq] = (link, us, is_tx)
+                batch.append((link, T0 + timedelta(microseconds=us), us, seq, is_tx))
+        batches.append(batch)
+    batches.append([(-1, T0 + timedelta(days=1), 86_400_000_000, -1, True)])
+    origin = int((T0 - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    batches = [[(s, ts, us + origin, seq, t) for s, ts, us, seq, t in b] for b in batches]
+    stream = _files(spark, f"{tmp_path}/in", batches, "series long, ts timestamp, us long, seq long, is_tx boolean")
+    out = state.consuming_feedback(stream, 50, "1 second")
+    query = out.writeStream.option("checkpointLocation", f"{tmp_path}/state").format("parquet").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3 * 5
+    got = [(r["series"], r["tx_seq"], r["fb_seq"]) for r in spark.read.parquet(f"{tmp_path}/out").where("tx_seq >= 0").collect()]
+    want = []
+    for link in [*range(60), None]:
+        found = consumed([(us + origin, seq, t) for seq, (s, us, t) in links.items() if s == link], 50_000)
+        want += [(link, tx, fb) for tx, fb in found.items()]
+    assert sorted(got, key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+
+
+def test_late_rows_of_waiting_transmissions():
+    """Rows behind the newest one are released, and chosen, as by a look at all of them."""
+    pick = random.Random(3)
+    for _ in range(200):
+        waiting, plain = state._Waiting(()), []
+        for seq in range(40):
+            us, move = pick.randrange(0, 60_000, 2_500), pick.random()
+            if move < 0.5:
+                waiting.add(us, seq)
+                plain.append((us, seq))
+            elif move < 0.7:
+                assert waiting.release(us) == [s for u, s in plain if u < us]
+                plain = [r for r in plain if r[0] >= us]
+            elif plain:
+                at = next(i for i, r in enumerate(plain) if r[0] // 10_000 == plain[-1][0] // 10_000)
+                assert waiting.take() == plain.pop(at)[1]
+        assert list(waiting.rows) == plain
