@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..operators import replay
@@ -25,13 +27,15 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def _table_stream(df, label, order=None, last=None, files=8):
-    """Write ``df`` in the order of ``order`` as ``files`` files and open it as a stream of one file a trigger.
+    """Write ``df`` in the order of ``order`` and open it as a stream of ``files`` triggers.
 
-    ``last`` (a frame of one row) comes after all of them, to carry the watermark past the end of the input.
+    A trigger takes a file a core, as one file would be read by one task however large it is. ``last`` (a frame of one
+    row) comes after all of them, to carry the watermark past the end of the input.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    ranged = df.repartitionByRange(files, order) if order else df.repartition(files)
+    each = spark.sparkContext.defaultParallelism
+    ranged = df.repartitionByRange(files * each, order) if order else df.repartition(files * each)
     ranged.write.parquet(path)
     # A file stream goes by modification time; the parts of one write differ by chance only.
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,7 +48,7 @@ def _table_stream(df, label, order=None, last=None, files=8):
     written = sorted(parts, key=lambda f: (f.getPath().getName() not in first, f.getPath().getName()))
     for i, f in enumerate(written):
         fs.setTimes(f.getPath(), start + 1000 * i, -1)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def _after(df, gap, ts="ts", **values):
@@ -54,13 +58,28 @@ def _after(df, gap, ts="ts", **values):
     return row.withColumns({c: F.lit(v).cast(df.schema[c].dataType) for c, v in values.items()})
 
 
+@contextmanager
+def _settings(spark, values):
+    """Session settings inside the block; the former ones come back."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def _drain(stream, label, mode="append"):
     """Run a stream to the end of its input into a Parquet table and read that."""
     spark = stream.sparkSession
     path, check = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    try:
+    # Each trigger opens and commits the stores of all partitions, rows or none, so these go by the cores.
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    with _settings(spark, {
+        "spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(partitions),
+    }):
         writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", check)
         if mode == "append":
             run = writer.format("parquet").option("path", path).start()
@@ -68,11 +87,6 @@ def _drain(stream, label, mode="append"):
             # Complete output replaces the small result table on every trigger.
             run = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
         run.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(stream.schema).parquet(path)
 
 
