@@ -8,7 +8,7 @@ from ..functions import radio
 from ..functions.expr import code, linspace
 from ..operators import isotonic, lut, metrics
 from ..operators.candidates import candidates
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..sources import luts, sinks
 from .registry import query
 from .tables import CAND, KEY_SQL, MCS, ROW_KEY, TX, p_sql, pass_probability, scored_contexts, table, transmissions
@@ -69,7 +69,7 @@ cp AS (
 
 def _varied(spark, sf_dir):
     """Candidates whose probability also depends on the elevation, so that cells hold different values."""
-    tx = transmissions(spark, sf_dir)
+    tx = spread(transmissions(spark, sf_dir))
     return candidates(tx, lambda m: pass_probability(F.col("snr") + F.col("ele_angle") / 45, m))
 
 

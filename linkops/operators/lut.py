@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip, code, decode, weighted_mean
 from ..functions.radio import efficiency_column
 from ..session import materialize, small_side
-from .quantiles import grouped_quantiles
+from .quantiles import ArrayValues, grouped_quantiles
 
 CELL = ["snr_code", "cqi_code"]
 RULES = ("highest_feasible", "max_prob_feasible", "lowest_feasible")
@@ -185,7 +185,8 @@ def cell_probability(df: DataFrame, snr_bin: float = 0.1, cqi_bin: float = 1.0,
         long = means.where(F.col("n") >= min_count).select(*CELL, "n", "mcs", "p_stat")
     else:
         sizes = keyed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-        ranked = grouped_quantiles(rows, [*CELL, "mcs"], "p_stat", [quantile], "linear").drop("q")
+        values = ArrayValues(keyed, CELL, cand, "mcs", "p")
+        ranked = grouped_quantiles(values, [*CELL, "mcs"], "p_stat", [quantile], "linear").drop("q")
         long = ranked.join(sizes, CELL).select(*CELL, "n", "mcs", "p_stat")
     return long
 

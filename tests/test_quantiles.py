@@ -5,8 +5,10 @@ import random
 
 import pytest
 
+from linkops.operators import quantiles
 from linkops.operators.quantiles import grouped_quantiles
 
+NAN, INF = float("nan"), float("inf")
 QS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
 
 
@@ -59,3 +61,28 @@ def test_whole_numbers(spark):
     df = spark.range(1, 10_001).selectExpr("id % 3 AS g", "id")
     got = {(r["g"], r["q"]): r["id"] for r in grouped_quantiles(df, ["g"], "id", [0.5, 0.999], "nearest").collect()}
     assert got == {(g, q): brute([float(i) for i in range(1, 10_001) if i % 3 == g], q, "nearest") for g in range(3) for q in (0.5, 0.999)}
+
+
+def test_quantiles_of_values_in_arrays(spark, monkeypatch):
+    """Arrays inside rows give what their values give in rows of their own, also when tasks and tables hold little."""
+    from pyspark.sql import functions as F
+
+    pick, rows = random.Random(7), []
+    for i in range(3_000):
+        cell = pick.choice([(1, 2), (1, -3), (9, 2), (None, 2)])
+        cand = [(m, pick.choice([None, NAN, 0.0, -0.0, INF, -INF, pick.gauss(m or 0, 3), 10 ** pick.uniform(-200, 200)])) for m in (0, 5, 27, None)]
+        rows.append((*cell, pick.choice([cand, cand[:2], [], None])))
+    df = spark.createDataFrame(rows, "a long, b int, cand array<struct<m:int,p:double>>").repartition(3)
+    plain = df.where("a IS NOT NULL").select("a", "b", F.inline("cand"))
+
+    def found(source):
+        return {(r["a"], r["b"], r["m"], r["q"]): r["p"] for r in quantiles.grouped_quantiles(source, ["a", "b", "m"], "p", QS).collect()}
+
+    want = found(plain)
+    assert len(want) == 3 * 4 * len(QS)
+    for held, most in ((2_000_000, 500_000), (500, 500_000), (500, 2)):
+        monkeypatch.setattr(quantiles, "HELD_VALUES", held)
+        monkeypatch.setattr(quantiles, "BROADCAST_ROWS", most)
+        got = found(quantiles.ArrayValues(df, ["a", "b"], "cand", "m", "p"))
+        assert got.keys() == want.keys()
+        assert all(got[k] == want[k] or (math.isnan(got[k]) and math.isnan(want[k])) for k in want)
