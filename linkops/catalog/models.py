@@ -14,7 +14,8 @@ from .registry import query
 from .tables import MCS, ROW_KEY, TX, transmissions
 
 FEATURES = ["snr", "cqi", "mcs"]
-# Labelled rows a model is fitted on at most, chosen by a hash; scoring always takes all rows.
+# Labelled rows a model is fitted on at most, chosen by a hash, unless it takes the whole of them; scoring always takes
+# all rows.
 TRAINING_ROWS = 20_000
 _FITTED: dict[tuple, str] = {}
 
@@ -31,12 +32,15 @@ def _training(rows):
     return rows if share >= 1 else rows.where(hash_fraction(ROW_KEY, 7) < share)
 
 
-def _model(spark, sf_dir, **kw):
-    """The pass model at the library's settings; fitted once per session and data, then read from its folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, *sorted(kw.items()))
+def _model(spark, sf_dir, whole=False, **kw):
+    """The pass model at the library's settings; fitted once per session and data, then read from its folder. ``whole``
+    fits it on all training rows."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(["whole"] if whole else []), *sorted(kw.items()))
     if key not in _FITTED:
         path = scratch_path(spark, "pass-model")
-        modelling.save_model(modelling.train_pass_model(_training(_rows(spark, sf_dir)), FEATURES, ROW_KEY, **kw), path)
+        rows = _rows(spark, sf_dir)
+        rows = rows.where("split = 'train'") if whole else _training(rows)
+        modelling.save_model(modelling.train_pass_model(rows, FEATURES, ROW_KEY, **kw), path)
         _FITTED[key] = path
     return modelling.load_model(_FITTED[key])
 
@@ -110,7 +114,7 @@ def label_classifier(spark, sf_dir):
 
 @query("M4_monotone_scores")
 def monotone_scores(spark, sf_dir):
-    model = _model(spark, sf_dir)
+    model = _model(spark, sf_dir, whole=True)
     rows = candidates.contexts(transmissions(spark, sf_dir), ["snr", "cqi"])
     packed = candidates.score_contexts(materialize(rows, "contexts"), ["snr", "cqi"], modelling.scorer(model, FEATURES))
     lowered = packed.withColumn("cand", modelling.monotone_probability("cand"))

@@ -76,3 +76,24 @@ def test_importance_from_the_stored_nodes(spark, tmp_path, kind):
         f"SELECT nodeData.split.featureIndex, count(*) FROM '{path}/stages/{stage}_*/data/*.parquet' WHERE nodeData.split.featureIndex >= 0 GROUP BY 1"
     ).fetchall()
     assert {"abc"[f]: n for f, n in counted} == {f: s for f, (_, s) in got.items() if s}
+
+
+def test_pass_model_is_fitted_on_all_training_rows(spark, tmp_path):
+    """Roots of the trees behind ``M4_monotone_scores`` hold the boosting's own share (0.8) of all rows they may learn from."""
+    from linkops.catalog import models, registered
+    from linkops.functions.expr import hash_fraction
+
+    rows = spark.range(40_000).selectExpr(
+        "id AS l_orderkey", "id * 13 % 997 AS l_partkey", "id % 100 AS l_suppkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber",
+        "CAST(id * 31 % 50 + 1 AS DOUBLE) AS l_quantity", "CAST(id AS DOUBLE) AS l_extendedprice", "0.1D AS l_discount", "0.1D AS l_tax",
+        "'A' AS l_returnflag", "TIMESTAMP '2024-01-01' AS l_shipdate",
+    )
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    counted = registered()["M4_monotone_scores"](spark, str(tmp_path)).collect()
+    assert sum(r["count"] for r in counted) == 40_000
+    learnt = models._rows(spark, str(tmp_path)).where("split = 'train'").where(hash_fraction(models.ROW_KEY, 43) >= 0.2).count()
+    assert learnt > models.TRAINING_ROWS
+    (path,) = [path for key, path in models._FITTED.items() if str(tmp_path) in key]  # the one model that the query fitted
+    nodes = modelling.node_table(spark, modelling.load_model(path), path)
+    roots = [r["w"] for r in nodes.groupBy("tree").agg(F.max("weight").alias("w")).collect()]
+    assert roots and all(0.78 * learnt < w < 0.82 * learnt for w in roots)
